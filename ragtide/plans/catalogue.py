@@ -6,9 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ragtide.operators import shred
+from ragtide.sources.tables import table
+
+RECORD_FIELDS = ["question", "defense", "output_poison", "incorrect_answer", "answer", "output_poison_no_defense"]
+
+
+def _files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return shred.result_tables(table(spark, d, "result_files"), "file_id", "body", RECORD_FIELDS)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = shred.result_tables(table(spark, d, "result_files"), "file_id", "body")["texts"]
+    return texts.select("file_id", "iter_name", "rec_pos", "id", "adv_pos")
+
+
+def p1_iterations(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d)["iterations"].drop("tree")
+
+
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d)["records"].drop("tree")
+
+
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d)["texts"].drop("tree")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_iterations, p1_records, p1_texts)}
 SQL: dict[str, str] = {}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p1_found"](spark, folder)
+    return p1_found(spark, folder)
