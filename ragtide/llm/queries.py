@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.llm import packing, quality, tokens
+from ragtide.llm import neardup, packing, quality, tokens
 from ragtide.sources.tables import table
 
 
+def _injected(spark: SparkSession, d: str) -> DataFrame:
+    """record_id and each text of injected_adv and injected_adv_defended."""
+    both = F.array_distinct(F.concat(F.coalesce("injected_adv", F.array().cast("array<string>")), F.coalesce("injected_adv_defended", F.array().cast("array<string>"))))
+    return table(spark, d, "records").select("record_id", F.explode(both).alias("text")).where("text is not null")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_records(_injected(spark, d), "record_id", "text")
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.record_groups(_injected(spark, d), "record_id", "text")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -37,5 +51,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_summary, p7_pack, p7_summary, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p6_ids, p6_summary, p7_pack, p7_summary, p8_found, p8_stats)}
 SQL: dict[str, str] = {}
