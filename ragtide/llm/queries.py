@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.llm import neardup, packing, quality, tokens
+from ragtide.llm import neardup, packing, quality, spans, tokens
 from ragtide.sources.tables import table
 
 
+#: What stands before and after the contexts of a prompt.
+BEFORE, AFTER = "\n\nContexts: ", " \n\nQuery: "
+
+
+def _record_texts(spark: SparkSession, d: str) -> DataFrame:
+    """record_id, field, item, base, text: the question, each injected text, and the contexts of the prompt."""
+    records = table(spark, d, "records").select("record_id", "question", "injected_adv", "input_prompt")
+    zero = F.lit(0).cast("bigint")
+    start = F.instr("input_prompt", BEFORE) - 1 + len(BEFORE)
+    end = F.length("input_prompt") - F.length(F.substring_index("input_prompt", AFTER, -1)) - len(AFTER)
+    question = F.array(F.struct(F.lit("question").alias("field"), zero.alias("item"), zero.alias("base"), F.col("question").alias("text")))
+    injected = F.transform(F.coalesce("injected_adv", F.array().cast("array<string>")), lambda t, i: F.struct(F.lit("injected_adv").alias("field"), i.cast("bigint").alias("item"), zero.alias("base"), t.alias("text")))
+    within = F.when(F.col("input_prompt").contains(BEFORE) & F.col("input_prompt").contains(AFTER) & (end >= start), F.substring("input_prompt", start + 1, end - start))
+    contexts = F.array(F.struct(F.lit("input_prompt").alias("field"), zero.alias("item"), start.cast("bigint").alias("base"), within.alias("text")))
+    return records.select("record_id", F.inline(F.concat(question, injected, contexts)))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_record_texts(spark, d))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(_record_texts(spark, d), p4_found(spark, d))
+
+
 def _injected(spark: SparkSession, d: str) -> DataFrame:
     """record_id and each text of injected_adv and injected_adv_defended."""
     both = F.array_distinct(F.concat(F.coalesce("injected_adv", F.array().cast("array<string>")), F.coalesce("injected_adv_defended", F.array().cast("array<string>"))))
@@ -51,5 +76,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p6_ids, p6_summary, p7_pack, p7_summary, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_shares, p5_found, p5_groups, p6_ids, p6_summary, p7_pack, p7_summary, p8_found, p8_stats)}
 SQL: dict[str, str] = {}
