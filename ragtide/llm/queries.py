@@ -5,10 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.llm import neardup, packing, quality, spans, tokens
+from ragtide.llm import answers, neardup, packing, quality, spans, tokens
 from ragtide.sources.tables import table
 
 
+def _outputs(spark: SparkSession, d: str) -> DataFrame:
+    """field, row_id, value, question, names: the outputs of records with what they answer."""
+    records = table(spark, d, "records").select("record_id", "run_id", "question", "answer", "incorrect_answer", "output_poison", "output_poison_no_defense")
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("output_poison", "output_poison_no_defense")])
+    return records.select("run_id", F.col("record_id").alias("row_id"), "question", F.array("answer", "incorrect_answer").alias("names"), F.inline(fields)).where("value is not null")
+
+
+def _defended(spark: SparkSession, d: str) -> DataFrame:
+    """The answers of diagnostics, each diag_id once, with the question of their record."""
+    rows = table(spark, d, "diagnostics").select("diag_id", "record_id", "answer_with_defense", "target_wrong_answer", "gold_answer").where("answer_with_defense is not null").distinct()
+    records = table(spark, d, "records").select("record_id", "question", "answer", "incorrect_answer")
+    names = F.array_distinct(F.array("answer", "incorrect_answer", "target_wrong_answer", "gold_answer"))
+    return rows.join(records, "record_id", "left").select(F.lit(None).cast("bigint").alias("run_id"), F.col("diag_id").alias("row_id"), "question", names.alias("names"), F.lit("answer_with_defense").alias("field"), F.col("answer_with_defense").alias("value"))
+
+
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    return answers.classify(_outputs(spark, d).unionByName(_defended(spark, d)))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).where("defect = 'truncated' and field <> 'answer_with_defense'").select(F.col("row_id").alias("record_id"), "field").distinct()
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """For each model: answers, cut answers and their share."""
+    runs = table(spark, d, "runs").select("run_id", "model")
+    judged = _defects(spark, d).where("field <> 'answer_with_defense'").groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("defect") == "truncated").alias("cut"))
+    got = judged.join(runs, "run_id", "left").groupBy("model").agg(F.sum("n").alias("answers"), F.sum("cut").alias("truncated"))
+    return got.withColumn("share", F.round(F.try_divide("truncated", "answers"), 6))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    kept = _defects(spark, d).where("defect is not null and field <> 'output_poison_no_defense'")
+    return kept.groupBy("field", "row_id").agg(F.min("defect").alias("defect"))
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """For each field and defect the number of answers."""
+    return p3_found(spark, d).groupBy("field", "defect").agg(F.count("*").alias("answers"))
+
+
 #: What stands before and after the contexts of a prompt.
 BEFORE, AFTER = "\n\nContexts: ", " \n\nQuery: "
 
@@ -76,5 +117,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_shares, p5_found, p5_groups, p6_ids, p6_summary, p7_pack, p7_summary, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_counts, p4_found, p4_shares, p5_found, p5_groups, p6_ids, p6_summary, p7_pack, p7_summary, p8_found, p8_stats)}
 SQL: dict[str, str] = {}
