@@ -118,4 +118,22 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_counts, p4_found, p4_shares, p5_found, p5_groups, p6_ids, p6_summary, p7_pack, p7_summary, p8_found, p8_stats)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": r"""WITH c AS (SELECT record_id, input_prompt AS p, strpos(input_prompt, chr(10) || chr(10) || 'Contexts: ') - 1 + 12 AS s, length(input_prompt) - length(string_split(input_prompt, ' ' || chr(10) || chr(10) || 'Query: ')[-1]) - 10 AS e
+  FROM records WHERE contains(input_prompt, chr(10) || chr(10) || 'Contexts: ') AND contains(input_prompt, ' ' || chr(10) || chr(10) || 'Query: ')),
+t AS (SELECT record_id, 'question' AS field, 0 AS item, 0 AS base, question AS text FROM records
+  UNION ALL SELECT record_id, 'injected_adv', unnest(range(0, len(injected_adv))), 0, unnest(injected_adv) FROM records
+  UNION ALL SELECT record_id, 'input_prompt', 0, s, substr(p, s + 1, e - s) FROM c),
+w AS (SELECT record_id, field, item, base, o, md5(substr(text, o + 1, 150)) AS h FROM (SELECT *, unnest(range(0, length(text) - 149)) AS o FROM t WHERE length(text) >= 150)),
+d AS (SELECT h FROM w GROUP BY h HAVING min(record_id) <> max(record_id)),
+s AS (SELECT record_id, field, item, base + o AS b, lag(base + o) OVER (PARTITION BY record_id, field, item ORDER BY o) AS p FROM w SEMI JOIN d USING (h)),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR b - p > 150 THEN 1 ELSE 0 END) OVER (PARTITION BY record_id, field, item ORDER BY b) AS part FROM s)
+SELECT record_id, field, CAST(item AS BIGINT) AS item, CAST(min(b) AS BIGINT) AS span_start, CAST(max(b) + 150 AS BIGINT) AS span_end FROM g GROUP BY record_id, field, item, part""",
+    "p5_found": r"""WITH t AS (SELECT record_id, unnest(list_concat(coalesce(injected_adv, []), coalesce(injected_adv_defended, []))) AS x FROM records),
+m AS (SELECT DISTINCT record_id, list_sort(list_distinct(regexp_extract_all(lower(x), '[a-z0-9'']+'))) AS w FROM t WHERE x IS NOT NULL),
+s AS (SELECT w, len(w) AS n, row_number() OVER (ORDER BY w) AS id FROM (SELECT DISTINCT w FROM m WHERE len(w) > 0)),
+p AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n WHERE len(list_intersect(a.w, b.w)) >= 0.8 * (a.n + b.n - len(list_intersect(a.w, b.w))) - 1e-9
+  UNION ALL SELECT id, id FROM s),
+r AS (SELECT record_id, id FROM m JOIN s USING (w))
+SELECT DISTINCT least(x.record_id, y.record_id) AS record_a, greatest(x.record_id, y.record_id) AS record_b FROM p JOIN r x ON x.id = p.a JOIN r y ON y.id = p.b WHERE x.record_id <> y.record_id""",
+}
