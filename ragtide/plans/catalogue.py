@@ -56,7 +56,7 @@ def _files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return shred.result_tables(table(spark, d, "result_files"), "file_id", "body", RECORD_FIELDS)
 
 
-@query()
+@query(O.NESTED)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     texts = shred.result_tables(table(spark, d, "result_files"), "file_id", "body")["texts"]
     return texts.select("file_id", "iter_name", "rec_pos", "id", "adv_pos")
