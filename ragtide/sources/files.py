@@ -96,7 +96,7 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_csv(df: DataFrame, path: str, decimals: int = 4) -> None:
     """CSV with a header, floats in fixed decimals and None for null floats."""
-    shown = [F.coalesce(F.format_string(f"%.{decimals}f", c), F.lit("None")).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    shown = [F.when(F.col(c).isNull(), "None").otherwise(F.format_string(f"%.{decimals}f", c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
     df.select(*shown).write.mode("overwrite").option("header", True).csv(path)
 
 
