@@ -35,7 +35,8 @@ def longer_copies(values: DataFrame, column: str) -> DataFrame:
             pairs = zip([last, *v[:-1]] if last is not None else v[:-1], v if last is not None else v[1:], strict=True)
             hit = [(a, b[len(a) :]) for a, b in pairs if b.startswith(a)]
             last = v[-1]
-            yield pd.DataFrame({"kind": 0, "_v": [a for a, _ in hit], "rest": [b for _, b in hit]})
+            if hit:
+                yield pd.DataFrame({"kind": 0, "_v": [a for a, _ in hit], "rest": [b for _, b in hit]})
         if first is not None:
             yield pd.DataFrame({"kind": [1], "_v": [first], "rest": [last]})
 
