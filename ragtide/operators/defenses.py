@@ -11,7 +11,7 @@ from ragtide.functions import vectors as V
 from ragtide.functions.text import tokens
 from ragtide.operators import pairs as P
 
-KINDS = ("none", "ragdefender", "singlehop", "oracle_remove_all_poison", "random_remove_same_count", "filterrag", "filterrag_query_only", "ml_filter")
+KINDS = ("none", "concentration", "singlehop", "oracle", "random", "density", "density_query_only", "classifier")
 #: Datasets whose questions need several passages.
 MULTI_HOP = ("hotpotqa",)
 STOP_WORDS = "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our ours out over own s same she should so some such t than that the their theirs them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours"
@@ -134,15 +134,15 @@ def apply(kind: str, passages: DataFrame, keys: list[str], **params: object) ->
         raise ValueError(f"no such defense: {kind}; there are {', '.join(KINDS)}")
     if kind == "none":
         got = none(passages)
-    elif kind == "ragdefender":
+    elif kind == "concentration":
         got = concentration_defense(passages, keys).drop("pair_score")
     elif kind == "singlehop":
         got = P.pair_frequency_removal(passages, P.pair_table(passages, keys), singlehop_estimates(passages, keys, str(params.get("text", "text"))), keys).drop("pair_score")
-    elif kind == "oracle_remove_all_poison":
+    elif kind == "oracle":
         got = oracle(passages)
-    elif kind == "random_remove_same_count":
+    elif kind == "random":
         got = random_same_count(passages, P.concentration(P.pair_table(passages, keys), keys), keys, int(params.get("seed", 12)))
-    elif kind == "ml_filter":
+    elif kind == "classifier":
         got = by_threshold(passages, "probability", float(params.get("threshold", 0.5)))
     else:
         got = by_threshold(passages, "query_only_score" if kind.endswith("query_only") else "filterrag_score", float(params.get("epsilon", 0.2)))

@@ -12,7 +12,7 @@ def epsilon_sweep(scores: DataFrame, epsilons: list[float]) -> DataFrame:
     scores: query_id, record_id, k, is_poison, filterrag_score, query_only_score. Passages that score at least epsilon are
     dropped; null and not-a-number scores are kept. Thresholds are compared with each score once, in place.
     """
-    kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(c).alias("s")) for m, c in (("filterrag", "filterrag_score"), ("query_only", "query_only_score"))])).alias("x")
+    kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(c).alias("s")) for m, c in (("full", "filterrag_score"), ("query_only", "query_only_score"))])).alias("x")
     each = scores.select("record_id", "k", "is_poison", kinds).select("record_id", "k", "is_poison", F.col("x.m").alias("score_kind"), F.nanvl("x.s", F.lit(None).cast("double")).alias("s"), F.explode(F.array(*map(F.lit, epsilons))).alias("epsilon"))
     hit = F.coalesce(F.col("s") >= F.col("epsilon"), F.lit(False))
     p = F.col("is_poison")

@@ -132,7 +132,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 def _defended(spark: SparkSession, d: str) -> DataFrame:
     """Flags of every filter that needs vectors and labels only, stacked."""
     top = _top(spark, d)
-    flags = [D.apply(kind, top, Q).select(*Q, "doc_id", "is_poison", "rank", "removed", "defense") for kind in ("none", "ragdefender", "oracle_remove_all_poison", "random_remove_same_count")]
+    flags = [D.apply(kind, top, Q).select(*Q, "doc_id", "is_poison", "rank", "removed", "defense") for kind in ("none", "concentration", "oracle", "random")]
     both = flags[0]
     for f in flags[1:]:
         both = both.unionByName(f)
@@ -365,7 +365,7 @@ def freq_density_exact(spark: SparkSession, d: str) -> DataFrame:
 @query(O.FILTER)
 def freq_density_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = _passages(spark, d).withColumn("query_key", F.col("query_id")).withColumn("query_id", F.col("record_id"))
-    got = [D.apply(kind, rows, ["query_id"]).select("record_id", "k", "is_poison", "removed", "defense") for kind in ("filterrag", "filterrag_query_only")]
+    got = [D.apply(kind, rows, ["query_id"]).select("record_id", "k", "is_poison", "removed", "defense") for kind in ("density", "density_query_only")]
     both = got[0].unionByName(got[1])
     return both.groupBy("defense", "k").agg(F.count("*").alias("n"), F.count_if(F.col("removed") & F.col("is_poison")).alias("removed_poison"), F.count_if(F.col("removed") & ~F.col("is_poison")).alias("removed_clean"))
 
@@ -551,7 +551,7 @@ def ml_filter(spark: SparkSession, d: str) -> DataFrame:
     """A forest fitted on the training queries, applied to the passages of the others."""
     rows = _features(spark, d)
     scored = mlfilter.score(mlfilter.fit(rows.where("split = 'train'")), rows.where("split = 'test'"))
-    flagged = D.apply("ml_filter", scored.withColumn("query_id", F.col("record_id")), ["query_id"])
+    flagged = D.apply("classifier", scored.withColumn("query_id", F.col("record_id")), ["query_id"])
     return M.confusion(flagged, ["dataset", "k"], "is_poison", "removed")
 
 

@@ -90,8 +90,8 @@ CONCENTRATION = PAIRS + f" SELECT query_id, {big('k')}, {six('mean_of_means', 'm
 PAIR_FREQUENCY = PAIRS + " SELECT query_id, doc_id, rank, is_poison, round(pair_score, 6) AS pair_score, removed FROM flagged"
 PAIR_MIX = PAIRS + " SELECT * FROM mix"
 _FLAGS = PAIRS + """, drawn AS (SELECT query_id, doc_id, is_poison, rank, row_number() OVER (PARTITION BY query_id ORDER BY sha256('12:' || query_id || ':' || rank)) <= n_adv AS removed FROM top JOIN est USING (query_id)),
-f AS (SELECT query_id, doc_id, is_poison, rank, false AS removed, 'none' AS defense FROM top UNION ALL SELECT query_id, doc_id, is_poison, rank, removed, 'ragdefender' FROM flagged
-UNION ALL SELECT query_id, doc_id, is_poison, rank, is_poison, 'oracle_remove_all_poison' FROM top UNION ALL SELECT query_id, doc_id, is_poison, rank, removed, 'random_remove_same_count' FROM drawn),
+f AS (SELECT query_id, doc_id, is_poison, rank, false AS removed, 'none' AS defense FROM top UNION ALL SELECT query_id, doc_id, is_poison, rank, removed, 'concentration' FROM flagged
+UNION ALL SELECT query_id, doc_id, is_poison, rank, is_poison, 'oracle' FROM top UNION ALL SELECT query_id, doc_id, is_poison, rank, removed, 'random' FROM drawn),
 rec AS (SELECT query_id, defense, string_agg(doc_id, ',' ORDER BY rank) AS retrieved_doc_ids, string_agg(CAST(is_poison AS VARCHAR), ',' ORDER BY rank) AS retrieved_is_poison,
 count(*) FILTER (WHERE is_poison) AS n_retrieved_poison, count(*) FILTER (WHERE NOT is_poison) AS n_retrieved_clean, coalesce(string_agg(doc_id, ',' ORDER BY rank) FILTER (WHERE removed), '') AS removed_doc_ids,
 coalesce(string_agg(CAST(is_poison AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE removed), '') AS removed_is_poison, count(*) FILTER (WHERE removed AND is_poison) AS removed_poison,
@@ -234,10 +234,10 @@ SELECT record_id, CAST(rank AS BIGINT) AS rank, round(CASE WHEN len(x) = 0 OR le
 _DENS = "CASE WHEN len(w) = 0 OR len({0}) = 0 THEN 0 ELSE len(list_filter(w, lambda t: list_contains({0}, t))) / len(list_distinct(w)) END"
 DENSITY = _ANSWERED + f""", t AS (SELECT record_id, rank, {toks('text_preview')} AS w, list_distinct(list_concat({toks('question')}, {toks('slm_answer')})) AS f, list_distinct({toks('question')}) AS q FROM a)
 SELECT record_id, CAST(rank AS BIGINT) AS rank, round({_DENS.format('f')}, 6) AS density, round({_DENS.format('q')}, 6) AS query_only FROM t"""
-FILTER = "WITH " + _ROWS + """, u AS (SELECT *, 'filterrag' AS defense, filterrag_score AS s FROM p UNION ALL SELECT *, 'filterrag_query_only', query_only_score FROM p),
+FILTER = "WITH " + _ROWS + """, u AS (SELECT *, 'density' AS defense, filterrag_score AS s FROM p UNION ALL SELECT *, 'density_query_only', query_only_score FROM p),
 h AS (SELECT *, bool_or(coalesce(s >= 0.2 AND NOT isnan(s), false)) OVER (PARTITION BY defense, record_id, doc_id) AS removed FROM u)
 SELECT defense, CAST(k AS BIGINT) AS k, count(*) AS n, count(*) FILTER (WHERE removed AND is_poison) AS removed_poison, count(*) FILTER (WHERE removed AND NOT is_poison) AS removed_clean FROM h GROUP BY defense, k"""
-_EPS = "WITH " + _ROWS + """, u AS (SELECT record_id, k, is_poison, 'filterrag' AS score_kind, filterrag_score AS s FROM p UNION ALL SELECT record_id, k, is_poison, 'query_only', query_only_score FROM p),
+_EPS = "WITH " + _ROWS + """, u AS (SELECT record_id, k, is_poison, 'full' AS score_kind, filterrag_score AS s FROM p UNION ALL SELECT record_id, k, is_poison, 'query_only', query_only_score FROM p),
 e AS (SELECT u.*, CAST(epsilon AS DOUBLE) AS epsilon, coalesce(s >= epsilon AND NOT isnan(s), false) AS hit FROM u, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0]) AS epsilon)),
 r AS (SELECT score_kind, k, epsilon, record_id, count(*) FILTER (WHERE hit AND is_poison) / nullif(count(*) FILTER (WHERE is_poison), 0) AS recall, count(*) FILTER (WHERE hit AND NOT is_poison) / nullif(count(*) FILTER (WHERE NOT is_poison), 0) AS fpr,
 count(*) FILTER (WHERE NOT hit) = 0 AS empty FROM e GROUP BY ALL),

@@ -21,6 +21,8 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     its scan partitions, so nothing moves on a large input.
     """
     least = least or df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # shuffled already; counting its partitions would run it
+        return df
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
 
 

@@ -79,7 +79,7 @@ def test_ward_and_random_removal(spark):
 def test_thresholds_keep_nulls(spark):
     rows = [("q", "a", 0.5), ("q", "a", 0.1), ("q", "b", None), ("q", "c", float("nan")), ("q", "d", 0.2)]
     df = spark.createDataFrame(rows, "query_id string, doc_id string, filterrag_score double")
-    got = D.apply("filterrag", df, ["query_id"], epsilon=0.2).groupBy("doc_id").agg(F.max("removed").alias("r"), F.min("removed").alias("s"))
+    got = D.apply("density", df, ["query_id"], epsilon=0.2).groupBy("doc_id").agg(F.max("removed").alias("r"), F.min("removed").alias("s"))
     assert {r.doc_id: (r.r, r.s) for r in got.collect()} == {"a": (True, True), "b": (False, False), "c": (False, False), "d": (True, True)}
     with pytest.raises(ValueError, match="no such defense"):
         D.apply("other", df, ["query_id"])
