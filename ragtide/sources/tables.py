@@ -27,14 +27,18 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a local session (tests) gets a temporary one; on a cluster that is an error, as no executor
+    could read another's.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="ragtide-")
-            spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else context.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ragtide-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
