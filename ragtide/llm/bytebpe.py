@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ import pyarrow as pa
 NONE = np.int32(2**31 - 1)
 SHORT = 16
 SLICE_BYTES = 8 << 20
+WORD_GAP = re.compile(rb"[a-z] (?=[a-z])")
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 #: The white space of the pre-token pattern.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -283,6 +286,13 @@ class ByteBpe:
             while j < n and (j == i or total + size[j] <= SLICE_BYTES):
                 total += int(size[j])
                 j += 1
+            if total > SLICE_BYTES:  # one long text, in pieces that end where a pre-token does
+                for piece in _pieces(bytes(data[offsets[i] : offsets[j]])):
+                    got, n_ids = self._encode(piece, np.array([len(piece)]))
+                    ids.append(got)
+                    counts[i] += n_ids[0]
+                i = j
+                continue
             raw = bytes(data[offsets[i] : offsets[j]]) if total == offsets[j] - offsets[i] else b"".join(bytes(data[offsets[k] : offsets[k] + size[k]]) for k in range(i, j))
             if total:
                 got, counts[i:j] = self._encode(raw, size[i:j])
@@ -340,6 +350,16 @@ class ByteBpe:
         return ids, np.diff(edge)
 
 
+def _pieces(raw: bytes, size: int | None = None) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes, cut between a letter and a blank that a letter follows: a pre-token always starts there."""
+    size, begin = size or SLICE_BYTES, 0
+    while begin < len(raw):
+        cut = WORD_GAP.search(raw, begin + size)
+        end = cut.start() + 1 if cut else len(raw)
+        yield raw[begin:end]
+        begin = end
+
+
 def _words(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(t.ljust(SHORT, b"\0") for t in tokens), "<u8").reshape(-1, 2)
     return both[:, 0].copy(), both[:, 1].copy(), np.array([len(t) for t in tokens], np.int64)

@@ -26,6 +26,8 @@ from ragtide.sources.tables import durable, spread
 HOT = 4000
 #: Characters in a shard, about.
 SHARD = 1_000_000
+#: Characters that are searched for seeds at once.
+PIECE = 1 << 20
 PRIME = 0x9E3779B97F4A7C15 | 1
 
 
@@ -69,17 +71,28 @@ def seeds_of(texts: list[str], length: int, k: int) -> tuple[np.ndarray, np.ndar
 def _seed_table(texts: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(2).to_pylist()
-            i = 0
-            while i < len(values):
-                j, size = i, 0
-                while j < len(values) and (j == i or size + len(values[j]) < 1 << 20):
-                    size += len(values[j])
-                    j += 1
-                which, at, seed = seeds_of(values[i:j], length, k)
-                index = pa.array(which + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(at.astype(np.int32)), pa.array(seed)], ["row", "rec", "pos", "seed"])
-                i = j
+            pieces: list[str] = []
+            owner: list[int] = []
+            offset: list[int] = []
+            size = 0
+            for i, text in enumerate(batch.column(2)):
+                value = text.as_py()
+                for begin in range(0, max(1, len(value) - length + 1), PIECE):  # every window of a long text lies in one of its pieces
+                    pieces.append(value[begin : begin + PIECE + length - 1])
+                    owner.append(i)
+                    offset.append(begin)
+                    size += len(pieces[-1])
+                    if size >= PIECE:
+                        yield seeded(batch, pieces, owner, offset)
+                        pieces, owner, offset, size = [], [], [], 0
+            if pieces:
+                yield seeded(batch, pieces, owner, offset)
+
+    def seeded(batch: pa.RecordBatch, pieces: list[str], owner: list[int], offset: list[int]) -> pa.RecordBatch:
+        which, at, seed = seeds_of(pieces, length, k)
+        index = pa.array(np.array(owner, np.int64)[which])
+        at = at + np.array(offset, np.int64)[which]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(at.astype(np.int32)), pa.array(seed)], ["row", "rec", "pos", "seed"])
 
     return texts.select("row", "rec", "text").mapInArrow(run, "row bigint, rec bigint, pos int, seed bigint")
 

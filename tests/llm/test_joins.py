@@ -95,8 +95,9 @@ def brute_spans(rows, n):
     return got
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(4000, 1_000_000), (0, 1_000_000), (2, 200)])
-def test_spans_equal_brute_force(spark, hot, shard):
+@pytest.mark.parametrize(("hot", "shard", "piece"), [(4000, 1_000_000, 30), (0, 1_000_000, 1 << 20), (2, 200, 1 << 20)])
+def test_spans_equal_brute_force(spark, monkeypatch, hot, shard, piece):
+    monkeypatch.setattr(spans, "PIECE", piece)
     rng = random.Random(hot + shard)
     passages = ["".join(rng.choice("abcdefé ") for _ in range(rng.randint(10, 60))) for _ in range(8)]
     rows = []

@@ -31,6 +31,19 @@ def test_encoder_equals_the_library(library):
     assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == want
 
 
+def test_long_texts_go_in_pieces(library, monkeypatch):
+    from ragtide.llm import bytebpe
+
+    rng = random.Random(6)
+    text = "".join(rng.choice("ab é's \n1.漢") for _ in range(5000))
+    want = library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bytebpe, "SLICE_BYTES", 100)
+    assert len(list(bytebpe._pieces(text.encode()))) > 3
+    ids, counts = tokens.encoder(tokens.BYTE_BPE_50K).encode(pa.array(["x", text, None, "y"]))
+    assert ids[1:-1].tolist() == want
+    assert counts.tolist() == [1, len(want), 0, 1]
+
+
 def test_round_trip_and_clashing_names(spark, library):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)] + [(None, "x", 1), (0, "", 1)], "doc_id bigint, text string, ids int")
     got = tokens.encode_column(df, "doc_id", "text").collect()
