@@ -115,8 +115,10 @@ def kind_of() -> Column:
     blob = (n("mean_run_length") >= 25) & ~table
     rough = (n("rough_ratio") >= 0.1) & (n("bullet_lines") < 0.5)
     scrambled = strange & ~table & ((n("scrambled_words") >= 0.3) & ~single | rough | (n("vowel_ratio") < 0.27) & (c("letters") >= 20) & ~single)
+    # badly read print keeps some common words, but marks and broken words run through it
+    garbled = (n("symbol_ratio") >= 0.12) & (n("scrambled_words") >= 0.06) & ~table & ((c("lines") < 3) | ~strange)
     return (
-        F.when(c("visible") == 0, "").when(noise | blob | scrambled, "junk").when(table, "table").when(strange & listed, "list").when(strange, "junk").otherwise("prose")
+        F.when(c("visible") == 0, "").when(noise | blob | scrambled | garbled, "junk").when(table, "table").when(strange & listed, "list").when(strange, "junk").otherwise("prose")
     )
 
 

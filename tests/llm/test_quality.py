@@ -43,7 +43,7 @@ def test_kinds_whole_and_in_chunks(spark, chunk):
     got = quality.text_quality(df, "doc_id", "text", words, chunk).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: r.kind for r in got if r.doc_id is not None} == {i: k for i, (_, k) in enumerate(KINDS)}
-    empty = next(r for r in got if r.doc_id == len(KINDS) - 2)
+    empty = next(r for r in got if r.doc_id == len(KINDS) - 3)
     assert (empty.words, empty.mean_word_length, empty.symbol_ratio) == (0, None, None)
     assert quality.text_quality(df.limit(0), "doc_id", "text", words).count() == 0
 
