@@ -39,11 +39,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         def run(spark: SparkSession, d: str) -> DataFrame:
             df = f(spark, d)
-            return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c).cast("bigint").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
+            return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t in ("double", "float") else F.col(c).cast("bigint").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
 
         QUERIES[f.__name__] = run
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace(", 6) AS ", ", 6) + 0.0 AS ")  # no negative zero on either side
         return f
 
     return add
