@@ -32,6 +32,8 @@ CLOSERS = "\"'”’»)]*_"
 ROUGH = "^~|\\{}[]<>@#$%+=*_"
 VOWELS = "aeiouyáéíóúàèùâêîôûäöüëïœæ"
 SPACE, LETTER, DIGIT, MARK, SYMBOL = range(5)
+#: Codes of the characters that are counted one by one.
+MARKS = {name: i for i, name in enumerate(("bars", "tabs", "equals", "tags", "commas", "semicolons", "dots", "ellipsis", "stop", "other", "broken", "mangled"), 1)}
 
 
 class Tables:
@@ -64,13 +66,22 @@ class Tables:
         broken = np.zeros(0x110000, bool)
         broken[0x2500:0x2600] = broken[0xE000:0xF900] = broken[0x80:0xA0] = broken[0:9] = broken[14:32] = True
         broken[0xFFFD] = True
-        self.broken = broken
         mangled = np.zeros(0x110000, bool)
         mangled[[0xC3, 0xC2, 0xE2, 0x20AC, 0xEF, 0xBF, 0xBD, 0x153, 0x2122]] = True
-        self.mangled = mangled
         vowels = np.zeros(0x110000, bool)
         vowels[[ord(c) for c in VOWELS]] = True
-        self.vowels = vowels
+        newline = np.zeros(0x110000, bool)
+        newline[list(NEWLINES)] = True
+        self.newline = newline
+        # one lookup by character: its kind, whether it is a vowel, whether upper case; and one of the marks that are counted
+        self.code = kind | (vowels[low].astype(np.uint8) << 3) | (flag << 4)
+        mark = np.zeros(0x110000, np.uint8)
+        mark[[ord(c) for c in ROUGH]] = MARKS["other"]
+        for name, c in (("bars", "|"), ("tabs", "\t"), ("equals", "="), ("tags", "<"), ("commas", ","), ("semicolons", ";"), ("dots", "."), ("ellipsis", "…"), ("stop", "!?")):
+            mark[[ord(x) for x in c]] = MARKS[name]
+        mark[broken & ~newline & (mark == 0)] = MARKS["broken"]
+        mark[mangled & (mark == 0)] = MARKS["mangled"]
+        self.mark = mark
         rng = np.random.default_rng(7)
         self.power = rng.integers(1, 2**63, EDGE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.common = np.sort(np.array([self.hash(w) for w in self.common_words if len(w) <= EDGE] or [0], np.uint64))
@@ -181,8 +192,9 @@ def _measure(values: list[str | None], t: Tables, out: np.ndarray, parts: list,
     n = len(points)
     sizes = np.array([len(values[k]) for k in own])
     begin = np.cumsum(sizes) - sizes
-    kind = t.kind[points]
-    newline = np.isin(points, NEWLINES)
+    code = t.code[points]
+    kind, upper = code & 7, code > 15
+    newline = t.newline[points]
     first = np.zeros(n, bool)
     first[begin] = True
     # lines: a line starts at a text's start and after each newline
@@ -194,9 +206,13 @@ def _measure(values: list[str | None], t: Tables, out: np.ndarray, parts: list,
     core = np.ones(n, bool)  # what is counted, without the context
     for k, o in enumerate(own if before is not None else ()):
         core[begin[k] : begin[k] + before[o]] = core[begin[k] + sizes[k] - after[o] : begin[k] + sizes[k]] = False
+    inner_only = before is not None
 
     def per_line(at: np.ndarray) -> np.ndarray:
-        return np.bincount(line_of[at[core[at]]], minlength=m)
+        return np.bincount(line_of[at[core[at]] if inner_only else at], minlength=m)
+
+    def by_code(at: np.ndarray | slice, codes: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(line_of[at] * width + codes, minlength=m * width).reshape(m, width)
 
     space = kind == SPACE
     wordy = (kind == LETTER) | (kind == DIGIT) | (kind == MARK)
@@ -226,31 +242,36 @@ def _measure(values: list[str | None], t: Tables, out: np.ndarray, parts: list,
     def put(name: str, got: np.ndarray) -> None:
         sums[:, S[name]] = got
 
-    put("chars", per_line(np.arange(n)))
-    put("visible", per_line(np.flatnonzero(visible)))
-    put("letters", per_line(np.flatnonzero(kind == LETTER)))
-    put("digits", per_line(np.flatnonzero(kind == DIGIT)))
-    put("symbols", per_line(np.flatnonzero((kind == SYMBOL) & ~(quote & wordy))))
+    kinds = by_code(core, code[core], 32) if inner_only else by_code(slice(None), code, 32)
+    each = {k: kinds[:, [c for c in range(32) if c & 7 == k]].sum(axis=1) for k in (SPACE, LETTER, DIGIT, MARK, SYMBOL)}
+    put("chars", kinds.sum(axis=1))
+    put("visible", kinds.sum(axis=1) - each[SPACE])
+    put("letters", each[LETTER])
+    put("digits", each[DIGIT])
+    put("symbols", each[SYMBOL] - per_line(np.flatnonzero(inner) + 1 if n > 2 else np.empty(0, np.int64)))
+    put("vowels", kinds[:, [c for c in range(32) if c & 8]].sum(axis=1))
+    marks = t.mark[points]
+    marked = np.flatnonzero(marks)
+    counted = marked[core[marked]] if inner_only else marked
+    shown = by_code(counted, marks[counted], 16)
+    for name in ("bars", "tabs", "equals", "tags", "commas", "semicolons", "dots", "broken", "mangled"):
+        put(name, shown[:, MARKS[name]])
+    put("rough", shown[:, [MARKS[x] for x in ("bars", "equals", "tags", "other")]].sum(axis=1))
     put("words", per_line(word_at))
     put("word_chars", per_line(spot))
     put("common", per_line(word_at[common]))
     put("repeats", per_line(word_at[repeat]))
-    put("capitals", per_line(word_at[t.upper[points[word_at]]]))
-    for name, c in (("bars", 124), ("tabs", 9), ("equals", 61), ("tags", 60), ("commas", 44), ("semicolons", 59), ("dots", 46)):
-        put(name, per_line(np.flatnonzero(points == c)))
-    put("broken", per_line(np.flatnonzero(t.broken[points])))
-    put("mangled", per_line(np.flatnonzero(t.mangled[points])))
-    put("rough", per_line(np.flatnonzero(np.isin(points, [ord(c) for c in ROUGH]))))
+    put("capitals", per_line(word_at[upper[word_at]]))
     joined = np.concatenate([[False], ~line_start[1:]])
     left = np.concatenate([[SPACE], kind[:-1]])
-    small = (kind == LETTER) & ~t.upper[points]
-    put("humps", per_line(np.flatnonzero(joined & t.upper[points] & np.concatenate([[False], small[:-1]]))))
+    small = (kind == LETTER) & ~upper
+    put("humps", per_line(np.flatnonzero(joined & upper & np.concatenate([[False], small[:-1]]))))
     put("mixed", per_line(np.flatnonzero(joined & ((kind == LETTER) & (left == DIGIT) | (kind == DIGIT) & (left == LETTER)))))
-    put("vowels", per_line(np.flatnonzero(t.vowels[low])))
     # visible runs, and gaps of three blanks or more before one that does not begin its line
     token_at = np.flatnonzero(visible & np.concatenate([[True], space[:-1] | line_start[1:]]))
     put("tokens", per_line(token_at))
-    previous = np.concatenate([[-1], np.flatnonzero(visible)])[np.searchsorted(np.flatnonzero(visible), token_at)]
+    shown_at = np.flatnonzero(visible)
+    previous = np.concatenate([[-1], shown_at])[np.searchsorted(shown_at, token_at)]
     bound = np.maximum(np.maximum(previous + 1, line_at[line_of[token_at]]), token_at - CONTEXT)
     inside = (bound == previous + 1) & (line_at[line_of[token_at]] <= previous) | (bound > line_at[line_of[token_at]])
     if before is not None:  # where the context ends, the line goes on to the left
@@ -259,18 +280,16 @@ def _measure(values: list[str | None], t: Tables, out: np.ndarray, parts: list,
         inside |= cut[bound]
     put("gaps", per_line(token_at[inside & (token_at - bound >= 3)]))
     # a sentence ends where a stop follows a word character and a blank or the line's end follows
-    stop = np.isin(points, [46, 33, 63])
-    followed = np.concatenate([space[1:] | line_start[1:], [True]])
-    prior = np.concatenate([[False], wordy[:-1]])
-    put("stops", per_line(np.flatnonzero(stop & followed & prior)))
-    dots = (points == 46) | (points == 0x2026)
-    run = dots.copy()
-    for k in (1, 2, 3):
-        run[k:] &= dots[:-k] & (line_of[k:] == line_of[:-k])
-        run[:k] = False
-    put("leaders", per_line(np.flatnonzero(run & ~np.concatenate([[False], run[:-1]]))))
+    stop = marked[(marks[marked] == MARKS["dots"]) | (marks[marked] == MARKS["stop"])]
+    behind, ahead = np.maximum(stop - 1, 0), np.minimum(stop + 1, n - 1)
+    put("stops", per_line(stop[(stop > 0) & wordy[behind] & ((stop == n - 1) | space[ahead] | line_start[ahead])]))
+    dots = marked[(marks[marked] == MARKS["dots"]) | (marks[marked] == MARKS["ellipsis"])]
+    row = np.zeros(len(dots), bool)  # the fourth dot of a row and those behind it
+    row[3:] = (dots[3:] - dots[:-3] == 3) & (line_of[dots[3:]] == line_of[dots[:-3]])
+    first_of = row & ~np.concatenate([[False], row[:-1] & (np.diff(dots) == 1)]) if len(dots) else row
+    put("leaders", per_line(dots[first_of]))
     line_text = np.searchsorted(begin, line_at, side="right") - 1
-    seen = np.flatnonzero(visible & core)
+    seen = np.flatnonzero(visible & core) if inner_only else np.flatnonzero(visible)
     line_first = np.searchsorted(line_of[seen], np.arange(m), side="left")
     has = sums[:, S["visible"]] > 0
     is_open = np.zeros(m, bool)
@@ -280,7 +299,8 @@ def _measure(values: list[str | None], t: Tables, out: np.ndarray, parts: list,
         tail_line = {k: int(inner_lines[np.searchsorted(line_text[inner_lines], k, side="right") - 1]) for k in head_line}
         is_open[[*head_line.values(), *tail_line.values()]] = True
     if len(seen):
-        last_seen = np.searchsorted(line_of[seen], np.arange(m), side="right") - 1
+        line_end = np.searchsorted(line_of[seen], np.arange(m), side="right")
+        last_seen = line_end - 1
         closers, stops = [ord(c) for c in CLOSERS], [ord(c) for c in STOPS]
         last_point = points[seen[np.maximum(last_seen, 0)]]
         for _ in range(2):  # look behind closing quotes
@@ -298,7 +318,7 @@ def _measure(values: list[str | None], t: Tables, out: np.ndarray, parts: list,
             sums[:, S[name + "2"]] = close * sums[:, S[name]] ** 2
         # only lines that begin with a symbol or a digit can have a list mark
         for k in np.flatnonzero(close)[np.isin(kind[seen[line_first[close]]], (SYMBOL, DIGIT))]:
-            sums[k, S["bullets"]] = is_bullet("".join(chr(points[c]) for c in seen[line_first[k] : line_first[k] + HEAD] if line_of[c] == k))
+            sums[k, S["bullets"]] = is_bullet("".join(map(chr, points[seen[line_first[k] : min(line_first[k] + HEAD, line_end[k])]].tolist())))
     np.add.at(out, np.array(own)[line_text[~is_open]], sums[~is_open])
     if before is None:
         return
