@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 
@@ -36,6 +37,44 @@ SPACE, LETTER, DIGIT, MARK, SYMBOL = range(5)
 MARKS = {name: i for i, name in enumerate(("bars", "tabs", "equals", "tags", "commas", "semicolons", "dots", "ellipsis", "stop", "other", "broken", "mangled"), 1)}
 
 
+@cache
+def characters() -> dict[str, np.ndarray]:
+    """The lookup tables by code point; built once in a worker, whatever tasks it runs."""
+    kind, low, flag = np.full(0x110000, SYMBOL, np.uint8), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, np.uint8)
+    classes = {"L": LETTER, "N": DIGIT, "M": MARK, "Z": SPACE}
+    for i in range(0x30000):
+        c = chr(i)
+        k = unicodedata.category(c)
+        kind[i] = classes.get(k[0], SYMBOL)
+        if k[0] == "L":
+            lower = c.lower()
+            low[i] = ord(lower) if len(lower) == 1 else i
+            flag[i] = lower != c
+        elif k in ("Cf",):
+            kind[i] = MARK
+    kind[[9, 10, 11, 12, 13, 0x85]] = SPACE
+    broken = np.zeros(0x110000, bool)
+    broken[0x2500:0x2600] = broken[0xE000:0xF900] = broken[0x80:0xA0] = broken[0:9] = broken[14:32] = True
+    broken[0xFFFD] = True
+    mangled = np.zeros(0x110000, bool)
+    mangled[[0xC3, 0xC2, 0xE2, 0x20AC, 0xEF, 0xBF, 0xBD, 0x153, 0x2122]] = True
+    vowels = np.zeros(0x110000, bool)
+    vowels[[ord(c) for c in VOWELS]] = True
+    newline = np.zeros(0x110000, bool)
+    newline[list(NEWLINES)] = True
+    # one lookup by character: its kind, whether it is a vowel, whether upper case; and one of the marks that are counted
+    code = kind | (vowels[low].astype(np.uint8) << 3) | (flag << 4)
+    mark = np.zeros(0x110000, np.uint8)
+    mark[[ord(c) for c in ROUGH]] = MARKS["other"]
+    for name, c in (("bars", "|"), ("tabs", "\t"), ("equals", "="), ("tags", "<"), ("commas", ","), ("semicolons", ";"), ("dots", "."), ("ellipsis", "…"), ("stop", "!?")):
+        mark[[ord(x) for x in c]] = MARKS[name]
+    mark[broken & ~newline & (mark == 0)] = MARKS["broken"]
+    mark[mangled & (mark == 0)] = MARKS["mangled"]
+    rng = np.random.default_rng(7)
+    power = rng.integers(1, 2**63, EDGE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return {"kind": kind, "low": low, "newline": newline, "code": code, "mark": mark, "power": power}
+
+
 class Tables:
     """Lookup tables by code point, and the hashes of the common words."""
 
@@ -49,43 +88,8 @@ class Tables:
     def build(self) -> None:
         if self.kind is not None:
             return
-        kind, low, flag = np.full(0x110000, SYMBOL, np.uint8), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, np.uint8)
-        classes = {"L": LETTER, "N": DIGIT, "M": MARK, "Z": SPACE}
-        for i in range(0x30000):
-            c = chr(i)
-            k = unicodedata.category(c)
-            kind[i] = classes.get(k[0], SYMBOL)
-            if k[0] == "L":
-                lower = c.lower()
-                low[i] = ord(lower) if len(lower) == 1 else i
-                flag[i] = lower != c
-            elif k in ("Cf",):
-                kind[i] = MARK
-        kind[[9, 10, 11, 12, 13, 0x85]] = SPACE
-        self.low, self.upper = low, flag.astype(bool)
-        broken = np.zeros(0x110000, bool)
-        broken[0x2500:0x2600] = broken[0xE000:0xF900] = broken[0x80:0xA0] = broken[0:9] = broken[14:32] = True
-        broken[0xFFFD] = True
-        mangled = np.zeros(0x110000, bool)
-        mangled[[0xC3, 0xC2, 0xE2, 0x20AC, 0xEF, 0xBF, 0xBD, 0x153, 0x2122]] = True
-        vowels = np.zeros(0x110000, bool)
-        vowels[[ord(c) for c in VOWELS]] = True
-        newline = np.zeros(0x110000, bool)
-        newline[list(NEWLINES)] = True
-        self.newline = newline
-        # one lookup by character: its kind, whether it is a vowel, whether upper case; and one of the marks that are counted
-        self.code = kind | (vowels[low].astype(np.uint8) << 3) | (flag << 4)
-        mark = np.zeros(0x110000, np.uint8)
-        mark[[ord(c) for c in ROUGH]] = MARKS["other"]
-        for name, c in (("bars", "|"), ("tabs", "\t"), ("equals", "="), ("tags", "<"), ("commas", ","), ("semicolons", ";"), ("dots", "."), ("ellipsis", "…"), ("stop", "!?")):
-            mark[[ord(x) for x in c]] = MARKS[name]
-        mark[broken & ~newline & (mark == 0)] = MARKS["broken"]
-        mark[mangled & (mark == 0)] = MARKS["mangled"]
-        self.mark = mark
-        rng = np.random.default_rng(7)
-        self.power = rng.integers(1, 2**63, EDGE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.__dict__ |= characters()
         self.common = np.sort(np.array([self.hash(w) for w in self.common_words if len(w) <= EDGE] or [0], np.uint64))
-        self.kind = kind
 
     def hash(self, word: str) -> int:
         return sum(int(self.low[ord(c)]) * int(p) for c, p in zip(word, self.power, strict=False)) % 2**64
