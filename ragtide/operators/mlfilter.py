@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -10,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragtide.functions.text import jaccard, tokens
+from ragtide.operators import providers
+from ragtide.sources.tables import durable
 
-FEATURES = ("filterrag_score", "query_only_score", "answer_token_overlap_score", "matched_words", "distinct_words", "answer_length", "passage_length", "query_overlap", "retrieval_score")
+FEATURES = ("filterrag_score", "query_only_score", "answer_token_overlap_score", "matched_words", "distinct_words", "answer_length", "passage_length", "query_overlap", "retrieval_score", "perplexity", "slm_answer_logprob")
 #: Rows with a label that a model is fitted on at most; a documented bound, as trees need no more.
 TRAIN_ROWS = 200_000
 
@@ -23,7 +28,9 @@ def safe(x: Column) -> Column:
 
 
 def features(rows: DataFrame, question: str = "question", answer: str = "slm_answer", passage: str = "text_preview") -> DataFrame:
-    """``rows`` with FEATURES as doubles; none reads the label."""
+    """``rows`` with FEATURES as doubles; none reads the label. Perplexity and log-probability are by the stand-in over all distinct passages."""
+    corpus = rows.select(passage).distinct()
+    rows = providers.unigram_logprob(providers.unigram_perplexity(rows, passage, corpus, passage), answer, corpus, passage)
     q, a, p = tokens(F.col(question)), tokens(F.col(answer)), tokens(F.col(passage))
     keys = F.array_distinct(F.concat(q, a))
     made = {
@@ -40,8 +47,11 @@ def model_kind(dataset: str) -> str:
     return kinds[dataset]
 
 
-def fit(labelled: DataFrame, label: str = "is_poison", kind: str = "forest", seed: int = 12, trees: int = 20) -> PipelineModel:
-    """A fitted pipeline from FEATURES to probability, over at most TRAIN_ROWS rows chosen by the hash of their content."""
+def fit(labelled: DataFrame, label: str = "is_poison", kind: str = "forest", seed: int = 12, trees: int = 100) -> PipelineModel:
+    """A fitted pipeline from FEATURES to probability, over at most TRAIN_ROWS rows chosen by the hash of their content.
+
+    A forest's trees grow until their leaves are pure or Spark's bound of 30 levels; boosted trees have the defaults of XGBoost (depth 6, rate 0.3).
+    """
     missing = [c for c in FEATURES if c not in labelled.columns]
     if missing:
         raise ValueError(f"missing features: {missing}")
@@ -49,7 +59,7 @@ def fit(labelled: DataFrame, label: str = "is_poison", kind: str = "forest", see
     total = rows.count()
     if total > TRAIN_ROWS:
         rows = rows.where(F.pmod(F.xxhash64(*FEATURES), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / total))
-    made = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=seed, labelCol="label") if kind == "forest" else GBTClassifier(maxIter=trees, maxDepth=4, seed=seed, labelCol="label")
+    made = RandomForestClassifier(numTrees=trees, maxDepth=30, seed=seed, labelCol="label") if kind == "forest" else GBTClassifier(maxIter=trees, maxDepth=6, stepSize=0.3, seed=seed, labelCol="label")
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), made]).fit(rows)
 
 
@@ -57,3 +67,23 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """``rows`` with the probability of class 1."""
     got = model.transform(rows)
     return got.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "prediction")
+
+
+def fit_and_score(rows: DataFrame, kind: str | None = None, label: str = "is_poison") -> DataFrame:
+    """The test rows of ``rows`` (FEATURES, dataset, split) with the probability by a model of their own dataset, fitted on its training rows.
+
+    The ensemble is ``kind``, or by ``model_kind``. Where all training rows are of one class the probability is that class; null where a dataset has none.
+    """
+    rows = durable(rows)
+    classes: dict[str, list[bool]] = {r[0]: r[1] for r in rows.groupBy("dataset").agg(F.collect_set(F.when(F.col("split") == "train", F.col(label)))).collect()}  # one row a dataset
+
+    def one(dataset: str) -> DataFrame:
+        own, seen = rows.where(F.col("dataset") == dataset), classes[dataset]
+        test = own.where("split = 'test'")
+        if len(seen) < 2:
+            return test.withColumn("probability", F.lit(float(seen[0]) if seen else None).cast("double"))
+        return durable(score(fit(own.where("split = 'train'"), label, kinds[dataset]), test))
+
+    kinds = {dataset: kind or model_kind(dataset) for dataset in classes}
+    with ThreadPoolExecutor(3) as pool:  # a fit is many small jobs; those of a few datasets run side by side
+        return reduce(DataFrame.unionByName, pool.map(one, sorted(classes)), rows.where("false").withColumn("probability", F.lit(None).cast("double")))

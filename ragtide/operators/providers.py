@@ -18,15 +18,31 @@ def no_answers(df: DataFrame) -> DataFrame:
     return df.withColumn("slm_answer", F.lit(None).cast("string"))
 
 
+def _unigram(df: DataFrame, text: str, corpus: DataFrame, corpus_text: str) -> DataFrame:
+    """``df`` with _len and _nll: tokens of ``text`` and minus the sum of their log-probabilities by an add-one unigram model of ``corpus``. Each distinct text is scored once."""
+    counts = corpus.select(F.explode(tokens(F.col(corpus_text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count("*").alias("kinds"))
+    each = df.select(text).distinct().select(text, F.explode(tokens(F.col(text))).alias("w")).groupBy(text, "w").agg(F.count("*").alias("m")).join(counts, "w", "left").crossJoin(total)  # one row of totals
+    nll = each.groupBy(text).agg(F.sum("m").alias("_len"), F.sum(-F.col("m") * F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("all") + F.col("kinds") + 1))).alias("_nll"))
+    return df.join(nll, text, "left")
+
+
+def _noted(df: DataFrame, note: str) -> DataFrame:
+    """``note`` in notes, behind what is there."""
+    return df.withColumn("notes", F.concat_ws("; ", *(["notes"] if "notes" in df.columns else []), F.lit(note)))
+
+
 def unigram_perplexity(df: DataFrame, text: str, corpus: DataFrame, corpus_text: str) -> DataFrame:
     """perplexity by an add-one unigram model of ``corpus``, a stand-in for a language model's; 1 for texts of fewer than two tokens."""
-    counts = corpus.select(F.explode(tokens(F.col(corpus_text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("_row", F.explode(tokens(F.col(text))).alias("w")).groupBy("_row", "w").agg(F.count("*").alias("m")).join(counts, "w", "left").crossJoin(total)  # one row of totals
-    nll = each.groupBy("_row").agg(F.sum("m").alias("len"), F.sum(-F.col("m") * F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("all") + F.col("kinds") + 1))).alias("nll"))
-    got = rows.join(nll, "_row", "left")
-    return got.withColumn("perplexity", F.when(F.coalesce("len", F.lit(0)) < 2, F.lit(1.0)).otherwise(F.exp(F.col("nll") / F.col("len")))).withColumn("notes", F.lit("perplexity: unigram proxy")).drop("_row", "len", "nll")
+    got = _unigram(df, text, corpus, corpus_text)
+    got = got.withColumn("perplexity", F.when(F.coalesce("_len", F.lit(0)) < 2, F.lit(1.0)).otherwise(F.exp(F.col("_nll") / F.col("_len")))).drop("_len", "_nll")
+    return _noted(got, "perplexity: unigram proxy")
+
+
+def unigram_logprob(df: DataFrame, answer: str, corpus: DataFrame, corpus_text: str) -> DataFrame:
+    """slm_answer_logprob, the joint log-probability of an answer's tokens by the same model, a stand-in for the answering model's own; 0 without an answer."""
+    got = _unigram(df, answer, corpus, corpus_text).withColumn("slm_answer_logprob", F.coalesce(-F.col("_nll"), F.lit(0.0))).drop("_len", "_nll")
+    return _noted(got, "slm_answer_logprob: unigram proxy")
 
 
 def embedding_hashed(df: DataFrame, text: str, size: int = 64) -> DataFrame:

@@ -548,18 +548,16 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ml_filter(spark: SparkSession, d: str) -> DataFrame:
-    """A forest fitted on the training queries, applied to the passages of the others."""
-    rows = _features(spark, d)
-    scored = mlfilter.score(mlfilter.fit(rows.where("split = 'train'")), rows.where("split = 'test'"))
+    """For each dataset its kind of ensemble, fitted on the training queries and applied to the passages of the others."""
+    scored = mlfilter.fit_and_score(_features(spark, d))
     flagged = D.apply("classifier", scored.withColumn("query_id", F.col("record_id")), ["query_id"])
     return M.confusion(flagged, ["dataset", "k"], "is_poison", "removed")
 
 
 @query()
 def ml_filter_boosted(spark: SparkSession, d: str) -> DataFrame:
-    rows = _features(spark, d)
-    scored = mlfilter.score(mlfilter.fit(rows.where("split = 'train'"), kind="boosted", trees=10), rows.where("split = 'test'"))
-    return M.roc_auc(scored, ["dataset"], "is_poison", "probability")
+    """The same with boosted trees for every dataset."""
+    return M.roc_auc(mlfilter.fit_and_score(_features(spark, d), "boosted"), ["dataset"], "is_poison", "probability")
 
 
 @query()
