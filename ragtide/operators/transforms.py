@@ -56,8 +56,8 @@ def coral_ridge(poison: np.ndarray, clean: np.ndarray, beta: float, ridge: float
     return unit_rows((1 - beta) * poison + beta * ((poison - mean) @ white @ colour + mean))
 
 
-def mmd_descent(poison: np.ndarray, clean: np.ndarray, steps: int, rate: float = 0.1, keep: float = 0.1, gamma: float = 1.0) -> np.ndarray:
-    """Poisoned vectors moved down the gradient of the squared RBF discrepancy plus ``keep`` times the squared displacement, on the unit sphere."""
+def mmd_descent(poison: np.ndarray, clean: np.ndarray, steps: int, rate: float = 0.05, keep: float = 0.1, gamma: float = 1.0) -> np.ndarray:
+    """Poisoned vectors moved down the gradient of the squared RBF discrepancy plus ``keep`` times their mean squared displacement, on the unit sphere."""
     z = poison.copy()
     if not len(poison) or not len(clean):
         return z
@@ -66,7 +66,7 @@ def mmd_descent(poison: np.ndarray, clean: np.ndarray, steps: int, rate: float =
         own = z[:, None] - z[None]
         far = z[:, None] - clean[None]
         k_own, k_far = np.exp(-gamma * (own**2).sum(-1)), np.exp(-gamma * (far**2).sum(-1))
-        grad = -4 * gamma * (k_own[..., None] * own).sum(1) / n**2 + 4 * gamma * (k_far[..., None] * far).sum(1) / (n * m) + 2 * keep * (z - poison)
+        grad = -4 * gamma * (k_own[..., None] * own).sum(1) / n**2 + 4 * gamma * (k_far[..., None] * far).sum(1) / (n * m) + 2 * keep * (z - poison) / n
         z = unit_rows(z - rate * grad)
     return z
 
@@ -87,24 +87,25 @@ def anchor_interpolate(poison: np.ndarray, clean: np.ndarray, alpha: float, stra
     return unit_rows(alpha * poison + (1 - alpha) * clean[anchors(poison, clean, strategy)])
 
 
-def by_group(passages: DataFrame, keys: list[str], params: list[float], move: Callable[[np.ndarray, np.ndarray, float], np.ndarray], name: str) -> DataFrame:
-    """``passages`` (keys, doc_id, rank, is_poison, embedding) for every parameter, with the poisoned vectors moved; original has the one before."""
+def by_group(passages: DataFrame, keys: list[str], params: list[tuple[float, ...]], move: Callable[..., np.ndarray], names: tuple[str, ...]) -> DataFrame:
+    """``passages`` (keys, doc_id, rank, is_poison, embedding) for every setting of ``names``, with the poisoned vectors moved; original has the one before."""
     kinds = ", ".join(f"{k} {passages.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("rank")
         x, p = np.array(f["embedding"].tolist(), np.float64), f["is_poison"].to_numpy(bool)
         out = []
-        for value in params:
+        for values in params:
             y = x.copy()
             if p.any():
-                y[p] = move(x[p], x[~p], value)
-            out.append(f.assign(embedding=list(y), original=list(x), **{name: float(value)}))
+                y[p] = move(x[p], x[~p], *values)
+            out.append(f.assign(embedding=list(y), original=list(x), **dict(zip(names, map(float, values), strict=True))))
         return pd.concat(out)
 
     given = passages.select(*keys, "doc_id", "rank", "is_poison", V.doubles(F.col("embedding")).alias("embedding"))
     doc, rank = (passages.schema[c].dataType.simpleString() for c in ("doc_id", "rank"))
-    return given.groupBy(*keys).applyInPandas(run, f"{kinds}, doc_id {doc}, rank {rank}, is_poison boolean, embedding array<double>, original array<double>, {name} double")
+    settings = ", ".join(f"{name} double" for name in names)
+    return given.groupBy(*keys).applyInPandas(run, f"{kinds}, doc_id {doc}, rank {rank}, is_poison boolean, embedding array<double>, original array<double>, {settings}")
 
 
 def pca_coordinates(passages: DataFrame, keys: list[str]) -> DataFrame:

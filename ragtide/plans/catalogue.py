@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 RECORD_FIELDS = ["question", "defense", "output_poison", "incorrect_answer", "answer", "output_poison_no_defense"]
+BETAS = [0.0, 0.25, 0.5, 0.75, 1.0]
 ALPHAS = [1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]
 EPSILONS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0]
 TEMPLATE = "Answer from the contexts.\n\nContexts: [context] \n\nQuery: [question] \n\nAnswer:"
@@ -565,30 +567,31 @@ def pca_coords(spark: SparkSession, d: str) -> DataFrame:
     return transforms.pca_coordinates(_top(spark, d), Q)
 
 
-def _moved(spark: SparkSession, d: str, move: Callable, params: list[float], name: str) -> DataFrame:
-    moved = transforms.by_group(_top(spark, d), Q, params, move, name)
-    keys = [*Q, name]
+def _moved(spark: SparkSession, d: str, move: Callable, names: tuple[str, ...], *grid: list[float]) -> DataFrame:
+    """Preservation and discrepancy of every set at every point of a grid, a list of values for each of ``names``."""
+    moved = durable(transforms.by_group(_top(spark, d), Q, list(product(*grid)), move, names))
+    keys = [*Q, *names]
     return P.preservation(moved, keys).join(P.mmd_rbf(P.pair_table(moved, keys), keys), keys)
 
 
 @query()
 def coral_pca(spark: SparkSession, d: str) -> DataFrame:
-    return _moved(spark, d, transforms.coral_pca, [0.0, 0.25, 0.5, 0.75, 1.0], "beta")
+    return _moved(spark, d, transforms.coral_pca, ("beta",), BETAS)
 
 
 @query()
 def coral_ridge(spark: SparkSession, d: str) -> DataFrame:
-    return _moved(spark, d, transforms.coral_ridge, [0.0, 0.25, 0.5, 0.75, 1.0], "beta")
+    return _moved(spark, d, transforms.coral_ridge, ("beta", "ridge"), BETAS, [0.1, 0.01, 0.001])
 
 
 @query()
 def mmd_descent(spark: SparkSession, d: str) -> DataFrame:
-    return _moved(spark, d, lambda p, c, s: transforms.mmd_descent(p, c, int(s)), [0.0, 5.0, 20.0], "steps")
+    return _moved(spark, d, lambda p, c, steps, keep: transforms.mmd_descent(p, c, int(steps), keep=keep), ("steps", "keep"), [0.0, 50.0, 100.0], [0.01, 0.1, 1.0])
 
 
 @query()
 def e1_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return _moved(spark, d, lambda p, c, a: transforms.anchor_interpolate(p, c, a, "nearest"), ALPHAS, "alpha")
+    return _moved(spark, d, lambda p, c, a: transforms.anchor_interpolate(p, c, a, "nearest"), ("alpha",), ALPHAS)
 
 
 @query()
