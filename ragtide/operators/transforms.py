@@ -6,7 +6,6 @@ A group is a query's retrieved passages, so its size is bounded by k; groups are
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -71,20 +70,62 @@ def mmd_descent(poison: np.ndarray, clean: np.ndarray, steps: int, rate: float =
     return z
 
 
-def anchors(poison: np.ndarray, clean: np.ndarray, strategy: str) -> np.ndarray:
-    """For each poisoned row the clean row that it is tied to: rank_aligned, or the one-to-one choice of most or least total cosine."""
+def assign(cost: np.ndarray) -> np.ndarray:
+    """For each row a column of its own, so that the total cost is least (Hungarian method); there are as many columns as rows at least."""
+    n, m = cost.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, np.int64)  # owner: the row of each column, from 1; column 0 holds the row that is placed
+    for i in range(1, n + 1):
+        owner[0], j = i, 0
+        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
+        while owner[j]:
+            used[j] = True
+            left = cost[owner[j] - 1] - u[owner[j]] - v[1:]
+            better = ~used[1:] & (left < least[1:])
+            least[1:][better], way[1:][better] = left[better], j
+            to = int(np.where(used, np.inf, least)[1:].argmin()) + 1
+            step = least[to]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            j = to
+        while j:
+            owner[j] = owner[way[j]]
+            j = way[j]
+    got = np.empty(n, np.int64)
+    held = np.flatnonzero(owner[1:])
+    got[owner[1:][held] - 1] = held
+    return got
+
+
+STRATEGIES = ("rank_aligned", "nearest", "farthest", "random")
+
+
+def anchors(poison: np.ndarray, clean: np.ndarray, strategy: str, every: bool = False, seed: int = 12) -> np.ndarray:
+    """For each poisoned row the clean row that it is tied to: rank_aligned, the choice of most (nearest) or least (farthest) total cosine, or random by ``seed``.
+
+    One-to-one, among the first clean rows, as many as there are poisoned ones, or ``every`` one. Where there are fewer
+    clean rows than poisoned ones, each is offered equally often: as often as is needed, and none exists one-to-one.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no such anchor strategy: {strategy}")
     n = len(poison)
-    if strategy == "rank_aligned" or n > len(clean) or n > 6:
-        return np.arange(n) % max(1, len(clean))
-    sim = unit_rows(poison) @ unit_rows(clean[:n]).T
-    sign = 1 if strategy == "nearest" else -1
-    return np.array(max(permutations(range(n)), key=lambda p: sign * sum(sim[i, j] for i, j in enumerate(p))), np.int64)
+    if not n or not len(clean):
+        return np.zeros(n, np.int64)
+    offered = np.tile(np.arange(len(clean)), -(-n // len(clean)))
+    if not every and n <= len(clean):
+        offered = offered[:n]
+    if strategy == "rank_aligned":
+        return offered[:n]
+    if strategy == "random":
+        return np.random.default_rng(seed).permutation(offered)[:n]
+    sim = unit_rows(poison) @ unit_rows(clean[offered]).T
+    return offered[assign(-sim if strategy == "nearest" else sim)]
 
 
 def anchor_interpolate(poison: np.ndarray, clean: np.ndarray, alpha: float, strategy: str = "rank_aligned") -> np.ndarray:
     if not len(clean) or alpha == 1:
         return poison
-    return unit_rows(alpha * poison + (1 - alpha) * clean[anchors(poison, clean, strategy)])
+    return unit_rows(alpha * poison + (1 - alpha) * clean[anchors(poison, clean, strategy, every=True)])
 
 
 def by_group(passages: DataFrame, keys: list[str], params: list[tuple[float, ...]], move: Callable[..., np.ndarray], names: tuple[str, ...]) -> DataFrame:

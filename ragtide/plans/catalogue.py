@@ -567,31 +567,34 @@ def pca_coords(spark: SparkSession, d: str) -> DataFrame:
     return transforms.pca_coordinates(_top(spark, d), Q)
 
 
-def _moved(spark: SparkSession, d: str, move: Callable, names: tuple[str, ...], *grid: list[float]) -> DataFrame:
+def _moved(top: DataFrame, move: Callable, names: tuple[str, ...], *grid: list[float]) -> DataFrame:
     """Preservation and discrepancy of every set at every point of a grid, a list of values for each of ``names``."""
-    moved = durable(transforms.by_group(_top(spark, d), Q, list(product(*grid)), move, names))
+    moved = durable(transforms.by_group(top, Q, list(product(*grid)), move, names))
     keys = [*Q, *names]
     return P.preservation(moved, keys).join(P.mmd_rbf(P.pair_table(moved, keys), keys), keys)
 
 
 @query()
 def coral_pca(spark: SparkSession, d: str) -> DataFrame:
-    return _moved(spark, d, transforms.coral_pca, ("beta",), BETAS)
+    return _moved(_top(spark, d), transforms.coral_pca, ("beta",), BETAS)
 
 
 @query()
 def coral_ridge(spark: SparkSession, d: str) -> DataFrame:
-    return _moved(spark, d, transforms.coral_ridge, ("beta", "ridge"), BETAS, [0.1, 0.01, 0.001])
+    return _moved(_top(spark, d), transforms.coral_ridge, ("beta", "ridge"), BETAS, [0.1, 0.01, 0.001])
 
 
 @query()
 def mmd_descent(spark: SparkSession, d: str) -> DataFrame:
-    return _moved(spark, d, lambda p, c, steps, keep: transforms.mmd_descent(p, c, int(steps), keep=keep), ("steps", "keep"), [0.0, 50.0, 100.0], [0.01, 0.1, 1.0])
+    return _moved(_top(spark, d), lambda p, c, steps, keep: transforms.mmd_descent(p, c, int(steps), keep=keep), ("steps", "keep"), [0.0, 50.0, 100.0], [0.01, 0.1, 1.0])
 
 
 @query()
 def e1_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return _moved(spark, d, lambda p, c, a: transforms.anchor_interpolate(p, c, a, "nearest"), ("alpha",), ALPHAS)
+    """Poisoned vectors moved to their nearest clean anchors; one_to_one is false where there are fewer clean than poisoned rows, so anchors repeat."""
+    top = _top(spark, d)
+    moved = _moved(top, lambda p, c, a: transforms.anchor_interpolate(p, c, a, "nearest"), ("alpha",), ALPHAS)
+    return moved.join(top.groupBy(*Q).agg((F.count_if("is_poison") <= F.count_if(~F.col("is_poison"))).alias("one_to_one")), Q)
 
 
 @query()

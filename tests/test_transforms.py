@@ -1,4 +1,4 @@
-from itertools import product
+from itertools import permutations, product
 
 import numpy as np
 import pytest
@@ -31,3 +31,34 @@ def test_descent_follows_its_loss():
         d[i] = e
         grad[i] = (loss(z + d, keep) - loss(z - d, keep)) / (2 * e)
     assert np.allclose(transforms.mmd_descent(p, c, 2, keep=keep), transforms.unit_rows(z - 0.05 * grad), atol=1e-8)
+
+
+@pytest.mark.parametrize(("n", "m"), [(3, 3), (4, 6), (1, 4), (6, 4), (7, 7), (5, 2)])
+def test_anchors_are_the_best_choice(n, m):
+    rng = np.random.default_rng(n * 10 + m)
+    p, c = (transforms.unit_rows(rng.normal(size=(k, 5))) for k in (n, m))
+    offered = list(range(m)) * -(-n // m)
+    sim = p @ c.T
+    totals = [sum(sim[i, j] for i, j in enumerate(q)) for q in set(permutations(offered, n))]
+    for strategy, best in (("nearest", max), ("farthest", min)):
+        got = transforms.anchors(p, c, strategy, every=True)
+        assert sim[range(n), got].sum() == pytest.approx(best(totals))
+        assert np.bincount(got, minlength=m).max() <= -(-n // m)
+
+
+def test_anchor_strategies():
+    rng = np.random.default_rng(5)
+    p, c = rng.normal(size=(9, 4)), rng.normal(size=(9, 4))
+    drawn = transforms.anchors(p, c, "random")
+    assert sorted(drawn) == list(range(9))
+    assert list(drawn) == list(transforms.anchors(p, c, "random"))
+    assert list(drawn) != list(transforms.anchors(p, c, "random", seed=1))
+    with pytest.raises(ValueError, match="no such anchor strategy"):
+        transforms.anchors(p, c, "closest")
+
+
+def test_anchors_query_flags_repeats(spark, data):
+    got = catalogue.QUERIES["e1_anchors"](spark, data)
+    counts = {r[0]: r[1] for r in catalogue._top(spark, data).groupBy("query_id").agg({"is_poison": "count"}).collect()}
+    poisoned = {r[0]: r[1] for r in catalogue._top(spark, data).where("is_poison").groupBy("query_id").count().collect()}
+    assert {(r.query_id, r.one_to_one) for r in got.collect()} == {(q, n <= counts[q] - n) for q, n in poisoned.items()}
