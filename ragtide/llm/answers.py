@@ -155,7 +155,7 @@ def judge(value: str, question: str | None, names: list[str]) -> tuple[str | Non
     sure = marked or stub or short_form and not yes_no_end or unclosed and not stopped or several and not listed and (not stopped or dotted) or dotted and not named
     if sure or not ends and not listed and (part or opened):
         return "truncated", masked, False, False
-    goes = not ends and not listed and (len(words) > 3 or MASK in masked)
+    goes = not ends and (len(words) > 3 or MASK in masked)
     foreign = False
     if question:
         own, _ = languages_of(question)

@@ -42,3 +42,9 @@ def test_nulls_repeats_and_nothing(spark):
 def test_language_of_the_question_counts(spark):
     df = frame(spark, [("La réponse est Ann.", "Qui a fondé la bibliothèque de Tolmby ?", ["Ann"]), ("The answer given by the texts is Ann.", "Qui a fondé la bibliothèque de Tolmby ?", ["Ann"])])
     assert [r.defect for r in answers.classify(df).orderBy("row_id").collect()] == [None, "language"]
+
+
+def test_listed_answers_have_longer_copies(spark):
+    whole = "The texts name these towns:\n1. Tolmby\n2. Harwick on the river Ise\n3. Ann Lund"
+    rows = [(whole, Q, ["Ann Lund"]), (whole[:-20], Q, ["Ann Lund"]), (whole.replace("Tolmby", "Selm")[:-20], Q, ["Ann Lund"])]
+    assert [r.defect for r in answers.classify(frame(spark, rows)).orderBy("row_id").collect()] == [None, "truncated", None]  # the last one has no longer copy
