@@ -63,6 +63,8 @@ REFUSAL = (
     r"|\bnon\b[^.;!?\n]{0,40}\b(so|lo so|sappiamo|posso|può|dic\w*|rispon\w*|informazion\w*)\b|\bnie\b[^.;!?\n]{0,40}\b(wiem|wiadomo|mog\w*|podaj\w*|odpowied\w*)|\b(weet|kan)\b[^.;!?\n]{0,30}\bniet\b|\bgeen (antwoord|informatie|idee)\b|\bnão\b[^.;!?\n]{0,40}\b(sei|sabe\w*|posso|dizem|respond\w*)"
     r"|не\s+(знаю|могу|сказано|указано|известно)|неизвестно|不知道|无法|不能回答|没有(提供|提到|说明)|未(提及|说明)|わかりません|不明"
 )
+#: A short sentence that is an apology.
+APOLOGY = r"(?iu)(?:^|[.!?]\s)[^.!?]{0,60}\b(désolée?|lo siento|sorry|apologies)\b[^.!?]{0,40}(?:[.!?]|$)"
 #: An answer at the end that follows upon what reads like a refusal.
 YES_NO_END = r"(?iu)(?:^|[\s\"“'«,:;])(yes|no|ja|nein|oui|non|sí|si)[\s\".”»'!)\]]*(\[\d+\]\s*)?$"
 
@@ -134,8 +136,7 @@ def judge(value: str, question: str | None, names: list[str]) -> tuple[str | Non
     masked = masked.rstrip()
     yes_no_end = bool(_re(YES_NO_END).search(end))
     named = MASK in masked or yes_no_end or bool(_re(r"(?iu)\b(answer is|texts? says?|second one says|both name|so it is)\s+[\"“']?(yes|no)\b").search(v))
-    first = _re(r"(?s)^(.{0,400}?)([.!?。]([\s\"”)]|$)|$)").match(v)
-    if not named and (_re(REFUSAL).search(first[1] if first else v[:400]) or _re(r"(?iu)^[^.!?]{0,60}(désolé|lo siento|leider|sorry|apologies|unfortunately)[^.!?]{0,40}[.!?]?$").search(v)):
+    if not named and (_re(REFUSAL).search(v) or _re(APOLOGY).search(v) or _re(r"(?iu)^[^.!?]{0,60}(leider|unfortunately)[^.!?]{0,40}[.!?]?$").search(v)):
         return "refusal", None, False, False
     ends_named = bool(_re(MASK + r"[\s\"”»’')\]*_`]*$").search(masked[-TAIL:])) or bool(_re(YES_NO_END).search(core[-TAIL:]))
     dotted, marked = bool(_re(DOTS).search(end)), bool(_re(CUT_MARK).search(end))

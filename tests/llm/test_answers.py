@@ -48,3 +48,14 @@ def test_listed_answers_have_longer_copies(spark):
     whole = "The texts name these towns:\n1. Tolmby\n2. Harwick on the river Ise\n3. Ann Lund"
     rows = [(whole, Q, ["Ann Lund"]), (whole[:-20], Q, ["Ann Lund"]), (whole.replace("Tolmby", "Selm")[:-20], Q, ["Ann Lund"])]
     assert [r.defect for r in answers.classify(frame(spark, rows)).orderBy("row_id").collect()] == [None, "truncated", None]  # the last one has no longer copy
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("I am sorry. The passages do not say who built it.", "refusal"), ("Let me read them all first. I am sorry.", "refusal"), ("That is a good question! " * 20 + "The texts do not mention it.", "refusal"), ("a long opening without a stop " * 20 + "and the texts do not say.", "refusal"),
+        ("I am sorry. The passages do not say more, but it is Ann Lund.", None), ("It was Ann Lund. The passages do not say when.", None),
+    ],
+)
+def test_refusals_in_any_sentence(spark, value, want):
+    assert answers.classify(frame(spark, [(value, Q, ["Ann Lund"])])).first().defect == want
