@@ -87,3 +87,32 @@ def compress(run: DataFrame, most: int = 2000) -> DataFrame:
     """The ``most`` best rows of a retrieval run for each query, ranked again."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return run.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < most)
+
+
+def hash_candidates(queries: DataFrame, vectors: DataFrame, tables: int = 40, bits: int = 5, seed: int = 3) -> DataFrame:
+    """query_id, doc_id of all pairs that lie on the same side of all ``bits`` random hyperplanes of one of the ``tables``, each pair once. Both sides: an id and embedding."""
+
+    def keys(df: DataFrame, name: str) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    x = np.array(f["embedding"].tolist(), np.float64)
+                    planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
+                    codes = ((x @ planes > 0).reshape(len(x), tables, bits) << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
+                    yield pd.DataFrame({name: f[name], "_key": list(codes)})
+
+        kind = df.schema[name].dataType.simpleString()
+        given = df.where("embedding is not null").select(name, V.doubles(F.col("embedding")).alias("embedding"))
+        return given.mapInPandas(run, f"{name} {kind}, _key array<bigint>").select(name, F.explode("_key").alias("_key"))
+
+    return keys(queries, "query_id").join(keys(vectors, "doc_id"), "_key").select("query_id", "doc_id").distinct()
+
+
+def hashed_top_k(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 40, bits: int = 5, seed: int = 3) -> DataFrame:
+    """The nearest ``k`` of each query's candidates, itself left out: query_id, doc_id, distance (of the unit vectors), rank. There is no limit of distance."""
+    found = hash_candidates(queries, vectors, tables, bits, seed).where("query_id <> doc_id")
+    unit = V.unit(V.doubles(F.col("embedding")))
+    near = found.join(queries.select("query_id", unit.alias("_a")), "query_id").join(vectors.select("doc_id", unit.alias("_b")), "doc_id")
+    near = near.select("query_id", "doc_id", V.norm(V.mix(F.col("_a"), F.col("_b"), F.lit(1.0), F.lit(-1.0))).alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
+    return near.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)

@@ -600,15 +600,9 @@ def e1_anchors(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     """Approximate neighbours of the query set by random hyperplanes over unit vectors: all rows are indexed; recall against topk_cosine is tested."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = _vectors(spark, d).select("vec_id", array_to_vector(V.unit(V.doubles(F.col("embedding")))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=4.0, numHashTables=4, seed=3).fit(v.where("vec_id < 1000"))
-    queries = v.where("vec_id % 50 = 0")
-    near = model.approxSimilarityJoin(queries, v, 1.3, "distance").select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("doc_id"), "distance").where("query_id <> doc_id")
-    order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    return near.withColumn("rank", F.row_number().over(order) - 1).where("rank < 10")
+    v = _vectors(spark, d)
+    queries = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return retrieval.hashed_top_k(queries, v.withColumnRenamed("vec_id", "doc_id"), 10)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
