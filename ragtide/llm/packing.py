@@ -129,17 +129,23 @@ def _slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.nd
     return {length: np.array(r, np.int64) for length, r in runs.items()}
 
 
+#: Distinct containers that one call plans.
+MOST_CONTAINERS = 1000
+
+
 def pack(sizes: DataFrame, key: str, size: str, containers: DataFrame, rounds: int = 300) -> DataFrame:
     """Every item of ``sizes`` in a container, for each row (container, capacity) of ``containers``.
 
     Returns container, capacity, ``key``, part, part_start, part_size, bin_id (from 0 in each container), bin_start. An item
     of up to ``capacity`` is one part; a larger one is cut into parts of ``capacity`` and a rest. Items of size
     0 (and null sizes, taken as 0) take no room and are dealt over the containers. Repeated rows and null keys
-    are items of their own; no row is lost. An empty table, or containers of null or non-positive capacity, give no rows.
+    are items of their own; no row is lost. An empty table, or containers of null or non-positive capacity, give no rows; more than MOST_CONTAINERS distinct containers are an error.
     """
     spark = sizes.sparkSession
     rows = durable(sizes.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_n")))
-    given = [(r[0], int(r[1])) for r in containers.select("container", "capacity").where("capacity > 0").dropDuplicates().limit(1000).collect()]
+    given = [(r[0], int(r[1])) for r in containers.select("container", "capacity").where("capacity > 0").dropDuplicates().limit(MOST_CONTAINERS + 1).collect()]
+    if len(given) > MOST_CONTAINERS:
+        raise ValueError(f"more than {MOST_CONTAINERS} containers")
     kind = sizes.schema[key].dataType.simpleString()
     if not given:
         return spark.createDataFrame([], f"container string, capacity bigint, `{key}` {kind}, part bigint, part_start bigint, part_size bigint, bin_id bigint, bin_start bigint")

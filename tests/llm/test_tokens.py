@@ -103,3 +103,10 @@ def test_pack(spark):
     assert packing.pack(sizes, "doc_id", "n", containers.limit(0), 20).count() == 0
     summary = {r.container: r for r in packing.pack_summary(packing.pack(sizes, "doc_id", "n", containers, 20)).collect()}
     assert summary["c10"].bins >= summary["c10"].least_bins
+
+
+def test_pack_drops_no_container(spark):
+    sizes = spark.createDataFrame([(1, 3)], "doc_id bigint, n bigint")
+    containers = spark.range(1001).selectExpr("cast(id as string) as container", "id + 5 as capacity")
+    with pytest.raises(ValueError, match="more than 1000 containers"):
+        packing.pack(sizes, "doc_id", "n", containers)
