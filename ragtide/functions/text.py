@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that stand for others in normalised text.
 HYPHENS = "‐‑‒–—―⁃−"
@@ -29,6 +31,16 @@ def tokens(t: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0))
 
 
+@F.pandas_udf(StringType())
+def _decompose(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFD")
+
+
+def decomposed(t: Column) -> Column:
+    """Text in canonical decomposition; the one scalar function that Spark lacks, in Arrow batches."""
+    return _decompose(t)
+
+
 def word_tokens(t: Column) -> Column:
     """Runs of letters, digits and marks, and single visible characters, in lower case."""
     return F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"([\p{L}\p{N}\p{M}]+)|([^\p{Z}\p{C}])"), F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,7 +33,11 @@ def mix(a: Column, b: Column, wa: Column, wb: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x * wa + y * wb)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; within a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """The vector at length 1; one without length stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x))
+    return _let(a, lambda v: _let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))))

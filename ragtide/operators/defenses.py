@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragtide.functions import vectors as V
-from ragtide.functions.text import tokens
 from ragtide.operators import pairs as P
+from ragtide.sources.tables import durable
 
 KINDS = ("none", "concentration", "singlehop", "oracle", "random", "density", "density_query_only", "classifier")
 #: Datasets whose questions need several passages.
@@ -119,13 +119,23 @@ def singlehop_estimates(passages: DataFrame, keys: list[str], text: str = "text"
 
 def concentration_defense(passages: DataFrame, keys: list[str]) -> DataFrame:
     """The estimate by concentration and the removal by pair frequency."""
-    table = P.pair_table(passages, keys)
+    table = durable(P.pair_table(passages, keys))
     return P.pair_frequency_removal(passages, table, P.concentration(table, keys), keys)
 
 
-def keywords(question: Column, answer: Column) -> Column:
-    """Distinct tokens of the question and of a small model's answer, which may be null."""
-    return F.array_distinct(F.concat(tokens(question), tokens(answer)))
+def flag_all(passages: DataFrame, keys: list[str]) -> DataFrame:
+    """``passages`` once for each filter that needs vectors and labels only, with removed and defense: none, oracle, concentration, random.
+
+    The pair table and the estimate that the last two share are made once.
+    """
+    pairs = durable(P.pair_table(passages, keys))
+    estimates = durable(P.concentration(pairs, keys))
+    flagged = P.pair_frequency_removal(passages, pairs, estimates, keys).withColumnRenamed("removed", "_concentration")
+    drawn = random_same_count(flagged, estimates, keys).withColumnRenamed("removed", "_random")
+    poison = F.coalesce(F.col("is_poison"), F.lit(False))
+    kinds = {"none": F.lit(False), "oracle": poison, "concentration": F.col("_concentration"), "random": F.col("_random")}
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("defense"), flag.alias("removed")) for kind, flag in kinds.items()])).alias("_d")
+    return drawn.select(*passages.columns, each).select(*passages.columns, "_d.removed", "_d.defense")
 
 
 def apply(kind: str, passages: DataFrame, keys: list[str], **params: object) -> DataFrame:

@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtide.functions.text import answer_normal, contains_run, word_tokens
+from ragtide.functions.text import answer_normal, contains_run, decomposed, word_tokens
+from ragtide.sources.tables import durable
 
 
 def exact_and_f1(df: DataFrame, key: str, prediction: str, gold: str) -> DataFrame:
-    """key, em, f1: normalised equality and the overlap of the bags of words. Null on either side gives null; no shared word gives 0."""
-    base = df.select(key, answer_normal(F.col(prediction)).alias("_p"), answer_normal(F.col(gold)).alias("_g")).where("_p is not null and _g is not null")
-    count = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
-    bags = base.withColumn("_pt", count("_p")).withColumn("_gt", count("_g"))
+    """key, em, f1: normalised equality and the overlap of the bags of words, the best over all golds.
+
+    ``gold`` is a string or an array of them. Null for a null prediction, or where every gold is null; no shared word gives 0. Every row stays.
+    """
+    several = df.schema[gold].dataType.typeName() == "array"
+    words = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    golds = F.filter(F.col(gold) if several else F.array(gold), lambda g: g.isNotNull())
+    base = df.select(key, answer_normal(F.col(prediction)).alias("_p"), F.transform(golds, answer_normal).alias("_g")).withColumn("_w", words(F.col("_p")))
     # shared words with multiplicity: for each distinct common word the lesser count
     times = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    shared = F.aggregate(F.array_intersect("_pt", "_gt"), F.lit(0), lambda s, w: s + F.least(times(F.col("_pt"), w), times(F.col("_gt"), w)))
-    p, g = F.size("_pt"), F.size("_gt")
-    return bags.select(key, (F.col("_p") == F.col("_g")).cast("int").alias("em"), F.coalesce(F.try_divide(2.0 * shared, p + g), F.lit(0.0)).alias("f1"))
+    shared = lambda g: F.aggregate(F.array_intersect("_w", g), F.lit(0), lambda s, w: s + F.least(times(F.col("_w"), w), times(g, w)))
+    f1 = F.array_max(F.transform(F.transform("_g", words), lambda g: F.coalesce(F.try_divide(2.0 * shared(g), F.size("_w") + F.size(g)), F.lit(0.0))))
+    asked = F.col("_p").isNotNull() & (F.size("_g") > 0)
+    return base.select(key, F.when(asked, F.array_contains("_g", F.col("_p")).cast("int")).alias("em"), F.when(asked, f1).alias("f1"))
 
 
-def has_answer(df: DataFrame, text: str, answer: str) -> DataFrame:
-    """``df`` with has_answer: the answer's words are a contiguous run of the text's; false for a null or empty side."""
-    return df.withColumn("has_answer", contains_run(word_tokens(F.col(text)), word_tokens(F.col(answer))))
+def has_answer(df: DataFrame, text: str, answers: str) -> DataFrame:
+    """``df`` with has_answer: the words of some answer (a string or an array) are a contiguous run of the text's, both in canonical decomposition; false for a null or empty side."""
+    several = df.schema[answers].dataType.typeName() == "array"
+    lines = F.transform(F.col(answers) if several else F.array(answers), lambda a: F.translate(F.coalesce(a, F.lit("")), "\n", " "))  # one answer a line
+    runs = F.transform(F.split(decomposed(F.array_join(lines, "\n")), "\n"), word_tokens)
+    made = df.withColumn("_t", word_tokens(decomposed(F.col(text)))).withColumn("_r", runs)
+    return made.withColumn("has_answer", F.coalesce(F.exists("_r", lambda run: contains_run(F.col("_t"), run)), F.lit(False))).drop("_t", "_r")
 
 
 def hits_curve(ranked: DataFrame, n: int) -> DataFrame:
@@ -67,10 +77,21 @@ def confusion(df: DataFrame, keys: list[str], label: str, predicted: str) -> Dat
 
 
 def roc_auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """The area under the ROC curve from counts by distinct score (ties half), so no group is ranked row by row; null with one class."""
+    """The area under the ROC curve from counts by distinct score (ties half); null with one class.
+
+    Distinct scores are dealt to tasks by range, so a group of any size is summed in pieces: each piece counts the negatives
+    before a score, and the negatives of the pieces before it are added from a table of one row a group and piece.
+    """
     by = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(label)).alias("_p"), F.count_if(~F.col(label)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    got = by.withColumn("_u", F.col("_p") * (below + F.col("_n") / 2)).groupBy(*keys).agg(F.sum("_u").alias("_u"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    dealt = durable(by.repartitionByRange(*keys, score).withColumn("_piece", F.spark_partition_id()))
+    piece = Window.partitionBy(*keys, "_piece").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, "_piece").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0))).drop("_m")
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    ahead = dealt.withColumn("_within", F.coalesce(F.sum("_n").over(piece), F.lit(0))).alias("l").join(totals.alias("r"), match & (F.col("l._piece") == F.col("r._piece"))).select("l.*", "r._before")
+    got = ahead.withColumn("_u", F.col("_p") * (F.col("_before") + F.col("_within") + F.col("_n") / 2)).groupBy(*keys).agg(F.sum("_u").alias("_u"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     return got.select(*keys, F.try_divide("_u", F.col("_p") * F.col("_n")).alias("auc"))
 
 
@@ -80,14 +101,25 @@ def pearson(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return both.select(*keys, "n", F.when((F.col("n") >= 2) & (F.col("_a") > 1e-12) & (F.col("_b") > 1e-12), F.col("_c") / (F.col("_a") * F.col("_b"))).alias("pearson"))
 
 
-def group_split(df: DataFrame, key: str, fraction: float = 0.3, seed: int = 7) -> DataFrame:
-    """key, split: every distinct non-null key in train or test by the order of its hash, at least one in test; rows of one key never part.
+def group_split(df: DataFrame, key: str, fraction: float = 0.2, seed: int = 12, by: list[str] | None = None) -> DataFrame:
+    """(by, key, split): the first of the distinct non-null keys by their hash are test, the others train; rows of one key never part.
 
-    The share is met by a threshold on the hash, so no global order is needed.
+    Test has n * fraction keys, rounded half to even, but one at least, for each group of ``by``. The hash's first digits deal the keys
+    into 4096 buckets; only the bucket that the boundary falls into decides by the order inside, so no group is ranked in one task.
     """
-    ids = df.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct()
-    place = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256), 1, 8), 16, 10).cast("bigint")
-    return ids.withColumn("split", F.when(place < int(fraction * 2**32), "test").otherwise("train"))
+    by = by or []
+    ids = df.where(F.col(key).isNotNull()).select(*by, F.col(key).cast("string").alias(key)).distinct()
+    placed = ids.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256)).withColumn("_b", F.substring("_h", 1, 3))
+    counts = placed.groupBy(*by, "_b").agg(F.count("*").alias("_m"))
+    whole = Window.partitionBy(*(by or [F.lit(0)]))  # at most 4096 rows
+    before = F.coalesce(F.sum("_m").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).withColumn("_test", F.greatest(F.lit(1), F.bround(F.sum("_m").over(whole) * fraction, 0).cast("bigint"))).drop("_m")
+    match = F.col("l._b") == F.col("r._b")
+    for k in by:
+        match = match & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    joined = placed.alias("l").join(counts.alias("r"), match).select("l.*", "_before", "_test")
+    at = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h")) + F.col("_before")
+    return joined.select(*by, key, F.when(at <= F.col("_test"), "test").otherwise("train").alias("split"))
 
 
 def leakage(split: DataFrame, key: str) -> DataFrame:

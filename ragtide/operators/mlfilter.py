@@ -27,7 +27,7 @@ def safe(x: Column) -> Column:
     return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), F.lit(0.0)).otherwise(d)
 
 
-def features(rows: DataFrame, question: str = "question", answer: str = "slm_answer", passage: str = "text_preview") -> DataFrame:
+def features(rows: DataFrame, question: str = "question", answer: str = "slm_answer", passage: str = "text") -> DataFrame:
     """``rows`` with FEATURES as doubles; none reads the label. Perplexity and log-probability are by the stand-in over all distinct passages."""
     corpus = rows.select(passage).distinct()
     rows = providers.unigram_logprob(providers.unigram_perplexity(rows, passage, corpus, passage), answer, corpus, passage)

@@ -114,6 +114,21 @@ def centroid_sweep(passages: DataFrame, keys: list[str], alphas: list[float]) ->
     return each.withColumn("embedding", F.when(F.col("is_poison") & F.col("_centre").isNotNull(), moved).otherwise(F.col("original"))).drop("_centre")
 
 
+def rank_aligned_sweep(passages: DataFrame, keys: list[str], alphas: list[float]) -> DataFrame:
+    """``passages`` for every alpha, each poisoned vector moved towards the clean one of the same place by rank, the places of the clean ones repeating: a join on the place.
+
+    Groups without clean passages keep their vectors. original has the vector before.
+    """
+    order = Window.partitionBy(*keys, "is_poison").orderBy("rank")
+    placed = passages.withColumn("original", V.doubles(F.col("embedding"))).withColumn("_at", F.row_number().over(order) - 1)
+    clean = placed.where("not is_poison").select(*keys, "_at", F.col("original").alias("_anchor"))
+    sizes = clean.groupBy(*keys).agg(F.count("*").alias("_m"))
+    tied = placed.join(sizes, keys, "left").withColumn("_at", F.when(F.col("is_poison"), F.col("_at") % F.col("_m"))).join(clean, [*keys, "_at"], "left")
+    each = tied.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    moved = V.unit(V.mix(F.col("original"), F.col("_anchor"), F.col("alpha"), 1 - F.col("alpha")))
+    return each.withColumn("embedding", F.when(F.col("_anchor").isNotNull(), moved).otherwise(F.col("original"))).drop("_anchor", "_m", "_at")
+
+
 def preservation(moved: DataFrame, keys: list[str]) -> DataFrame:
     """Displacement and cosine to the original of the poisoned vectors: mean and extreme."""
     gap = V.norm(V.mix(F.col("embedding"), F.col("original"), F.lit(1.0), F.lit(-1.0)))

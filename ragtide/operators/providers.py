@@ -45,6 +45,13 @@ def unigram_logprob(df: DataFrame, answer: str, corpus: DataFrame, corpus_text:
     return _noted(got, "slm_answer_logprob: unigram proxy")
 
 
+def plural_similarity(words: DataFrame) -> DataFrame:
+    """(word_a, word_b, sim): a word and its plural in s, 0.9 alike; a stand-in for the word similarities of an encoder. ``words`` has a column word."""
+    known = words.where(F.length("word") > 2).select("word").distinct()
+    plural = known.where(F.col("word").endswith("s")).select(F.col("word").alias("word_b"), F.expr("left(word, length(word) - 1)").alias("word_a"))
+    return plural.join(known.select(F.col("word").alias("word_a")), "word_a", "left_semi").select("word_a", "word_b", F.lit(0.9).alias("sim"))
+
+
 def embedding_hashed(df: DataFrame, text: str, size: int = 64) -> DataFrame:
     """embedding: hashed token counts at unit length, a stand-in for an encoder."""
     hashed = F.transform(tokens(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(size)))

@@ -6,50 +6,88 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ragtide.functions import vectors as V
-
-BLOCK = 4096
-
-
-def _blocks(df: DataFrame, id_: str, vector: str, name: str) -> DataFrame:
-    """Rows of up to about BLOCK ids and vectors; the block of a row is a hash of its id."""
-    n = max(1, df.count() // BLOCK)
-    return df.groupBy(F.pmod(F.xxhash64(id_), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct(F.col(id_).alias("id"), V.doubles(F.col(vector)).alias("v"))).alias(name)).drop("_b")
+from ragtide.sources.tables import spread
+
+#: Vectors in a packed block of rows, and in one of queries.
+BLOCK, QUERY_BLOCK = 4096, 1024
+#: Bytes of packed queries up to which they are broadcast; beyond, blocks meet in a Cartesian product of partitions.
+BROADCAST_BYTES = 32 << 20
+
+
+def _packed(df: DataFrame, id_: str, vector: str, name: str, size: int) -> DataFrame:
+    """Rows of up to ``size`` ids (name_ids) and their vectors as one buffer of doubles (name_v), packed where they lie: nothing is shuffled."""
+    schema = pa.schema([(f"{name}_ids", pa.list_(to_arrow_type(df.schema[id_].dataType))), (f"{name}_v", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, size):
+                part = batch.slice(begin, size)
+                vectors = part.column(1)
+                flat = vectors.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False)
+                if len(flat) % part.num_rows or len(set(vectors.value_lengths().to_pylist())) > 1:
+                    raise ValueError("vectors of different lengths")
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids.cast(schema.field(0).type), pa.array([flat.tobytes()], pa.binary())], schema=schema)
+
+    given = df.where(F.col(vector).isNotNull()).select(F.col(id_).alias("_id"), V.doubles(F.col(vector)).alias("_v"))
+    return given.mapInArrow(run, f"{name}_ids array<{df.schema[id_].dataType.simpleString()}>, {name}_v binary")
+
+
+def _best(q: np.ndarray, c: np.ndarray, k: int, metric: str, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of c, score) of the k best of ``c`` for each of ``q``, and of all that tie with the last; ``own`` marks pairs left out."""
+    if metric == "cosine":
+        q, c = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1) for m in (q, c))
+    scores = q @ c.T
+    if own is not None:
+        scores[own] = -np.inf
+    scores[np.isnan(scores)] = -np.inf
+    if scores.shape[1] > k:
+        least = np.partition(scores, -k, axis=1)[:, -k, None]
+        i, j = np.nonzero((scores >= least - 1e-9) & np.isfinite(scores))
+    else:
+        i, j = np.nonzero(np.isfinite(scores))
+    return i, j, scores[i, j]
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
-    """(query, doc, score, rank from 0): the k best rows of ``corpus`` for each query, exact; ties by doc.
+    """(query, doc, score, rank from 0): the k best rows of ``corpus`` for each query, exact; ties (to nine decimals) by doc.
 
-    The query set meets all rows in blocks of about 4096 vectors: one matrix product and a partial top k for each pair of
-    blocks, so no pair of rows is ever a row of its own, and the last ranking sorts k rows a block. Null vectors are left
-    out; vectors without length score 0 by cosine. ``skip_self``: a row is no result of a query of its own id.
+    The query set meets all rows in packed blocks (BLOCK rows, QUERY_BLOCK queries): one matrix product and one partial top k
+    for a pair of blocks, in flat buffers, so no pair of rows is ever a row of its own, and the last ranking sorts about k rows
+    a block, of which Spark keeps k before the shuffle. Packed queries are broadcast up to BROADCAST_BYTES (counted first) and meet
+    the blocks partition by partition beyond. Null vectors are left out; vectors without length score 0 by cosine, such with nulls
+    or NaN inside are found by nothing; an empty side gives no rows. ``skip_self``: a row is no result of a query of its own id.
     """
-    q = _blocks(queries.where(F.col(vector).isNotNull()), query, vector, "_q")
-    c = _blocks(corpus.where(F.col(vector).isNotNull()), doc, vector, "_c")
-    kinds = queries.schema[query].dataType.simpleString(), corpus.schema[doc].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for left, right in zip(f["_q"], f["_c"], strict=True):
-                ids, docs = [x["id"] for x in left], np.array([x["id"] for x in right], object)
-                a, b = np.array([x["v"] for x in left], np.float64), np.array([x["v"] for x in right], np.float64)
-                if metric == "cosine":
-                    a, b = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1) for m in (a, b))
-                scores = a @ b.T
-                for i, one in enumerate(ids):
-                    row = scores[i]
-                    if skip_self:
-                        row = np.where(docs == one, -np.inf, row)
-                    best = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    best = best[np.isfinite(row[best])]
-                    yield pd.DataFrame({query: one, doc: docs[best], "score": row[best]})
-
-    found = c.join(q, how="cross").mapInPandas(run, f"{query} {kinds[0]}, {doc} {kinds[1]}, score double")
+    q = _packed(queries, query, vector, "q", QUERY_BLOCK)
+    c = _packed(spread(corpus), doc, vector, "c", BLOCK)
+    width = queries.where(F.col(vector).isNotNull()).agg(F.count("*"), F.max(F.size(vector))).first()
+    if width[0] * (width[1] or 0) * 8 <= BROADCAST_BYTES:
+        q = F.broadcast(q)
+    kinds = queries.schema[query].dataType, corpus.schema[doc].dataType
+    schema = pa.schema([(query, to_arrow_type(kinds[0])), (doc, to_arrow_type(kinds[1])), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                docs, left = batch.column(0)[r].values, batch.column(2)[r].values
+                x, y = (np.frombuffer(batch.column(at)[r].as_buffer(), np.float64).reshape(n, -1) for at, n in ((3, len(left)), (1, len(docs))))
+                own = None
+                if skip_self:
+                    codes = pa.concat_arrays([left.cast(docs.type), docs]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                    own = codes[: len(left), None] == codes[None, len(left) :]
+                i, j, score = _best(x, y, k, metric, own)
+                yield pa.RecordBatch.from_arrays([left.take(pa.array(i)), docs.take(pa.array(j)), pa.array(score)], schema=schema)
+
+    found = c.crossJoin(q).mapInArrow(run, f"{query} {kinds[0].simpleString()}, {doc} {kinds[1].simpleString()}, score double")
     order = Window.partitionBy(query).orderBy(F.round("score", 9).desc(), doc)
-    return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank") - 1)
 
 
 def injected_vectors(vectors: DataFrame, group: int = 50, every: int = 10, weight: float = 0.6) -> DataFrame:

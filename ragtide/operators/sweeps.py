@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 
 def epsilon_sweep(scores: DataFrame, epsilons: list[float]) -> DataFrame:
-    """For each score kind, k and epsilon the mean over queries of recall and false positive rate, and how many contexts are emptied.
+    """For each score kind, k and epsilon the mean over records of recall and false positive rate, and how many contexts are emptied.
 
-    scores: query_id, record_id, k, is_poison, filterrag_score, query_only_score. Passages that score at least epsilon are
-    dropped; null and not-a-number scores are kept. Thresholds are compared with each score once, in place.
+    scores: record_id, k, is_poison, filterrag_score, query_only_score. Passages that score at least epsilon are
+    dropped; null and not-a-number scores are kept. A record's passages are counted once at every threshold, before anything is multiplied.
     """
-    kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(c).alias("s")) for m, c in (("full", "filterrag_score"), ("query_only", "query_only_score"))])).alias("x")
-    each = scores.select("record_id", "k", "is_poison", kinds).select("record_id", "k", "is_poison", F.col("x.m").alias("score_kind"), F.nanvl("x.s", F.lit(None).cast("double")).alias("s"), F.explode(F.array(*map(F.lit, epsilons))).alias("epsilon"))
-    hit = F.coalesce(F.col("s") >= F.col("epsilon"), F.lit(False))
+    kinds = {"full": "filterrag_score", "query_only": "query_only_score"}
     p = F.col("is_poison")
-    per = each.groupBy("score_kind", "k", "epsilon", "record_id").agg(
-        F.try_divide(F.count_if(hit & p), F.count_if(p)).alias("recall"), F.try_divide(F.count_if(hit & ~p), F.count_if(~p)).alias("fpr"), (F.count_if(~hit) == 0).alias("empty")
+    counts = [F.count("*").alias("_n"), F.count_if(p).alias("_p"), F.count_if(~p).alias("_c")]
+    for kind, column in kinds.items():
+        score = F.nanvl(column, F.lit(None).cast("double"))
+        for i, e in enumerate(epsilons):
+            hit = F.coalesce(score >= e, F.lit(False))
+            counts += [F.count_if(hit & p).alias(f"_{kind}_{i}_p"), F.count_if(hit & ~p).alias(f"_{kind}_{i}_c"), F.count_if(hit).alias(f"_{kind}_{i}")]
+    per = scores.groupBy("record_id", "k").agg(*counts)
+    points = [
+        F.struct(F.lit(kind).alias("score_kind"), F.lit(float(e)).alias("epsilon"), F.col(f"_{kind}_{i}_p").alias("hp"), F.col(f"_{kind}_{i}_c").alias("hc"), F.col(f"_{kind}_{i}").alias("h"))
+        for kind in kinds for i, e in enumerate(epsilons)
+    ]
+    each = per.select("k", "_n", "_p", "_c", F.explode(F.array(*points)).alias("x"))
+    return each.groupBy("x.score_kind", "k", "x.epsilon").agg(
+        F.count("*").alias("n"), F.avg(F.try_divide("x.hp", "_p")).alias("mean_recall"), F.avg(F.try_divide("x.hc", "_c")).alias("mean_fpr"), F.count_if(F.col("x.h") == F.col("_n")).alias("empty_contexts")
     )
-    return per.groupBy("score_kind", "k", "epsilon").agg(F.count("*").alias("n"), F.avg("recall").alias("mean_recall"), F.avg("fpr").alias("mean_fpr"), F.count_if("empty").alias("empty_contexts"))
 
 
 def recommend(sweep: DataFrame, most_fpr: float = 0.1) -> DataFrame:
@@ -55,10 +64,10 @@ def first_up(sweep: DataFrame, keys: list[str], param: str, rule: str, name: str
 
 
 def any_all(triggers: DataFrame, key: str, trigger: str, limits: list[float], n: int) -> DataFrame:
-    """For each limit how many keys have some, and how many all ``n``, of their triggers at it or above."""
-    each = triggers.select(key, trigger, F.explode(F.array(*map(F.lit, limits))).alias("at_least"))
-    per = each.groupBy(key, "at_least").agg(F.count_if(F.coalesce(F.col(trigger) >= F.col("at_least"), F.lit(False))).alias("_n"))
-    return per.groupBy("at_least").agg(F.count_if(F.col("_n") >= 1).alias("any"), F.count_if(F.col("_n") == n).alias("every"))
+    """For each limit how many keys have some, and how many exactly ``n``, of their triggers at it or below; null triggers never count."""
+    each = triggers.select(key, trigger, F.explode(F.array(*map(F.lit, limits))).alias("at_most"))
+    per = each.groupBy(key, "at_most").agg(F.count_if(F.coalesce(F.col(trigger) <= F.col("at_most"), F.lit(False))).alias("_n"))
+    return per.groupBy("at_most").agg(F.count_if(F.col("_n") >= 1).alias("any"), F.count_if(F.col("_n") == n).alias("every"))
 
 
 def winners(df: DataFrame, by: str, contestant: str, value: str) -> DataFrame:
@@ -69,13 +78,23 @@ def winners(df: DataFrame, by: str, contestant: str, value: str) -> DataFrame:
 
 
 def leading(indicator: Column, outcome: Column) -> Column:
-    """Which of two triggers (going down) comes first: none, indicator_only, outcome_first, precedes or together."""
+    """How two triggers (going down) follow each other: the indicator precedes or coincides, comes alone, the outcome comes without or before it, or neither comes."""
     return (
-        F.when(indicator.isNull() & outcome.isNull(), "none").when(outcome.isNull(), "indicator_only").when(indicator.isNull() | (indicator < outcome), "outcome_first")
-        .when(indicator > outcome, "precedes").otherwise("together")
+        F.when(indicator.isNotNull() & outcome.isNotNull() & (indicator >= outcome), "precedes_or_coincides").when(outcome.isNotNull(), "outcome_without_indicator_first")
+        .when(indicator.isNotNull(), "indicator_without_outcome").otherwise("neither")
     )
 
 
+def leading_summary(df: DataFrame, indicator: str, outcome: str, keys: list[str] | None = None) -> DataFrame:
+    """For each category of ``leading`` (and ``keys``) its rows, mean gap of the two triggers, and the support: the share of those that precede among all with the outcome. Null without one."""
+    keys = keys or []
+    base = df.select(*keys, leading(F.col(indicator), F.col(outcome)).alias("category"), (F.col(indicator) - F.col(outcome)).alias("_gap"))
+    got = base.groupBy(*keys, "category").agg(F.count("*").alias("n"), F.avg("_gap").alias("mean_gap"))
+    w = Window.partitionBy(*(keys or [F.lit(0)]))  # four rows
+    of = lambda name: F.sum(F.when(F.col("category") == name, F.col("n")).otherwise(0)).over(w)
+    return got.withColumn("support", F.try_divide(of("precedes_or_coincides"), of("precedes_or_coincides") + of("outcome_without_indicator_first")))
+
+
 def compare_methods(df: DataFrame) -> DataFrame:
     """For each method: rows, queries, queries that ever fail, the mean at its strongest setting, and the settings of the first failures.
 

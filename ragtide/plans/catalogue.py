@@ -5,18 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ragtide.functions import text as X
-from ragtide.functions import vectors as V
 from ragtide.operators import defenses as D
 from ragtide.operators import diagnostics as G
 from ragtide.operators import metrics as M
-from ragtide.operators import mlfilter, retrieval, shred, sweeps, transforms
+from ragtide.operators import mlfilter, providers, retrieval, shred, sweeps, transforms
 from ragtide.operators import pairs as P
+from ragtide.operators import passages as S
 from ragtide.plans import oracles as O
 from ragtide.sources.tables import durable, table
 from ragtide.streaming import summaries
@@ -133,12 +131,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _defended(spark: SparkSession, d: str) -> DataFrame:
     """Flags of every filter that needs vectors and labels only, stacked."""
-    top = _top(spark, d)
-    flags = [D.apply(kind, top, Q).select(*Q, "doc_id", "is_poison", "rank", "removed", "defense") for kind in ("none", "concentration", "oracle", "random")]
-    both = flags[0]
-    for f in flags[1:]:
-        both = both.unionByName(f)
-    return both
+    return D.flag_all(_top(spark, d), Q).select(*Q, "doc_id", "is_poison", "rank", "removed", "defense")
 
 
 @query(O.NEAREST)
@@ -255,8 +248,7 @@ def winner_ties(spark: SparkSession, d: str) -> DataFrame:
 
 @query(O.LEADING)
 def leading_indicator(spark: SparkSession, d: str) -> DataFrame:
-    t = _triggers(spark, d).select(sweeps.leading(F.col("pp_weakened"), F.col("first_residual")).alias("category"), (F.col("pp_weakened") - F.col("first_residual")).alias("gap"))
-    return t.groupBy("category").agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"))
+    return sweeps.leading_summary(_triggers(spark, d), "pp_weakened", "first_residual")
 
 
 @query(O.PEARSON)
@@ -301,25 +293,69 @@ def squad_em_f1(spark: SparkSession, d: str) -> DataFrame:
     return M.exact_and_f1(table(spark, d, "records"), "record_id", "output_poison", "answer")
 
 
-def _passages(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct score rows."""
-    return table(spark, d, "score_rows").select("record_id", "dataset", "k", "query_id", "rank", "doc_id", "is_poison", "retrieval_score", "filterrag_score", "query_only_score", "slm_answer", "answer_token_overlap_score", "text_preview").distinct()
+@query(O.BEST_F1)
+def squad_best_f1(spark: SparkSession, d: str) -> DataFrame:
+    """The best of two golds: the right and the planted answer."""
+    return M.exact_and_f1(table(spark, d, "records").withColumn("golds", F.array("answer", "incorrect_answer")), "record_id", "output_poison", "golds")
+
+
+SCORE_FIELDS = ["record_id", "dataset", "k", "query_id", "rank", "doc_id", "is_poison", "retrieval_score", "filterrag_score", "query_only_score", "slm_answer", "answer_token_overlap_score"]
+
+
+def _passages(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    """Distinct score rows: their natural key (record_id, rank) and ``fields``, all by default. Repeats are exact, so fewer fields give the same rows."""
+    names = dict.fromkeys(("record_id", "rank", *fields)) if fields else SCORE_FIELDS
+    return table(spark, d, "score_rows").select(*names).distinct()
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct score rows with the whole text of their passage."""
+    return S.passage_text(_passages(spark, d), table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "records").select("record_id", "injected_adv"))
 
 
 def _answered(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "targets").select(F.col("id").alias("query_id"), "correct_answer", "question")
-    return _passages(spark, d).join(targets, "query_id")
+    targets = table(spark, d, "targets").select(F.col("id").alias("query_id"), "correct_answer", "incorrect_answer", "question")
+    return _texts(spark, d).join(targets, "query_id")
+
+
+@query(O.PASSAGE_TEXT)
+def passage_text(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).select("record_id", "rank", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query(O.SCORED_PASSAGES)
+def score_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every retrieved passage by the question and the answer, by the question alone, and by the answer alone, from the whole texts."""
+    full = S.score_passages(_answered(spark, d), ["record_id", "rank"])
+    both = S.score_passages(full.select("record_id", "rank", "k", "is_poison", "question", "slm_answer", "text", F.col("freq_density_score").alias("full_score"), "matched_freq_sum", F.col("matched_keyword_count").alias("matched"), F.array_join("matched_keywords_sample", " ").alias("sample")), ["record_id", "rank"], answer=None)
+    return both.select("record_id", "rank", "k", "is_poison", "full_score", "matched", "sample", F.col("freq_density_score").alias("question_score"), "unique_word_count", S.answer_only_score(F.col("text"), F.col("slm_answer")).alias("answer_score"))
+
+
+@query(O.SEMANTIC)
+def semantic_density(spark: SparkSession, d: str) -> DataFrame:
+    """The density with near words counted; words that differ by a plural ending stand for a model's similar ones."""
+    a = _answered(spark, d)
+    near = providers.plural_similarity(a.select(F.explode(X.tokens(F.col("text"))).alias("word")))
+    got = S.score_passages(a, ["record_id", "rank"], matching_mode="semantic", similar=near)
+    return got.select("record_id", "rank", "freq_density_score", F.col("matched_freq_sum").cast("bigint").alias("matched_freq_sum"), "matched_keyword_count")
 
 
 @query(O.HAS_ANSWER)
 def has_answer(spark: SparkSession, d: str) -> DataFrame:
-    got = M.has_answer(_answered(spark, d), "text_preview", "correct_answer")
+    got = M.has_answer(_answered(spark, d), "text", "correct_answer")
     return got.groupBy("dataset", "k").agg(F.count("*").alias("n"), F.count_if("has_answer").alias("hits"))
 
 
+@query(O.HAS_ANY_ANSWER)
+def has_any_answer(spark: SparkSession, d: str) -> DataFrame:
+    """Passages that hold the right or the planted answer."""
+    got = M.has_answer(_answered(spark, d).withColumn("answers", F.array("correct_answer", "incorrect_answer")), "text", "answers")
+    return got.select("record_id", "rank", "has_answer")
+
+
 @query(O.HITS)
 def topk_hits_curve(spark: SparkSession, d: str) -> DataFrame:
-    hits = _passages(spark, d).select(F.col("record_id").alias("query_id"), "rank", F.coalesce("is_poison", F.lit(False)).alias("hit"))
+    hits = _passages(spark, d, "is_poison").select(F.col("record_id").alias("query_id"), "rank", F.coalesce("is_poison", F.lit(False)).alias("hit"))
     return M.hits_curve(hits, 20)
 
 
@@ -343,30 +379,26 @@ def unicode_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def nfd_normalize(spark: SparkSession, d: str) -> DataFrame:
-    """Text in canonical decomposition; the one scalar function that Spark lacks, in Arrow batches."""
-    @F.pandas_udf(T.StringType())
-    def nfd(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFD")
-
-    return table(spark, d, "documents").select("doc_id", F.length(nfd("text")).alias("chars"))
+    t = X.decomposed(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", t.alias("text_nfd"))
 
 
 @query(O.JACCARD)
 def jaccard_overlap(spark: SparkSession, d: str) -> DataFrame:
     a = _answered(spark, d)
-    return a.select("record_id", "rank", X.jaccard(F.array_distinct(X.tokens(F.col("question"))), F.array_distinct(X.tokens(F.col("text_preview")))).alias("overlap"))
+    return a.select("record_id", "rank", X.jaccard(F.array_distinct(X.tokens(F.col("question"))), F.array_distinct(X.tokens(F.col("text")))).alias("overlap"))
 
 
 @query(O.DENSITY)
 def freq_density_exact(spark: SparkSession, d: str) -> DataFrame:
     a = _answered(spark, d)
-    full, only = X.frequency_density(F.col("text_preview"), D.keywords(F.col("question"), F.col("slm_answer"))), X.frequency_density(F.col("text_preview"), D.keywords(F.col("question"), F.lit(None).cast("string")))
+    full, only = X.frequency_density(F.col("text"), S.keywords(F.col("question"), F.col("slm_answer"))), X.frequency_density(F.col("text"), S.keywords(F.col("question")))
     return a.select("record_id", "rank", full.alias("density"), only.alias("query_only"))
 
 
 @query(O.FILTER)
 def freq_density_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = _passages(spark, d).withColumn("query_key", F.col("query_id")).withColumn("query_id", F.col("record_id"))
+    rows = _passages(spark, d, "k", "doc_id", "is_poison", "filterrag_score", "query_only_score").withColumn("query_id", F.col("record_id"))
     got = [D.apply(kind, rows, ["query_id"]).select("record_id", "k", "is_poison", "removed", "defense") for kind in ("density", "density_query_only")]
     both = got[0].unionByName(got[1])
     return both.groupBy("defense", "k").agg(F.count("*").alias("n"), F.count_if(F.col("removed") & F.col("is_poison")).alias("removed_poison"), F.count_if(F.col("removed") & ~F.col("is_poison")).alias("removed_clean"))
@@ -374,63 +406,63 @@ def freq_density_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(O.EPSILON)
 def epsilon_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return sweeps.epsilon_sweep(_passages(spark, d), EPSILONS)
+    return sweeps.epsilon_sweep(_passages(spark, d, "k", "is_poison", "filterrag_score", "query_only_score"), EPSILONS)
 
 
 @query(O.RECOMMEND)
 def epsilon_recommend(spark: SparkSession, d: str) -> DataFrame:
-    return sweeps.recommend(sweeps.epsilon_sweep(_passages(spark, d), EPSILONS), 0.3)
+    return sweeps.recommend(sweeps.epsilon_sweep(_passages(spark, d, "k", "is_poison", "filterrag_score", "query_only_score"), EPSILONS), 0.3)
 
 
 @query(O.SCORE_SUMMARY)
 def score_agg_all_k(spark: SparkSession, d: str) -> DataFrame:
-    return sweeps.score_summary(_passages(spark, d)).withColumn("k", F.coalesce(F.col("k").cast("string"), F.lit("all")))
+    return sweeps.score_summary(_passages(spark, d, "k", "is_poison", "filterrag_score", "query_only_score")).withColumn("k", F.coalesce(F.col("k").cast("string"), F.lit("all")))
 
 
 @query(O.TFIDF)
 def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
-    return D.tfidf_terms(_passages(spark, d), ["record_id"], "text_preview")
+    return D.tfidf_terms(_texts(spark, d), ["record_id"])
 
 
 @query(O.TFIDF_COUNT)
 def tfidf_count_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return D.tfidf_count(_passages(spark, d), ["record_id"], "text_preview")
+    return D.tfidf_count(_texts(spark, d), ["record_id"])
 
 
 @query(O.CONFUSION)
 def confusion(spark: SparkSession, d: str) -> DataFrame:
-    rows = _passages(spark, d).where("filterrag_score is not null and not isnan(filterrag_score)").withColumn("predicted", F.col("filterrag_score") >= 0.5)
+    rows = _passages(spark, d, "dataset", "k", "is_poison", "filterrag_score").where("filterrag_score is not null and not isnan(filterrag_score)").withColumn("predicted", F.col("filterrag_score") >= 0.5)
     return M.confusion(rows, ["dataset", "k"], "is_poison", "predicted")
 
 
 @query(O.AUC)
 def roc_auc(spark: SparkSession, d: str) -> DataFrame:
-    rows = _passages(spark, d).where("filterrag_score is not null and not isnan(filterrag_score)")
+    rows = _passages(spark, d, "dataset", "k", "is_poison", "filterrag_score").where("filterrag_score is not null and not isnan(filterrag_score)")
     return M.roc_auc(rows, ["dataset", "k"], "is_poison", "filterrag_score")
 
 
 @query(O.INVERSIONS)
 def rank_inversions(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a record's passages that retrieval and the lexical score put in different order."""
-    rows = _passages(spark, d).where("filterrag_score is not null and not isnan(filterrag_score)").select("record_id", "rank", (-F.col("filterrag_score")).alias("s"))
+    rows = _passages(spark, d, "dataset", "k", "is_poison", "filterrag_score").where("filterrag_score is not null and not isnan(filterrag_score)").select("record_id", "rank", (-F.col("filterrag_score")).alias("s"))
     return M.rank_inversions(rows, ["record_id"], "rank", "s")
 
 
 @query(O.RANKING)
 def ndcg_map_mrr(spark: SparkSession, d: str) -> DataFrame:
-    rows = _passages(spark, d).select(F.col("record_id").alias("query_id"), "rank", F.coalesce(F.col("is_poison"), F.lit(False)).cast("int").alias("rel"))
+    rows = _passages(spark, d, "is_poison").select(F.col("record_id").alias("query_id"), "rank", F.coalesce(F.col("is_poison"), F.lit(False)).cast("int").alias("rel"))
     relevant = rows.groupBy("query_id").agg(F.sum("rel").alias("n_rel"))
     return M.ranking_metrics(rows, relevant, 10)
 
 
 @query(O.SPLIT)
 def group_split(spark: SparkSession, d: str) -> DataFrame:
-    return M.group_split(table(spark, d, "score_rows"), "query_id")
+    return M.group_split(table(spark, d, "score_rows"), "query_id", by=["dataset"])
 
 
 @query(O.LEAKAGE)
 def split_leakage(spark: SparkSession, d: str) -> DataFrame:
-    split = M.group_split(table(spark, d, "score_rows"), "query_id")
+    split = M.group_split(table(spark, d, "score_rows"), "query_id", by=["dataset"])
     return M.leakage(split, "query_id").agg(F.count("*").alias("leaked"))
 
 
@@ -443,7 +475,8 @@ def stable_seed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "diagnostics").distinct()
+    """One row for each diag_id; repeats are exact, so any one stands for all, and only the fields that a query reads are moved."""
+    return table(spark, d, "diagnostics").dropDuplicates(["diag_id"])
 
 
 @query(O.SUMMARY)
@@ -545,7 +578,7 @@ def singlehop_defense(spark: SparkSession, d: str) -> DataFrame:
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     rows = mlfilter.features(_answered(spark, d))
-    return rows.join(M.group_split(rows, "query_id"), "query_id")
+    return rows.join(M.group_split(table(spark, d, "score_rows"), "query_id", by=["dataset"]), ["dataset", "query_id"])
 
 
 @query()
@@ -567,21 +600,21 @@ def pca_coords(spark: SparkSession, d: str) -> DataFrame:
     return transforms.pca_coordinates(_top(spark, d), Q)
 
 
-def _moved(top: DataFrame, move: Callable, names: tuple[str, ...], *grid: list[float]) -> DataFrame:
-    """Preservation and discrepancy of every set at every point of a grid, a list of values for each of ``names``."""
-    moved = durable(transforms.by_group(top, Q, list(product(*grid)), move, names))
+def _moved(top: DataFrame, move: Callable, names: tuple[str, ...], *grid: list, least: int = 1) -> DataFrame:
+    """Preservation and discrepancy of every set at every point of a grid, a list of values for each of ``names``; moved is false where a set is too small for the transform."""
+    moved = durable(transforms.by_group(top, Q, list(product(*grid)), move, names, least))
     keys = [*Q, *names]
-    return P.preservation(moved, keys).join(P.mmd_rbf(P.pair_table(moved, keys), keys), keys)
+    return P.preservation(moved, keys).join(P.mmd_rbf(P.pair_table(moved, keys), keys), keys).join(moved.select(*Q, "moved").distinct(), Q)
 
 
 @query()
 def coral_pca(spark: SparkSession, d: str) -> DataFrame:
-    return _moved(_top(spark, d), transforms.coral_pca, ("beta",), BETAS)
+    return _moved(_top(spark, d), transforms.coral_pca, ("beta",), BETAS, least=2)
 
 
 @query()
 def coral_ridge(spark: SparkSession, d: str) -> DataFrame:
-    return _moved(_top(spark, d), transforms.coral_ridge, ("beta", "ridge"), BETAS, [0.1, 0.01, 0.001])
+    return _moved(_top(spark, d), transforms.coral_ridge, ("beta", "ridge"), BETAS, [0.1, 0.01, 0.001], least=2)
 
 
 @query()
@@ -597,6 +630,13 @@ def e1_anchors(spark: SparkSession, d: str) -> DataFrame:
     return moved.join(top.groupBy(*Q).agg((F.count_if("is_poison") <= F.count_if(~F.col("is_poison"))).alias("one_to_one")), Q)
 
 
+@query(O.RANK_ALIGNED)
+def e1_rank_aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Poisoned vectors moved to the clean one of the same place in their set, as often repeated as is needed: a plain join on the place."""
+    moved = P.rank_aligned_sweep(_top(spark, d), Q, ALPHAS)
+    return P.preservation(moved, [*Q, "alpha"])
+
+
 @query()
 def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     """Approximate neighbours of the query set by random hyperplanes over unit vectors: all rows are indexed; recall against topk_cosine is tested."""

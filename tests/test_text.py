@@ -39,8 +39,8 @@ def test_density_and_jaccard(spark):
 
 def test_exact_and_f1(spark):
     df = spark.createDataFrame([(1, "The cat, sat!", "cat sat"), (2, "a b", "c"), (3, None, "c"), (4, "x x y", "x y y")], "k int, p string, g string")
-    got = {r.k: (r.em, round(r.f1, 6)) for r in M.exact_and_f1(df, "k", "p", "g").collect()}
-    assert got == {1: (1, 1.0), 2: (0, 0.0), 4: (0, round(4 / 6, 6))}
+    got = {r.k: (r.em, r.f1 and round(r.f1, 6)) for r in M.exact_and_f1(df, "k", "p", "g").collect()}
+    assert got == {1: (1, 1.0), 2: (0, 0.0), 3: (None, None), 4: (0, round(4 / 6, 6))}
 
 
 def test_auc_with_ties_and_one_class(spark):
