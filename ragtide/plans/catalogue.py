@@ -22,7 +22,6 @@ from ragtide.streaming import summaries
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-RECORD_FIELDS = ["question", "defense", "output_poison", "incorrect_answer", "answer", "output_poison_no_defense"]
 BETAS = [0.0, 0.25, 0.5, 0.75, 1.0]
 ALPHAS = [1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]
 EPSILONS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0]
@@ -52,29 +51,34 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # -- nested result files
 
 
-def _files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return shred.result_tables(table(spark, d, "result_files"), "file_id", "body", RECORD_FIELDS)
+def _files(spark: SparkSession, d: str, fields: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    return shred.result_tables(table(spark, d, "result_files"), "file_id", "body", list(fields))
 
 
 @query(O.NESTED)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = shred.result_tables(table(spark, d, "result_files"), "file_id", "body")["texts"]
-    return texts.select("file_id", "iter_name", "rec_pos", "id", "adv_pos")
+    return _files(spark, d)["texts"].select("file_id", "iter_name", "rec_pos", "id", "adv_pos")
 
 
-@query()
+@query(O.NESTED_ITERATIONS)
 def p1_iterations(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d)["iterations"].drop("tree")
+    return _files(spark, d)["iterations"].drop("tree", "iter_pos")
 
 
-@query()
+@query(O.NESTED_RECORDS)
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d)["records"].drop("tree")
+    return _files(spark, d, O.RECORD_FIELDS)["records"].drop("tree", "iter_pos")
 
 
-@query()
+@query(O.NESTED_TEXTS)
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d)["texts"].drop("tree")
+    return _files(spark, d)["texts"].drop("tree", "iter_pos")
+
+
+@query(O.REJECTS)
+def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies that yield nothing, with the reason."""
+    return _files(spark, d)["rejects"].drop("tree")
 
 
 # -- retrieval

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+#: Scalar fields of a record, besides its id, that the flat tables keep.
+RECORD_FIELDS = ("question", "defense", "output_poison", "incorrect_answer", "answer", "output_poison_no_defense")
+
+
 def big(*names: str) -> str:
     return ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in names)
 
@@ -62,16 +66,23 @@ def label(p: str, c: str, n: str) -> str:
 
 
 
-NESTED = r"""WITH RECURSIVE u AS (SELECT file_id, row_number() OVER () AS t, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM result_files),
-w AS (SELECT file_id, t, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN CAST(j->>'$' AS JSON) END ELSE j END AS j FROM u),
+_JSON = r"""WITH RECURSIVE u AS (SELECT file_id, body, row_number() OVER () AS t, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM result_files),
+w AS (SELECT file_id, body, t, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN CAST(j->>'$' AS JSON) END ELSE j END AS j FROM u),
 h AS (SELECT file_id, t, j AS o FROM w WHERE json_type(j) = 'OBJECT' UNION ALL SELECT file_id, t, unnest(CAST(j AS JSON[])) FROM w WHERE json_type(j) = 'ARRAY'),
 k AS (SELECT file_id, t, o, unnest(json_keys(o)) AS iter_name FROM h WHERE json_type(o) = 'OBJECT'),
-i AS (SELECT file_id, t, iter_name, CAST(json_extract(o, '$."' || iter_name || '"') AS JSON[]) AS r FROM k WHERE json_type(o, '$."' || iter_name || '"') = 'ARRAY'),
-r AS (SELECT file_id, iter_name, unnest(r) AS r, unnest(range(0, len(r))) AS rec_pos FROM i),
-a AS (SELECT file_id, iter_name, rec_pos, r->>'id' AS id, r->'injected_adv' AS x FROM r WHERE json_type(r) = 'OBJECT'),
+n AS (SELECT row_number() OVER () AS it, file_id, iter_name, json_extract(o, '$."' || iter_name || '"') AS v, json_type(o, '$."' || iter_name || '"') AS kind FROM k),
+i AS (SELECT it, file_id, iter_name, CASE WHEN kind = 'ARRAY' THEN CAST(v AS JSON[]) ELSE [v] END AS r FROM n WHERE kind IN ('ARRAY', 'OBJECT')),
+r AS (SELECT it, file_id, iter_name, unnest(r) AS r, unnest(range(0, len(r))) AS rec_pos FROM i),
+q AS (SELECT * FROM r WHERE json_type(r) = 'OBJECT'),
+a AS (SELECT file_id, iter_name, rec_pos, CASE WHEN json_type(r, '$.id') NOT IN ('OBJECT', 'ARRAY') THEN r->>'id' END AS id, r->'injected_adv' AS x FROM q),
 e AS (SELECT file_id, iter_name, rec_pos, id, unnest(CAST(x AS JSON[])) AS y, unnest(range(0, CAST(json_array_length(x) AS BIGINT))) AS adv_pos FROM a WHERE json_type(x) = 'ARRAY'
-  UNION ALL SELECT file_id, iter_name, rec_pos, id, x, 0 FROM a WHERE json_type(x) IN ('VARCHAR', 'OBJECT'))
-SELECT file_id, iter_name, CAST(rec_pos AS BIGINT) AS rec_pos, id, CAST(adv_pos AS BIGINT) AS adv_pos FROM e WHERE json_type(y) = 'VARCHAR' OR json_type(y) = 'OBJECT' AND coalesce(y->>'context', y->>'text') IS NOT NULL"""
+  UNION ALL SELECT file_id, iter_name, rec_pos, id, x, 0 FROM a WHERE json_type(x) IN ('VARCHAR', 'OBJECT')),
+g AS (SELECT file_id, iter_name, CAST(rec_pos AS BIGINT) AS rec_pos, id, CAST(adv_pos AS BIGINT) AS adv_pos, CASE WHEN json_type(y) = 'VARCHAR' THEN y->>'$' WHEN json_type(y) = 'OBJECT' THEN coalesce(y->>'context', y->>'text') END AS text FROM e)"""
+NESTED = _JSON + " SELECT file_id, iter_name, rec_pos, id, adv_pos FROM g WHERE text IS NOT NULL"
+NESTED_TEXTS = _JSON + " SELECT file_id, iter_name, rec_pos, id, adv_pos, text FROM g WHERE text IS NOT NULL"
+NESTED_ITERATIONS = _JSON + " SELECT file_id, iter_name, len(list_filter(r, lambda x: json_type(x) = 'OBJECT')) AS n_records FROM i"
+NESTED_RECORDS = _JSON + " SELECT file_id, iter_name, CAST(rec_pos AS BIGINT) AS rec_pos, " + ", ".join(f"CASE WHEN json_type(r, '$.{c}') NOT IN ('OBJECT', 'ARRAY') THEN r->>'{c}' END AS {c}" for c in ("id", *RECORD_FIELDS)) + " FROM q"
+REJECTS = _JSON + " SELECT file_id, CASE WHEN body IS NULL THEN 'null' WHEN trim(body, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' ELSE 'incomplete' END AS reason FROM w WHERE j IS NULL"
 TOP, PAIRS = "WITH " + top(10), "WITH " + top(10) + "," + removal("top", "query_id")
 MERGED = TOP + " SELECT query_id, doc_id, CASE WHEN is_poison THEN 'adversarial' ELSE 'corpus' END AS source, is_poison, own, round(score, 6) AS score, rank FROM top"
 PREFIX_GRID = (
