@@ -1,15 +1,15 @@
 """Defects of answers to questions: empty, copied, refused, cut off, in another language.
 
-Rules run in a fixed order over each answer, in Arrow batches of whole columns (some fifty patterns, also of names
-in the row itself, are more than generated code takes). What a rule cannot see in one answer, the others show: with the
-expected names masked, a cut answer is a strict prefix of longer ones that are written alike, which one global
-sort finds for all of them (longer_copies).
+A cut answer ends in an open sentence, and what such a sentence says goes on elsewhere: reduced to its form (function words and
+marks stay; names, numbers and other words become signs) it is a strict prefix of longer sentences of other answers, which one global sort
+finds for all of them (``prefixes.longer_copies``), and it is the whole of none. What has no longer copy is left to rules on its own end. The other
+defects are ordered rules over each answer. Every defect that an answer triggers comes out, in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 import regex
@@ -71,6 +71,8 @@ YES_NO_END = r"(?iu)(?:^|[\s\"“'«,:;])(yes|no|ja|nein|oui|non|sí|si)[\s\".
 
 SCRIPTS = {"zh": "Han", "ja": "Hiragana|Katakana", "ru": "Cyrillic", "ar": "Arabic", "ko": "Hangul", "el": "Greek", "he": "Hebrew", "hi": "Devanagari"}
 YES_NO = {"yes", "no", "ja", "nein", "oui", "non", "sí", "si"}
+#: Defect types in the order of their rules; an answer that is empty has no other. copied_start: it begins with the question and goes on.
+DEFECTS = ("empty", "copy", "refusal", "truncated", "language", "copied_start")
 
 
 @cache
@@ -92,18 +94,18 @@ def _plain(text: str) -> str:
     return _re(r"[^\p{L}\p{N}]+").sub("", text.lower())
 
 
-def languages_of(text: str) -> tuple[set[str], int]:
+def languages_of(text: str) -> tuple[frozenset[str], int]:
     """The languages that a text may be in, and by how many of its distinct words that shows.
 
     A script of its own tells the language, if at least four letters and a seventh of all are of it (names are often in Latin
     script); else those count that have most of its frequent words, quotations and capitalised words inside left out. Empty if it has none.
     """
-    letters = len(_re(r"\p{L}").findall(text))
     if not text.isascii():
+        letters = len(_re(r"\p{L}").findall(text))
         for code, names in SCRIPTS.items():
             own = len(_re("|".join(rf"\p{{{name}}}" for name in names.split("|"))).findall(text))
             if own >= max(4, letters * 0.15):
-                return {code}, own
+                return frozenset({code}), own
     loose = _re(r"(?<=\s)\p{Lu}[\p{L}'’]+").sub(" ", _re('«[^»]*»|"[^"]*"|“[^”]*”').sub(" ", text))
     counts: dict[str, int] = {}
     told = 0
@@ -113,40 +115,127 @@ def languages_of(text: str) -> tuple[set[str], int]:
         for code in codes:
             counts[code] = counts.get(code, 0) + 1
     most = max(counts.values(), default=0)
-    return {code for code, n in counts.items() if n == most}, told
+    return frozenset(code for code, n in counts.items() if n == most), told
 
 
-def judge(value: str, question: str | None, names: list[str]) -> tuple[str | None, str | None, bool, bool]:
-    """(defect as far as the answer alone shows it, masked text, whether it is cut if longer copies go on, whether it is foreign)."""
-    v = _re(r"[\u200b-\u200f\ufeff\u00ad\u2060]").sub("", value).strip()
+@lru_cache(4096)
+def _asked_in(question: str) -> frozenset[str]:
+    return languages_of(question)[0]
+
+
+@lru_cache(4096)
+def _asked(question: str) -> str:
+    return _plain(question)
+
+
+def _masked(text: str, names: list[str]) -> str:
+    """``text`` with MASK for every whole occurrence of a name, longer names first, in any case."""
+    for n in names:
+        low, name = text.lower(), n.lower()
+        if len(low) != len(text) or len(name) != len(n):  # a letter that grows in lower case
+            text = regex.sub(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(n)}(?![\p{{L}}\p{{N}}])", MASK, text, flags=regex.I)
+            continue
+        at, last, out = low.find(name), 0, []
+        while at >= 0:
+            end = at + len(name)
+            if not (at and low[at - 1].isalnum() or end < len(low) and low[end].isalnum()):
+                out += [text[last:at], MASK]
+                last = end
+                at = low.find(name, end)
+            else:
+                at = low.find(name, at + 1)
+        if last:
+            text = "".join(out) + text[last:]
+    return text
+
+
+#: Characters at the end of an answer that its ending is judged by.
+TAIL = 400
+OPEN = frozenset(OPEN_WORDS.split())
+#: Words that stay as they are in the form of a sentence: those of the lists above.
+FUNCTION_WORDS = OPEN | frozenset(w for words in LANGUAGE_WORDS.values() for w in words.split())
+#: Signs of a form: a word, a name (a capitalised word that isn't the first, or the expected answer), a number.
+WORD, NAME, NUMBER = "W", "N", "#"
+PIECES = r"\p{L}[\p{L}\p{M}'’]*|\p{N}+(?:[.,]\p{N}+)*|[^\s\p{L}\p{N}]"
+SENTENCE_END = r"(?<=[.!?。？！][\"”»’')\]]*)\s+|\n+"
+LAST_STOP = r"\s*[.!?。？！।:][\"”»’')\]*_`]*$"
+
+
+def form(sentence: str, last: str = "") -> str:
+    """The form of a sentence: its pieces with a blank between, a run of names as one. ``last``: the last piece, which may be cut, stays as far as it goes ("cut"), or is a sign in any case ("whole")."""
+    pieces = _re(PIECES).findall(sentence)
+    out: list[str] = []
+    for i, p in enumerate(pieces):
+        final = last and i == len(pieces) - 1
+        if final and last == "cut":
+            out.append(NAME if p == MASK else p.lower())
+        elif p == MASK:
+            out.append(NAME)
+        elif p[0].isalpha():
+            low = p.lower()
+            out.append(low if low in FUNCTION_WORDS and not final else NAME if i and p[0].isupper() else WORD)
+        else:
+            out.append(NUMBER if p[0].isnumeric() else p)
+        if len(out) > 1 and out[-1] == out[-2] == NAME:
+            out.pop()
+    return " ".join(out)
+
+
+def forms(text: str) -> tuple[list[str], str | None, str | None]:
+    """(forms of the sentences, those that end with their stop marked by ``\\t.`` behind; the form of an open last sentence as it is cut, and with its last piece taken as whole)."""
+    sentences = [x for x in (s.strip() for s in _re(SENTENCE_END).split(text)) if x]
+    out, left, right = [], None, None
+    for i, s in enumerate(sentences):
+        stop = _re(LAST_STOP).search(s)
+        if stop and not (i == len(sentences) - 1 and _re(ABBREVIATION).search(s[-20:].lower())):
+            out.append(form(s[: stop.start()]) + WHOLE)
+        elif i < len(sentences) - 1:
+            out.append(form(s))
+        else:
+            left, right = form(s, "cut"), form(s, "whole")
+            out.append(form(s))
+    return out, left, right
+
+
+#: What stands behind the form of a sentence that is complete.
+WHOLE = "\t."
+
+
+def judge(value: str, question: str | None, names: list[str]) -> tuple[list[str], list[str], str | None, str | None]:
+    """(every defect that the answer triggers by itself, the forms of its sentences, the two forms of an open last sentence if it may be cut).
+
+    Of a sentence that ends in dots, or is an item of a list, only the first form comes out: it is cut if its last word goes on.
+    """
+    v = (value if value.isascii() else _re(r"[\u200b-\u200f\ufeff\u00ad\u2060]").sub("", value)).strip()
     names = sorted({n for n in names if n and n.strip()}, key=len, reverse=True)
-    visible = _re(LABELS).sub("", _re(r"(?s)<[^<>]{0,40}>|&[a-z]{2,6};").sub("", v))
-    if _plain(visible) in PLACEHOLDERS:
-        return "empty", None, False, False
-    asked = _plain(question or "")
+    visible = v if "<" not in v and "&" not in v else _re(r"(?s)<[^<>]{0,40}>|&[a-z]{2,6};").sub("", v)
+    if _plain(_re(LABELS).sub("", visible)) in PLACEHOLDERS:
+        return ["empty"], [], None, None
+    found = []
+    asked, plain = _asked(question or ""), _plain(v)
     if asked:
         said = _plain(_re(r"(?iu)[\s\"'*_]*\b(a|answer|antwort|réponse|respuesta)\s*[:：]?[\s\"'*_]*$").sub("", _re(QUESTION_LABELS).sub("", v)))
-        if said and said.replace(asked, "") == "" or _plain(v).replace(asked, "") == "":
-            return "copy", None, False, False
+        if said and said.replace(asked, "") == "" or plain.replace(asked, "") == "":
+            found.append("copy")
+        elif plain.startswith(asked) or said.startswith(asked):
+            found.append("copied_start")
     end = v[-TAIL:]  # what an answer ends with; patterns of its end never run over all of a long one
     core = v[:-TAIL] + _re(DOTS).sub("", _re(CUT_MARK).sub("", end))
-    masked, longs = core, [n for n in names if n.lower() not in YES_NO]
-    for n in longs:
-        masked = regex.sub(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(n)}(?![\p{{L}}\p{{N}}])", MASK, masked, flags=regex.I)
-    masked = masked.rstrip()
+    longs = [n for n in names if n.lower() not in YES_NO]
+    masked = _masked(core, longs).rstrip()
     yes_no_end = bool(_re(YES_NO_END).search(end))
     named = MASK in masked or yes_no_end or bool(_re(r"(?iu)\b(answer is|texts? says?|second one says|both name|so it is)\s+[\"“']?(yes|no)\b").search(v))
-    if not named and (_re(REFUSAL).search(v) or _re(APOLOGY).search(v) or _re(r"(?iu)^[^.!?]{0,60}(leider|unfortunately)[^.!?]{0,40}[.!?]?$").search(v)):
-        return "refusal", None, False, False
+    if not named and "copy" not in found and (_re(REFUSAL).search(v) or _re(APOLOGY).search(v) or _re(r"(?iu)^[^.!?]{0,60}(leider|unfortunately)[^.!?]{0,40}[.!?]?$").search(v)):
+        found.append("refusal")
     ends_named = bool(_re(MASK + r"[\s\"”»’')\]*_`]*$").search(masked[-TAIL:])) or bool(_re(YES_NO_END).search(core[-TAIL:]))
     dotted, marked = bool(_re(DOTS).search(end)), bool(_re(CUT_MARK).search(end))
     short_form = bool(_re(ABBREVIATION).search(masked[-TAIL:].lower()))
     stopped = bool(_re(STOP).search(masked[-TAIL:])) and not short_form
     several = bool(_re(r"[.!?。][\"”)\]]*(\s*\[\d+\])?\s+\S").search(masked)) and not _re(r"^\s*([-*•]|\d+[.)])\s").match(masked)
-    listed = bool(_re(r"\n\s*([-*•]|\d+[.)])").search(masked))
-    intro = bool(_re(r"(?s)^[^\n]*:\s*\n\s*([-*•]|\d+[.)])").match(core))
+    listed = "\n" in masked and bool(_re(r"\n\s*([-*•]|\d+[.)])").search(masked))
+    intro = "\n" in core and bool(_re(r"(?s)^[^\n]*:\s*\n\s*([-*•]|\d+[.)])").match(core))
     stub = intro and bool(_re(r"\n\s*(([-*•]|\d+[.)]?)\s*|([-*•]|\d+[.)])\s*\S{1,4})$").search(core[-TAIL:]))
-    unclosed = masked.count("(") > masked.count(")") or masked.count("«") > masked.count("»")
+    unclosed = any(masked.count(a) > masked.count(b) for a, b in DELIMITERS) or masked.count("```") % 2 == 1
     words = masked.split()
     lower = core.lower()
     part = not ends_named and any(len(n) > 1 and any(len(core) > k + 3 and lower.endswith(" " + n[:k].lower()) for k in range(1, len(n))) for n in longs)
@@ -154,41 +243,70 @@ def judge(value: str, question: str | None, names: list[str]) -> tuple[str | Non
     opened = bool(tail) and tail[1].lower() in OPEN and len(words) > 3
     ends = ends_named or stopped and not dotted
     sure = marked or stub or short_form and not yes_no_end or unclosed and not stopped or several and not listed and (not stopped or dotted) or dotted and not named
-    if sure or not ends and not listed and (part or opened):
-        return "truncated", masked, False, False
-    goes = not ends and (len(words) > 3 or MASK in masked)
-    foreign = False
-    if question:
-        own, _ = languages_of(question)
+    if "copy" not in found and (sure or not ends and not listed and (part or opened)):
+        found.append("truncated")
+    if question and "copy" not in found:
+        own = _asked_in(question)
         other, told = languages_of(masked.replace(MASK, " "))
-        foreign = bool(own) and bool(other) and not own & other and told >= 2
-    return None, masked, goes, foreign
+        if own and other and not own & other and told >= 2:
+            found.append("language")
+    sentences, left, right = forms(masked)
+    trailing = dotted and named and not several  # dots behind a whole word of one sentence are the writer's own
+    goes = not stopped and (len(words) > 3 or MASK in masked) and not {"copy", "refusal"} & set(found)
+    found.sort(key=DEFECTS.index)
+    return found, sentences, left if goes else None, right if goes and not trailing and not listed else None
 
 
-#: Characters at the end of an answer that its ending is judged by.
-TAIL = 400
-OPEN = frozenset(OPEN_WORDS.split())
+#: Marks that open and close.
+DELIMITERS = ("()", "«»", "[]", "{}", "“”")
+#: Distinct forms up to which those that go on are broadcast; beyond, both sides are sorted.
+BROADCAST_FORMS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS else df.hint("merge")
 
 
 def classify(values: DataFrame) -> DataFrame:
-    """``values`` (value, question, names: array of the expected answers; other columns stay) with its defect, null where it has none.
+    """``values`` (value, question, names: array of the expected answers; other columns stay) with its defects, the first of them, and how a cut shows.
 
-    Ordered rules, one defect at most: empty, copy, refusal, truncated, language. Null values have no defect; null
-    questions and names show nothing. Repeated rows are judged alike.
+    defects: every type of DEFECTS that is triggered, in order, empty where there is none; defect: the first one that makes the answer
+    defective (an answer that only begins with the question is not), else null; by: for a truncated answer ``prefix`` where longer copies go on, ``rule`` where only its own end shows it.
+    Null values have no defect; null questions and names show nothing. Repeated rows are judged alike.
+    A row with ``judged`` false (optional column) only lends its sentences.
     """
     kept = [c for c in values.columns if c not in ("value", "question", "names")]
-    schema = ", ".join([*(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in kept), "_defect string, _masked string, _goes boolean, _foreign boolean"])
+    schema = ", ".join([*(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in kept), "_found array<string>, _forms array<string>, _left string, _right string"])
+    lent = "judged" in kept
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [(None, None, False, False) if v is None else judge(v, q, [] if n is None else list(n)) for v, q, n in zip(f["value"], f["question"], f["names"], strict=True)]
-            yield pd.concat([f[kept], pd.DataFrame(got, columns=["_defect", "_masked", "_goes", "_foreign"], index=f.index)], axis=1)
+            asked = f["judged"] if lent else [True] * len(f)
+            got = [([], [], None, None) if v is None else judge(v, q, [] if n is None else list(n)) if j else ([], lend(v, [] if n is None else list(n)), None, None) for v, q, n, j in zip(f["value"], f["question"], f["names"], asked, strict=True)]
+            yield pd.concat([f[kept], pd.DataFrame(got, columns=["_found", "_forms", "_left", "_right"], index=f.index)], axis=1)
 
     judged = durable(spread(values.select(*kept, "value", "question", "names")).mapInPandas(run, schema))
-    copies = longer_copies(judged.where("_masked is not null"), "_masked").select("_masked", "rest").where(~F.col("rest").rlike(r"^[\s\"”»’')\]]*([.!?。]|$|\[\d)"))
-    # a short text is many answers' at once: its copies are looked up once, and the answers joined with a few distinct texts
-    asking = judged.where("_goes").join(copies.select("_masked").withColumn("_on", F.lit(True)), "_masked", "left")
-    whole = judged.where("not _goes").withColumn("_on", F.lit(None).cast("boolean"))
-    all_ = asking.select(*kept, "_defect", "_foreign", "_on").unionByName(whole.select(*kept, "_defect", "_foreign", "_on"))
-    defect = F.when(F.col("_defect").isNotNull(), F.col("_defect")).when(F.col("_on"), "truncated").when(F.col("_foreign"), "language")
-    return all_.select(*kept, defect.alias("defect"))
+    said = judged.select(F.explode("_forms").alias("_f")).distinct()
+    asking = judged.select(F.explode(F.array("_left", "_right")).alias("_f")).where("_f is not null").distinct()
+    both = durable(said.withColumn("_said", F.lit(True)).unionByName(asking.withColumn("_said", F.lit(False))).groupBy("_f").agg(F.max("_said").alias("_said")))
+    whole = both.where(F.col("_said") & F.col("_f").endswith(WHOLE)).select(F.expr(f"left(_f, length(_f) - {len(WHOLE)})").alias("_f"))
+    goes = longer_copies(both, "_f", "_said").where(F.col("rest") != WHOLE).select("_f", F.col("rest").rlike(r"^\p{L}").alias("_inside"))
+    on = (goes.join(asking, "_f", "left_semi").groupBy("_f").agg(F.max("_inside").alias("_inside")))
+    known = durable(on.join(whole.join(asking, "_f", "left_semi").withColumn("_whole", F.lit(True)), "_f", "full"))
+    own = judged.where("judged") if lent else judged
+    small = _small(known)
+    asked = own.where("_left is not null").join(small.toDF("_left", "_on_left", "_whole_left"), "_left", "left").join(small.toDF("_right", "_on_right", "_whole_right"), "_right", "left")
+    goes_on = F.col("_on_left").isNotNull() | F.col("_on_right").isNotNull()
+    prefix = F.when(F.col("_right").isNull(), F.coalesce("_on_left", F.lit(False))).otherwise(goes_on & F.col("_whole_left").isNull() & F.col("_whole_right").isNull())
+    rest = own.where("_left is null")
+    all_ = asked.select(*kept, "_found", prefix.alias("_prefix")).unionByName(rest.select(*kept, "_found", F.lit(False).alias("_prefix")))
+    cut = F.col("_prefix") | F.array_contains("_found", "truncated")
+    defects = F.filter(F.array(*map(F.lit, DEFECTS)), lambda d: F.when(d == "truncated", cut).otherwise(F.array_contains("_found", d)))
+    first = F.get(F.filter(defects, lambda d: d != "copied_start"), F.lit(0))
+    by = F.when(F.col("_prefix"), "prefix").when(cut, "rule")
+    return all_.select(*[c for c in kept if c != "judged"], defects.alias("defects"), first.alias("defect"), by.alias("by"))
+
+
+def lend(value: str, names: list[str]) -> list[str]:
+    """The forms of the sentences of an answer that is not judged itself."""
+    return forms(_masked(value, sorted({n for n in names if n and n.strip() and n.lower() not in YES_NO}, key=len, reverse=True)).rstrip())[0]

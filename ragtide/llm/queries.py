@@ -24,25 +24,36 @@ def _defended(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(records, "record_id", "left").select(F.lit(None).cast("bigint").alias("run_id"), F.col("diag_id").alias("row_id"), "question", names.alias("names"), F.lit("answer_with_defense").alias("field"), F.col("answer_with_defense").alias("value"))
 
 
-def _defects(spark: SparkSession, d: str) -> DataFrame:
-    return answers.classify(_outputs(spark, d).unionByName(_defended(spark, d)))
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    return answers.classify(_outputs(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _defects(spark, d).where("defect = 'truncated' and field <> 'answer_with_defense'").select(F.col("row_id").alias("record_id"), "field").distinct()
+    return _cuts(spark, d).where("defect = 'truncated'").select(F.col("row_id").alias("record_id"), "field").distinct()
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
-    """For each model: answers, cut answers and their share."""
+    """For each model: answers, cut answers, those of them that longer copies show, and the share of cut ones."""
     runs = table(spark, d, "runs").select("run_id", "model")
-    judged = _defects(spark, d).where("field <> 'answer_with_defense'").groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("defect") == "truncated").alias("cut"))
-    got = judged.join(runs, "run_id", "left").groupBy("model").agg(F.sum("n").alias("answers"), F.sum("cut").alias("truncated"))
+    cut = F.col("defect") == "truncated"
+    judged = _cuts(spark, d).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(cut).alias("cut"), F.count_if(cut & (F.col("by") == "prefix")).alias("by_prefix"))
+    got = judged.join(runs, "run_id", "left").groupBy("model").agg(F.sum("n").alias("answers"), F.sum("cut").alias("truncated"), F.sum("by_prefix").alias("by_prefix"))
     return got.withColumn("share", F.round(F.try_divide("truncated", "answers"), 6))
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Judged answers of prompts and of diagnostics; outputs without defense only lend their sentences."""
+    both = _outputs(spark, d).withColumn("judged", F.col("field") == "output_poison").unionByName(_defended(spark, d).withColumn("judged", F.lit(True)))
+    return answers.classify(both)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    kept = _defects(spark, d).where("defect is not null and field <> 'output_poison_no_defense'")
-    return kept.groupBy("field", "row_id").agg(F.min("defect").alias("defect"))
+    return _pairs(spark, d).where("defect is not null").groupBy("field", "row_id").agg(F.min("defect").alias("defect"))
+
+
+def p3_types(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect type that an answer triggers, a row each; place 0 is the one of p3_found unless it only begins with the question."""
+    return _pairs(spark, d).select("field", "row_id", F.posexplode("defects").alias("place", "defect")).distinct()
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +128,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_counts, p4_found, p4_shares, p5_found, p5_groups, p6_ids, p6_summary, p7_pack, p7_summary, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_types, p3_counts, p4_found, p4_shares, p5_found, p5_groups, p6_ids, p6_summary, p7_pack, p7_summary, p8_found, p8_stats)}
 SQL: dict[str, str] = {
     "p4_found": r"""WITH c AS (SELECT record_id, input_prompt AS p, strpos(input_prompt, chr(10) || chr(10) || 'Contexts: ') - 1 + 12 AS s, length(input_prompt) - length(string_split(input_prompt, ' ' || chr(10) || chr(10) || 'Query: ')[-1]) - 10 AS e
   FROM records WHERE contains(input_prompt, chr(10) || chr(10) || 'Contexts: ') AND contains(input_prompt, ' ' || chr(10) || chr(10) || 'Query: ')),

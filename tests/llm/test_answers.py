@@ -44,10 +44,65 @@ def test_language_of_the_question_counts(spark):
     assert [r.defect for r in answers.classify(df).orderBy("row_id").collect()] == [None, "language"]
 
 
+def by(spark, rows):
+    return [(r.defect, r.by) for r in answers.classify(frame(spark, rows)).orderBy("row_id").collect()]
+
+
+def test_longer_copies_show_a_cut(spark):
+    tale = "The mill of Tolmby was run by Olaf Berg until 1902. {} says that the {} was never opened, because {} wanted it for the people of {}."
+    whole = [tale.format("Ann Lund", "bridge", "Piet Kort", "Harwick"), tale.format("Ida Holm", "library", "Jan Vos", "Selm")]
+    cut = tale.format("Eva Dahl", "school", "Otto Lind", "Ise")
+    rows = [(v, Q, ["Olaf Berg"]) for v in whole + [cut[:n] for n in (len(cut) - 6, len(cut) - 13, cut.index("because") + 3, cut.index("never") + 2)]]
+    assert by(spark, rows) == [(None, None)] * 2 + [("truncated", "prefix")] * 4
+
+
+def test_no_longer_copy_is_left_to_rules(spark):
+    assert by(spark, [("It was Ann Lund. The library was moved in 1902 and the old bui", Q, ["Ann Lund"])]) == [("truncated", "rule")]
+
+
+def test_what_is_whole_elsewhere_is_whole(spark):
+    rows = [("Most texts point to Ann Lund", Q, ["Ann Lund"]), ("Most texts point to Olaf Berg.", Q, ["Olaf Berg"]), ("Most texts point to Olaf Berg and to the mill.", Q, ["Olaf Berg"])]
+    assert by(spark, rows) == [(None, None)] * 3
+    dots = [("It is Ann Lund, as far as anyone can tell...", Q, ["Ann Lund"]), ("It is Olaf Berg, as far as anyone can tell at all.", Q, ["Olaf Berg"]), ("It is Ann Lund, as far as the texts...", Q, ["Ann Lund"]), ("It is Ann Lund, as far as the tex...", Q, ["Ann Lund"]), ("It is Ann Lund, as far as the texts say.", Q, ["Ann Lund"])]
+    assert by(spark, dots) == [(None, None), (None, None), (None, None), ("truncated", "prefix"), (None, None)]
+
+
 def test_listed_answers_have_longer_copies(spark):
     whole = "The texts name these towns:\n1. Tolmby\n2. Harwick on the river Ise\n3. Ann Lund"
-    rows = [(whole, Q, ["Ann Lund"]), (whole[:-20], Q, ["Ann Lund"]), (whole.replace("Tolmby", "Selm")[:-20], Q, ["Ann Lund"])]
-    assert [r.defect for r in answers.classify(frame(spark, rows)).orderBy("row_id").collect()] == [None, "truncated", None]  # the last one has no longer copy
+    rows = [(whole, Q, ["Ann Lund"]), (whole.replace("3. Ann Lund", "3. Selm on the lake"), Q, ["Ann Lund"]), (whole[: whole.index("the river") + 2], Q, ["Ann Lund"])]
+    assert [d for d, _ in by(spark, rows)] == [None, None, "truncated"]
+
+
+def test_every_triggered_type(spark):
+    rows = [
+        ("La réponse à cette question est Ann Lund. La vieille maison (de", Q, ["Ann Lund"]), ("Je ne sais pas. Les textes ne disent rien de la", Q, ["Ann Lund"]), (f"{Q}? It is Ann Lund.", Q, ["Ann Lund"]), ("", Q, ["Ann Lund"]), (Q, Q, ["Ann Lund"]), ("Ann Lund", Q, ["Ann Lund"]),
+    ]
+    got = {r.row_id: (list(r.defects), r.defect) for r in answers.classify(frame(spark, rows)).collect()}
+    assert got == {0: (["truncated", "language"], "truncated"), 1: (["refusal", "truncated", "language"], "refusal"), 2: (["copied_start"], None), 3: (["empty"], "empty"), 4: (["copy"], "copy"), 5: ([], None)}
+
+
+@pytest.mark.parametrize("value", ["The code is Ann Lund: ```x = 1", "Ann Lund [see the second", "It was Ann Lund, {the founder", "It was Ann Lund, who said “never"])
+def test_open_delimiters(spark, value):
+    assert by(spark, [(value, Q, ["Ann Lund"])]) == [("truncated", "rule")]
+
+
+def test_rows_that_only_lend(spark):
+    rows = [("The mill was never opened, because", True), ("The bridge was never opened, because Ann wanted it.", False)]
+    df = spark.createDataFrame([(i, v, Q, ["Olaf Berg"], j) for i, (v, j) in enumerate(rows)], "row_id bigint, value string, question string, names array<string>, judged boolean")
+    assert [(r.row_id, r.defect, r.by) for r in answers.classify(df).collect()] == [(0, "truncated", "prefix")]
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_sorted_and_broadcast_forms_agree(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(answers, "BROADCAST_FORMS", broadcast)
+    test_longer_copies_show_a_cut(spark)
+
+
+def test_names_are_masked_whole():
+    m = answers.MASK
+    assert answers._masked("Ann Lund, ann lund's and Ann Lundby or Joann Lund, İAnn Lund", ["Ann Lund"]) == f"{m}, {m}'s and Ann Lundby or Joann Lund, İAnn Lund"
+    assert answers._masked("Ann Lund and Ann", ["Ann Lund", "Ann"]) == f"{m} and {m}"
+    assert answers._masked("nothing", ["x"]) == "nothing"
 
 
 @pytest.mark.parametrize(

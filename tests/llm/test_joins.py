@@ -131,3 +131,19 @@ def test_longer_copies(spark):
     assert set(got) == want
     assert all(v + rest in distinct for v, rest in got.items())
     assert prefixes.longer_copies(df.limit(0), "v").count() == 0
+
+
+@pytest.mark.parametrize("parts", ["1", "3", "40"])
+def test_longer_copies_among_flagged_values(spark, parts):
+    rng = random.Random(int(parts))
+    rows = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))): rng.random() < 0.3 for _ in range(150)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame([*rows.items(), *list(rows.items())[:20], (None, True), ("", True)], "v string, said boolean")
+        got = {r.v: r.rest for r in prefixes.longer_copies(df, "v", "said").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    copies = sorted(v for v, said in rows.items() if said)
+    want = {v: next(c for c in copies if c > v and c.startswith(v))[len(v) :] for v in rows if any(c > v and c.startswith(v) for c in copies)}
+    assert got == want
