@@ -120,6 +120,12 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_summary(p7_pack(spark, d))
 
 
+def p7_plan(spark: SparkSession, d: str) -> DataFrame:
+    """For each container what any packing needs, and the containers by the program and by first-fit decreasing alone."""
+    sizes = tokens.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return packing.plan_summary(sizes, "doc_id", "n_tokens", table(spark, d, "containers"))
+
+
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
 
@@ -128,7 +134,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_types, p3_counts, p4_found, p4_shares, p5_found, p5_groups, p6_ids, p6_summary, p7_pack, p7_summary, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_types, p3_counts, p4_found, p4_shares, p5_found, p5_groups, p6_ids, p6_summary, p7_pack, p7_summary, p7_plan, p8_found, p8_stats)}
 SQL: dict[str, str] = {
     "p4_found": r"""WITH c AS (SELECT record_id, input_prompt AS p, strpos(input_prompt, chr(10) || chr(10) || 'Contexts: ') - 1 + 12 AS s, length(input_prompt) - length(string_split(input_prompt, ' ' || chr(10) || chr(10) || 'Query: ')[-1]) - 10 AS e
   FROM records WHERE contains(input_prompt, chr(10) || chr(10) || 'Contexts: ') AND contains(input_prompt, ' ' || chr(10) || chr(10) || 'Query: ')),

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ def test_plan_holds_every_item():
         capacity = int(rng.integers(1, 80))
         sizes = rng.integers(1, capacity + 1, int(rng.integers(0, 300)))
         lengths, counts = np.unique(sizes, return_counts=True)
-        got = packing.plan(lengths, counts, capacity, 40)
+        got, figures = packing.plan(lengths, counts, capacity, 40)
         held = np.zeros(capacity + 1, int)
         for pattern, times in got:
             assert sum(n * a for n, a in pattern) <= capacity
@@ -75,13 +76,53 @@ def test_plan_holds_every_item():
                 held[n] += a * times
         assert held[1:].tolist() == np.bincount(sizes, minlength=capacity + 1)[1:].tolist()
         used = sum(times for _, times in got)
+        assert figures["lp_bound"] <= used == min(figures["program_bins"], figures["ffd_bins"])
         assert used <= 1.25 * -(-sizes.sum() // capacity) + 2
 
 
-def test_pattern_is_optimal():
-    lengths, prices = np.array([3, 5, 7]), np.array([3.0, 5.5, 7.2])
-    pattern = packing.best_pattern(lengths, prices, 13)
-    assert sum(prices[i] * a for i, a in pattern.items()) == pytest.approx(14.0)  # 5 + 5 + 3
+def brute_worth(sizes, prices, room, live):
+    worth = [0.0] * (room + 1)
+    for c in range(1, room + 1):
+        worth[c] = max([worth[c - 1]] + [worth[c - n] + p for n, p, on in zip(sizes, prices, live, strict=True) if on and n <= c])
+    return worth[room]
+
+
+def test_pattern_is_optimal_also_after_drops():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        room = int(rng.integers(1, 60))
+        sizes = rng.permutation(np.arange(1, room + 5))[: int(rng.integers(1, 9))]
+        prices = rng.random(len(sizes)) * sizes
+        sack = packing.Knapsack(sizes, prices, room)
+        for j in [None, *rng.permutation(len(sizes))]:
+            if j is not None:
+                sack.drop(int(j))
+            copies, worth = sack.best()
+            assert sum(int(sizes[i]) * a for i, a in copies.items()) <= room
+            assert all(sack.live[i] for i in copies)
+            assert sum(prices[i] * a for i, a in copies.items()) == pytest.approx(worth) == pytest.approx(brute_worth(sizes, prices, room, sack.live))
+
+
+def test_program_needs_no_more_than_first_fit():
+    rng = np.random.default_rng(8)
+    sizes = np.minimum(rng.geometric(1 / 90, 20000) + 8, 512)
+    lengths, counts = np.unique(sizes[sizes < 512], return_counts=True)
+    got, figures = packing.plan(lengths, counts, 512)
+    assert figures["program_bins"] <= figures["ffd_bins"] and figures["by_program"] == figures["program_bins"]
+    assert sum(times for _, times in got) <= figures["lp_bound"] * 1.002 + 1
+
+
+def test_halves_and_large_capacities():
+    assert packing.plan(np.array([6]), np.array([7]), 10)[1] == {"lp_bound": 7, "program_bins": 7, "ffd_bins": 7, "by_program": 7}
+    assert packing.plan(np.array([], np.int64), np.array([], np.int64), 10)[0] == []
+    rng = np.random.default_rng(9)
+    lengths, counts = np.unique(rng.integers(1, 30000, 5000), return_counts=True)
+    began = time.time()
+    got, figures = packing.plan(lengths, counts, 131072)
+    assert time.time() - began < 60
+    assert sum(counts) == sum(a * times for pattern, times in got for _, a in pattern)
+    assert all(sum(n * a for n, a in pattern) <= 131072 for pattern, _ in got)
+    assert figures["program_bins"] <= figures["lp_bound"] * 1.02 + 1
 
 
 def test_pack(spark):
@@ -101,6 +142,9 @@ def test_pack(spark):
         assert set(whole) <= {r[0] for r in rows if (r[1] or 0) > cap}  # only what exceeds the capacity is split
     assert packing.pack(sizes.limit(0), "doc_id", "n", containers, 20).count() == 0
     assert packing.pack(sizes, "doc_id", "n", containers.limit(0), 20).count() == 0
+    figures = {r.container: r for r in packing.plan_summary(sizes, "doc_id", "n", containers, 20).collect()}
+    assert set(figures) == {"c10", "c4"} and packing.plan_summary(sizes, "doc_id", "n", containers.limit(0)).count() == 0
+    assert all(f.bins == got[got.container == name].bin_id.max() + 1 and f.lp_bound <= f.bins for name, f in figures.items())
     summary = {r.container: r for r in packing.pack_summary(packing.pack(sizes, "doc_id", "n", containers, 20)).collect()}
     assert summary["c10"].bins >= summary["c10"].least_bins
 
