@@ -85,6 +85,11 @@ def render_prompt(template: str, question: Column, contexts: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit(TEMPLATE_FIELDS[0]), question), F.lit(TEMPLATE_FIELDS[1]), F.array_join(contexts, "\n"))
 
 
+def injected_texts(question: Column, texts: Column, n: int) -> Column:
+    """The first ``n`` texts, each behind the question and a full stop; empty for null texts."""
+    return F.transform(F.slice(F.coalesce(texts, F.array().cast("array<string>")), 1, n), lambda t: F.concat(question, F.lit("."), t))
+
+
 def parse_contexts(prompt: Column) -> Column:
     """The contexts of a prompt, each stripped; null where a marker is missing."""
     begin, end = "Contexts: ", "\n\nQuery:"

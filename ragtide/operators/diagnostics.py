@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtide.functions.text import strict_match
+from ragtide.functions.text import legacy_match, strict_match
+from ragtide.sources.files import DIAGNOSTIC, fields
+
+RECORD_FIELDS = tuple(f.lower() for f in fields(DIAGNOSTIC))
 
 
 def record(flagged: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,6 +29,27 @@ def record(flagged: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def full_record(flagged: DataFrame, keys: list[str], context: DataFrame, answers: DataFrame | None = None, latencies: DataFrame | None = None) -> DataFrame:
+    """The whole diagnostic record of each group: all fields of the schema, in lower case and in its order.
+
+    context: keys, query_id, dataset, model, attack, defense, k, n_injected, n_adv_estimated_by_ragdefender. answers: keys, answer_no_defense, answer_with_defense,
+    target_wrong_answer, gold_answer (null: not generated). latencies: keys and three times in seconds. The legacy and strict flags are derived from the answers, and
+    the plain ones are the legacy ones; all are null where an answer or the target is. Without answers or latencies those fields are null, and notes says so.
+    """
+    got = record(flagged, keys).drop("surviving_poison_ratio").join(context, keys)
+    texts, times = ("answer_no_defense", "answer_with_defense", "target_wrong_answer", "gold_answer"), ("latency_retrieval_sec", "latency_defense_sec", "latency_generation_sec")
+    got = got.join(answers.select(*keys, *texts), keys, "left") if answers is not None else got.withColumns({c: F.lit(None).cast("string") for c in texts})
+    got = got.join(latencies.select(*keys, *times), keys, "left") if latencies is not None else got.withColumns({c: F.lit(None).cast("double") for c in times})
+    sides = ("no_defense", "with_defense")
+    target = F.col("target_wrong_answer")
+    got = got.withColumns({f"asr_{s}_legacy": legacy_match(target, F.col(f"answer_{s}")) for s in sides} | {f"asr_{s}_strict": strict_match(target, F.col(f"answer_{s}")) for s in sides})
+    got = got.withColumns({f"asr_{s}": F.col(f"asr_{s}_legacy") for s in sides})
+    missing = [name for name, given in (("answers", answers), ("latencies", latencies)) if given is None]
+    got = got.withColumn("notes", F.lit("".join(f"no {name}; " for name in missing).rstrip("; ")))
+    own = [k for k in keys if k not in RECORD_FIELDS]
+    return got.select(*own, *RECORD_FIELDS)
+
+
 #: What a removal achieved.
 LABELS = {
     "success": "poison_removal_success", "over": "over_removal_success", "residual": "residual_poison_failure", "mixed": "residual_poison_with_clean_false_positive", "density": "clean_density_failure",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtide.functions.text import answer_normal, contains_run, decomposed, word_tokens
+from ragtide.functions.text import answer_normal, contains_run, decomposed, legacy_match, word_tokens
 from ragtide.sources.tables import durable
 
 
@@ -60,6 +60,48 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     )
 
 
+def capped_recall(ranked: DataFrame, relevant: DataFrame, judged: DataFrame, k: int) -> DataFrame:
+    """query_id, recall_cap (hits at ``k`` over the lesser of k and the relevant ones) and hole (share of the first k that ``judged`` (query_id, rank) doesn't hold)."""
+    top = ranked.where(F.col("rank") < k)
+    hits = top.where("rel > 0").groupBy("query_id").agg(F.count("*").alias("_h"))
+    known = judged.select("query_id", "rank").distinct().withColumn("_known", F.lit(True))
+    holes = top.join(known, ["query_id", "rank"], "left").groupBy("query_id").agg((F.count_if(F.col("_known").isNull()) / k).alias("hole"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    got = relevant.where("n_rel > 0").join(hits, "query_id", "left").join(holes, "query_id", "left")
+    return got.select("query_id", zero(F.col("_h") / F.least("n_rel", F.lit(k))).alias("recall_cap"), zero(F.col("hole")).alias("hole"))
+
+
+def macro_average(per_query: DataFrame, group: str, names: list[str]) -> DataFrame:
+    """A hundred times the mean over groups of the means of each group, and the number of groups: every group counts alike."""
+    per = per_query.groupBy(group).agg(*[F.avg(n).alias(n) for n in names])
+    return per.agg(F.count("*").alias("groups"), *[(100 * F.avg(n)).alias(n) for n in names])
+
+
+def topk_agreement(ranked: DataFrame, by: list[str], gold: str, score: str, k: int) -> DataFrame:
+    """by, agreement (share of the first ``k`` by ``score`` that are in the first k by ``gold``) and needed (rows by score until all of the gold first k are seen).
+
+    ``gold`` counts from 0 in the gold order; scores are highest first, ties by gold. Null scores come last.
+    """
+    order = Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), gold)
+    placed = ranked.withColumn("_at", F.row_number().over(order))
+    among = F.col(gold) < k
+    return placed.groupBy(*by).agg((F.count_if(among & (F.col("_at") <= k)) / F.least(F.count("*"), F.lit(k))).alias("agreement"), F.coalesce(F.max(F.when(among, F.col("_at"))), F.lit(0)).alias("needed"))
+
+
+def success_by_iteration(records: DataFrame, run: str, iteration: str, target: str, output: str) -> DataFrame:
+    """run, iteration, n (records with a target), hits, asr, and mean_asr over the run's iterations, rounded to two decimals, half to even."""
+    hit = F.coalesce(legacy_match(F.col(target), F.col(output)), F.lit(False))
+    per = records.where(F.col(target).isNotNull()).groupBy(run, iteration).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).withColumn("asr", F.col("hits") / F.col("n"))
+    return per.withColumn("mean_asr", F.bround(F.avg("asr").over(Window.partitionBy(run)), 2))
+
+
+def success_by_run(records: DataFrame, run: str, target: str, with_defense: str, without: str) -> DataFrame:
+    """run, n (records with a target), asr_with_defense and asr_no_defense over the same n; the latter is null where a run has no output without defense."""
+    hits = lambda c: F.count_if(F.coalesce(legacy_match(F.col(target), F.col(c)), F.lit(False)))
+    got = records.where(F.col(target).isNotNull()).groupBy(run).agg(F.count("*").alias("n"), hits(with_defense).alias("_w"), hits(without).alias("_o"), F.count(without).alias("_k"))
+    return got.select(run, "n", F.try_divide("_w", "n").alias("asr_with_defense"), F.when(F.col("_k") > 0, F.try_divide("_o", "n")).alias("asr_no_defense"))
+
+
 def rank_inversions(ranked: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Pairs of a group ordered one way by ``a`` and the other way by ``b``. Groups are retrieved sets, at most k rows."""
     x = ranked.select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))

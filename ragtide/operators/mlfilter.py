@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragtide.functions.text import jaccard, tokens
@@ -69,6 +71,34 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return got.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "prediction")
 
 
+#: What the file beside a saved model must hold.
+ARTIFACT = ("model_type", "feature_names", "threshold_default", "training_meta")
+
+
+def save(model: PipelineModel, path: str, spark: SparkSession, kind: str, meta: dict[str, object], threshold: float = 0.5) -> None:
+    """The model and, beside it, a file that says what it is: kind, features in order, default threshold, how it was trained."""
+    model.write().overwrite().save(f"{path}/model")
+    told = {"model_type": kind, "feature_names": list(FEATURES), "threshold_default": threshold, "training_meta": meta}
+    spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load(path: str, spark: SparkSession) -> tuple[PipelineModel, dict[str, object]]:
+    """A saved model and what its file says. An empty path, a missing file, a file that lacks a key or has other features raises."""
+    if not path:
+        raise ValueError("a model path is needed")
+    try:
+        rows = spark.read.text(f"{path}/about").limit(2).collect()
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no model at {path}") from e
+    about = json.loads(rows[0][0]) if len(rows) == 1 else {}
+    missing = [k for k in ARTIFACT if k not in about] if isinstance(about, dict) else list(ARTIFACT)
+    if missing:
+        raise ValueError(f"the model at {path} does not say its {', '.join(missing)}")
+    if list(about["feature_names"]) != list(FEATURES):
+        raise ValueError(f"the model at {path} has other features: {about['feature_names']}")
+    return PipelineModel.load(f"{path}/model"), about
+
+
 def fit_and_score(rows: DataFrame, kind: str | None = None, label: str = "is_poison") -> DataFrame:
     """The test rows of ``rows`` (FEATURES, dataset, split) with the probability by a model of their own dataset, fitted on its training rows.
 

@@ -76,3 +76,12 @@ def score_passages(rows: DataFrame, keys: list[str], question: str = "question",
 def answer_only_score(text: Column, answer: Column) -> Column:
     """The density of the answer's own tokens; 0 without an answer."""
     return frequency_density(text, F.array_distinct(tokens(answer)))
+
+
+def score_rows(rows: DataFrame, keys: list[str], preview: int = 200) -> DataFrame:
+    """``rows`` (keys, question, slm_answer, text, and what a score row keeps of a passage) with filterrag_score, query_only_score, answer_token_overlap_score and text_preview, from the whole texts."""
+    lasting = [c for c in rows.columns if c not in ("filterrag_score", "query_only_score", "answer_token_overlap_score", "text_preview")]
+    full = score_passages(rows.select(*lasting), keys).withColumn("filterrag_score", F.col("freq_density_score")).select(*lasting, "filterrag_score")
+    both = score_passages(full, keys, answer=None).withColumn("query_only_score", F.col("freq_density_score")).select(*full.columns, "query_only_score")
+    shown = F.translate(F.substring("text", 1, preview), "\n", " ")
+    return both.withColumn("answer_token_overlap_score", answer_only_score(F.col("text"), F.col("slm_answer"))).withColumn("text_preview", shown)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ragtide.functions.text import tokens
 
@@ -52,9 +58,35 @@ def plural_similarity(words: DataFrame) -> DataFrame:
     return plural.join(known.select(F.col("word").alias("word_a")), "word_a", "left_semi").select("word_a", "word_b", F.lit(0.9).alias("sim"))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _unit_counts(hashed: pd.Series, size: pd.Series) -> pd.Series:
+    def one(h: np.ndarray, n: int) -> np.ndarray:
+        counts = np.bincount(h, minlength=n).astype(float)
+        return counts / (np.linalg.norm(counts) or 1)
+
+    return pd.Series([one(np.asarray(h, np.int64), int(n)) for h, n in zip(hashed, size, strict=True)], dtype=object)
+
+
 def embedding_hashed(df: DataFrame, text: str, size: int = 64) -> DataFrame:
-    """embedding: hashed token counts at unit length, a stand-in for an encoder."""
+    """embedding: hashed token counts at unit length (all 0 without tokens), a stand-in for an encoder."""
     hashed = F.transform(tokens(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(hashed, lambda h: h == i)).cast("double"))
-    n = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return df.withColumn("embedding", F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(x))).withColumn("notes", F.lit("embedding: hashed proxy"))
+    return _noted(df.withColumn("embedding", _unit_counts(hashed, F.lit(size))), "embedding: hashed proxy")
+
+
+#: Providers by the name of a configuration's setting; another one is added with ``register``.
+PROVIDERS: dict[str, dict[str, Callable[..., DataFrame]]] = {
+    "answer": {"table": answers_from, "none": no_answers}, "perplexity": {"unigram": unigram_perplexity}, "logprob": {"unigram": unigram_logprob}, "embedding": {"hashed": embedding_hashed}, "similarity": {"plural": plural_similarity},
+}
+
+
+def register(kind: str, name: str, provider: Callable[..., DataFrame]) -> None:
+    """Makes a provider known; it is DataFrame -> DataFrame and adds its one column."""
+    PROVIDERS.setdefault(kind, {})[name] = provider
+
+
+def create(config: dict[str, object]) -> Callable[..., DataFrame]:
+    """The provider that a configuration names by kind and name, with its params filled in; an unknown one raises."""
+    kind, name = str(config.get("kind")), str(config.get("name"))
+    if name not in PROVIDERS.get(kind, {}):
+        raise ValueError(f"no {kind} provider {name}; there are {', '.join(f'{k}/{n}' for k, names in PROVIDERS.items() for n in names)}")
+    return partial(PROVIDERS[kind][name], **dict(config.get("params") or {}))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragtide.functions import text as X
+from ragtide.operators import batch, inspection, reporting
 from ragtide.operators import defenses as D
 from ragtide.operators import diagnostics as G
 from ragtide.operators import metrics as M
@@ -16,6 +17,7 @@ from ragtide.operators import mlfilter, providers, retrieval, shred, sweeps, tra
 from ragtide.operators import pairs as P
 from ragtide.operators import passages as S
 from ragtide.plans import oracles as O
+from ragtide.sources.discovery import rounded_join
 from ragtide.sources.tables import durable, table
 from ragtide.streaming import summaries
 
@@ -211,14 +213,20 @@ QA = ["query_id", "alpha"]
 
 def _sweep(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     """For each query and alpha of the centroid sweep: the pair mix, removals, label and distances."""
-    moved = durable(P.centroid_sweep(_top(spark, d, k), Q, ALPHAS))
-    pairs = durable(P.pair_table(moved, QA))
-    estimates = durable(P.concentration(pairs, QA))
-    flagged = P.pair_frequency_removal(moved, pairs, estimates, QA)
-    rec = G.record(flagged, QA).select(*QA, F.col("n_retrieved_poison").alias("n_poison"), "removed_poison", "removed_clean", "residual_poison_fraction")
+    return _sweep_rows(P.centroid_sweep(_top(spark, d, k), Q, ALPHAS), QA)
+
+
+def _sweep_rows(moved: DataFrame, keys: list[str]) -> DataFrame:
+    """What the concentration defense does to every set of moved vectors, and how far apart its sides are."""
+    moved = durable(moved)
+    pairs = durable(P.pair_table(moved, keys))
+    estimates = durable(P.concentration(pairs, keys))
+    flagged = P.pair_frequency_removal(moved, pairs, estimates, keys)
+    rec = G.record(flagged, keys).select(*keys, F.col("n_retrieved_poison").alias("n_poison"), "removed_poison", "removed_clean", "residual_poison_fraction")
     rec = rec.withColumn("label", G.decision(F.col("removed_poison"), F.col("removed_clean"), F.col("n_poison")))
-    mix = P.pair_mix(P.top_pairs(pairs, QA, estimates), QA)
-    return durable(rec.join(mix, QA, "left").join(P.mmd_rbf(pairs, QA), QA, "left").join(P.class_stats(pairs, QA).select(*QA, "mean_pp"), QA, "left"))
+    mix = P.pair_mix(P.top_pairs(pairs, keys, estimates), keys)
+    apart = P.mmd_rbf(pairs, keys).join(P.coral_distance(pairs, keys), keys)
+    return durable(rec.join(mix, keys, "left").join(apart, keys, "left").join(P.class_stats(pairs, keys).select(*keys, "mean_pp"), keys, "left"))
 
 
 @query(O.SWEEP_ROWS)
@@ -267,6 +275,110 @@ def method_compare(spark: SparkSession, d: str) -> DataFrame:
     return sweeps.compare_methods(rows[0].unionByName(rows[1]))
 
 
+@query(O.FIRST_UP)
+def first_residual_strength(spark: SparkSession, d: str) -> DataFrame:
+    """The least strength of the centroid sweep at which poison stays, going up; null if never."""
+    rows = _sweep(spark, d).withColumn("strength", F.round(1 - F.col("alpha"), 9))
+    return sweeps.first_up(rows, Q, "strength", "removed_poison < n_poison", "first_residual")
+
+
+@query(O.PRESERVED)
+def preserved_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Preservation joined with the sweep's labels on an alpha that was computed in another way, so on its rounded value."""
+    kept = P.preservation(P.centroid_sweep(_top(spark, d), Q, [1 - x for x in (0.0, 0.3, 0.7)]), QA)
+    return rounded_join(kept.withColumn("alpha", F.col("alpha") * 1.0), _sweep(spark, d).select(*QA, "label", "removed_poison"), Q, "alpha").withColumn("alpha", F.round("alpha", 6))
+
+
+def _summary_e0(spark: SparkSession, d: str) -> DataFrame:
+    return batch.extended_summary(_sweep(spark, d), Q)
+
+
+@query(O.EXTENDED)
+def extended_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _summary_e0(spark, d)
+
+
+@query(O.DECREASE)
+def batch_decrease(spark: SparkSession, d: str) -> DataFrame:
+    return batch.decrease(_summary_e0(spark, d))
+
+
+@query(O.INDICATORS)
+def batch_indicators(spark: SparkSession, d: str) -> DataFrame:
+    return batch.indicators(_summary_e0(spark, d))
+
+
+@query(O.VERDICT)
+def batch_verdict(spark: SparkSession, d: str) -> DataFrame:
+    rows = durable(_summary_e0(spark, d))
+    return batch.verdict(batch.decrease(rows), batch.indicators(rows))
+
+
+def _summary_e1(spark: SparkSession, d: str) -> DataFrame:
+    """The extended summary of each query and anchor strategy."""
+    keys = [*Q, "strategy", "alpha"]
+    moved = transforms.by_group(_top(spark, d), Q, list(product(transforms.STRATEGIES, ALPHAS)), lambda p, c, strategy, alpha: transforms.anchor_interpolate(p, c, alpha, strategy), ("strategy", "alpha"))
+    return batch.extended_summary(_sweep_rows(moved, keys), [*Q, "strategy"])
+
+
+@query()
+def e1_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _summary_e1(spark, d)
+
+
+@query()
+def e1_movers(spark: SparkSession, d: str) -> DataFrame:
+    return batch.movers(_summary_e1(spark, d), "query_id", "strategy")
+
+
+@query()
+def e1_any_all(spark: SparkSession, d: str) -> DataFrame:
+    """How many queries keep poison under some, and under all four, of the anchor strategies."""
+    return sweeps.any_all(_summary_e1(spark, d), "query_id", "first_residual", [0.7, 0.5, 0.3], len(transforms.STRATEGIES))
+
+
+# -- passages and stages
+
+
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flagged passages, their pairs and estimates."""
+    top = _top(spark, d)
+    pairs = durable(P.pair_table(top, Q))
+    estimates = durable(P.concentration(pairs, Q))
+    return durable(P.pair_frequency_removal(top, pairs, estimates, Q)), pairs, estimates
+
+
+@query(O.PASSAGE_ROWS)
+def passage_rows(spark: SparkSession, d: str) -> DataFrame:
+    return inspection.passage_rows(*_judged(spark, d), Q).drop("text_preview")
+
+
+@query()
+def passage_rows_pca(spark: SparkSession, d: str) -> DataFrame:
+    flagged, pairs, estimates = _judged(spark, d)
+    return inspection.passage_rows(flagged, pairs, estimates, Q, transforms.pca_coordinates(flagged, Q))
+
+
+@query(O.STAGE1)
+def stage1_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Against the number of own injected passages as what was recorded."""
+    flagged, pairs, estimates = _judged(spark, d)
+    return inspection.stage1_rows(pairs, estimates, Q, flagged.groupBy(*Q).agg(F.count_if("own").alias("n_adv_recorded")))
+
+
+@query(O.STAGE2)
+def stage2_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Against the random removal of as many as what was recorded."""
+    flagged, pairs, estimates = _judged(spark, d)
+    return inspection.stage2_rows(flagged, pairs, estimates, Q, D.random_same_count(flagged, estimates, Q).select(*Q, "rank", "removed"))
+
+
+@query(O.MATRIX)
+def matrix_rows(spark: SparkSession, d: str) -> DataFrame:
+    flagged, pairs, _ = _judged(spark, d)
+    return inspection.matrix_rows(flagged, pairs, Q)
+
+
 # -- text and matching
 
 
@@ -306,6 +418,22 @@ def squad_best_f1(spark: SparkSession, d: str) -> DataFrame:
 SCORE_FIELDS = ["record_id", "dataset", "k", "query_id", "rank", "doc_id", "is_poison", "retrieval_score", "filterrag_score", "query_only_score", "slm_answer", "answer_token_overlap_score"]
 
 
+@query(O.ASR_ITERATION)
+def asr_by_iteration(spark: SparkSession, d: str) -> DataFrame:
+    return M.success_by_iteration(table(spark, d, "records"), "run_id", "iter_name", "incorrect_answer", "output_poison")
+
+
+@query(O.ASR_BOTH)
+def asr_both_sides(spark: SparkSession, d: str) -> DataFrame:
+    return M.success_by_run(table(spark, d, "records"), "run_id", "incorrect_answer", "output_poison", "output_poison_no_defense")
+
+
+@query(O.TEMPLATED)
+def templated_injection(spark: SparkSession, d: str) -> DataFrame:
+    """The first three planted texts of each target as they are injected."""
+    return table(spark, d, "targets").select("id", F.posexplode(X.injected_texts(F.col("question"), F.col("adv_texts"), 3)).alias("place", "text")).select("id", "place", F.md5("text").alias("text_md5"))
+
+
 def _passages(spark: SparkSession, d: str, *fields: str) -> DataFrame:
     """Distinct score rows: their natural key (record_id, rank) and ``fields``, all by default. Repeats are exact, so fewer fields give the same rows."""
     names = dict.fromkeys(("record_id", "rank", *fields)) if fields else SCORE_FIELDS
@@ -459,6 +587,49 @@ def ndcg_map_mrr(spark: SparkSession, d: str) -> DataFrame:
     return M.ranking_metrics(rows, relevant, 10)
 
 
+@query(O.AGREEMENT)
+def topk_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How far the first five by the lexical score are the first five retrieved."""
+    return M.topk_agreement(_passages(spark, d, "filterrag_score").withColumn("s", F.nanvl("filterrag_score", F.lit(None).cast("double"))), ["record_id"], "rank", "s", 5)
+
+
+def _capped(spark: SparkSession, d: str) -> DataFrame:
+    rows = _passages(spark, d, "is_poison", "filterrag_score").select(F.col("record_id").alias("query_id"), "rank", F.coalesce(F.col("is_poison"), F.lit(False)).cast("int").alias("rel"), "filterrag_score")
+    return M.capped_recall(rows, rows.groupBy("query_id").agg(F.sum("rel").alias("n_rel")), rows.where("filterrag_score is not null"), 5)
+
+
+@query(O.CAPPED)
+def recall_cap_hole(spark: SparkSession, d: str) -> DataFrame:
+    """Capped recall of poison in the first five, and the share of them without a lexical score as not judged."""
+    return _capped(spark, d)
+
+
+@query(O.MACRO)
+def macro_average(spark: SparkSession, d: str) -> DataFrame:
+    """The means over datasets of the means over records."""
+    of = table(spark, d, "records").select(F.col("record_id").alias("query_id"), "run_id").join(table(spark, d, "runs").select("run_id", "dataset"), "run_id")
+    return M.macro_average(_capped(spark, d).join(of, "query_id"), "dataset", ["recall_cap", "hole"])
+
+
+@query(O.EXAMPLES)
+def score_examples(spark: SparkSession, d: str) -> DataFrame:
+    return reporting.examples(_passages(spark, d, "k", "is_poison", "filterrag_score", "query_only_score"), 0.5)
+
+
+@query(O.SCORE_GRID)
+def score_row_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Score rows made anew from whole texts for the first 5 and 10 passages of every record: both scores, the answer's own, and a preview."""
+    a = _answered(spark, d).withColumn("grid_k", F.explode(F.filter(F.array(F.lit(5), F.lit(10)), lambda k: (k > F.col("rank")) & (k <= F.col("k")))))
+    return S.score_rows(a.withColumn("k", F.col("grid_k")).drop("grid_k"), ["record_id", "k", "rank"]).select("record_id", "k", "rank", "doc_id", "is_poison", "filterrag_score", "query_only_score", "answer_token_overlap_score", F.md5("text_preview").alias("preview_md5"))
+
+
+@query()
+def text_concentration(spark: SparkSession, d: str) -> DataFrame:
+    """The estimate of injected passages over texts, by the stand-in encoder."""
+    rows = providers.embedding_hashed(_texts(spark, d), "text").select("record_id", "rank", "is_poison", "embedding")
+    return P.concentration(durable(P.pair_table(rows, ["record_id"])), ["record_id"])
+
+
 @query(O.SPLIT)
 def group_split(spark: SparkSession, d: str) -> DataFrame:
     return M.group_split(table(spark, d, "score_rows"), "query_id", by=["dataset"])
@@ -546,22 +717,57 @@ def run_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "runs").select("run_id", F.substring_index("run_name", "-", 1).alias("dataset"), (built == F.col("run_name")).alias("rebuilt"))
 
 
+@query(O.CATEGORY)
+def failure_category(spark: SparkSession, d: str) -> DataFrame:
+    return _diagnostics(spark, d).select("diag_id", reporting.failure_category(F.col("removed_poison"), F.col("removed_clean"), F.col("n_retrieved_poison")).alias("category"))
+
+
+@query(O.DETECTION)
+def detection_table(spark: SparkSession, d: str) -> DataFrame:
+    return reporting.detection_table(G.summary(_diagnostics(spark, d)))
+
+
+@query(O.COMPARISON)
+def comparison_table(spark: SparkSession, d: str) -> DataFrame:
+    return reporting.comparison_table(G.summary(_diagnostics(spark, d)))
+
+
+@query(O.WEIGHTED)
+def weighted_means(spark: SparkSession, d: str) -> DataFrame:
+    """Poison recall of each defense, weighted by what was retrieved."""
+    return reporting.weighted_means(_diagnostics(spark, d), ["defense"], "poison_recall", "n_retrieved_poison")
+
+
+@query(O.FULL_RECORD)
+def diag_full_record(spark: SparkSession, d: str) -> DataFrame:
+    """Whole diagnostic records of the density filter over the score rows, lists as text."""
+    keys = ["record_id"]
+    rows = _passages(spark, d, "doc_id", "is_poison", "filterrag_score").withColumn("query_id", F.col("record_id"))
+    flagged = D.by_threshold(rows, "filterrag_score", 0.2)
+    records = table(spark, d, "records").select("record_id", "run_id", F.col("id").alias("query_id"), "answer", "incorrect_answer", "output_poison", "output_poison_no_defense")
+    runs = table(spark, d, "runs").select("run_id", "dataset", "model", "attack", "k", "n_injected")
+    estimated = flagged.groupBy(*keys).agg(F.count_if("removed").alias("n_adv_estimated_by_ragdefender"))
+    context = records.select(*keys, "run_id", "query_id").join(runs, "run_id").withColumn("defense", F.lit("density")).drop("run_id").join(estimated, keys)
+    answers = records.select(*keys, F.col("output_poison_no_defense").alias("answer_no_defense"), F.col("output_poison").alias("answer_with_defense"), F.col("incorrect_answer").alias("target_wrong_answer"), F.col("answer").alias("gold_answer"))
+    got = G.full_record(flagged.drop("query_id"), keys, context, answers)
+    return got.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c, t in got.dtypes if t.startswith("array")})
+
+
 @query(O.STREAM)
 def stream_summary(spark: SparkSession, d: str) -> DataFrame:
     """The running summary of a stream over the diagnostics that are there, in complete mode."""
     return _stream(spark, d, summaries.running_summary, "complete")
 
 
-def _stream(spark: SparkSession, d: str, aggregate: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    import uuid
+@query(O.WINDOWS)
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Records and removals of each day and defense by a stream over the diagnostics that are there."""
+    return _stream(spark, d, lambda r: summaries.windowed_counts(r, late="36500 days"), "complete")
 
-    from ragtide.sources.tables import shared_folder
 
-    name = "stream_" + uuid.uuid4().hex
-    schema = table(spark, d, "diagnostics").schema
-    source = summaries.read_stream(spark, f"{d}/diagnostics*.parquet", schema)
-    summaries.run_to_table(aggregate(source), name, mode, f"{shared_folder(spark)}/{name}").awaitTermination()
-    return spark.table(name)
+def _stream(spark: SparkSession, d: str, aggregate: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    source = summaries.read_stream(spark, f"{d}/diagnostics*.parquet", table(spark, d, "diagnostics").schema)
+    return summaries.run_to_table(aggregate(source), mode)
 
 
 # -- learned and dense operators, checked by rows and invariants

@@ -116,10 +116,14 @@ round((n_retrieved_poison - removed_poison) / nullif(n_retrieved_poison, 0), 6)
 POOLED = _FLAGS + """ SELECT defense, count(*) AS n, round(sum(removed_poison) / nullif(sum(n_retrieved_poison), 0), 6) AS pooled_recall, round(sum(removed_clean) / nullif(sum(n_retrieved_clean), 0), 6) AS pooled_fpr,
 round(sum(n_retrieved_poison - removed_poison) / nullif(sum(n_retrieved_poison - removed_poison + n_retrieved_clean - removed_clean), 0), 6) AS pooled_residual FROM rec GROUP BY defense"""
 KEPT = PAIRS + " SELECT query_id, doc_id, CASE WHEN removed THEN 'removed' ELSE 'kept' END AS side FROM flagged"
-CORAL = PAIRS + """, c AS (SELECT query_id, i, j, pi, pj, sim - avg(sim) OVER (PARTITION BY query_id, pi, pj, i) - avg(sim) OVER (PARTITION BY query_id, pi, pj, j) + avg(sim) OVER (PARTITION BY query_id, pi, pj) AS g FROM pairs),
-t AS (SELECT query_id, coalesce(sum(g * g) FILTER (WHERE pi AND pj), 0) AS pp, coalesce(sum(g * g) FILTER (WHERE NOT pi AND NOT pj), 0) AS cc, coalesce(sum(g * g) FILTER (WHERE pi AND NOT pj), 0) AS pc,
-count(*) FILTER (WHERE pi AND i = j) - 1 AS np, count(*) FILTER (WHERE NOT pi AND i = j) - 1 AS nc FROM c GROUP BY query_id)
-SELECT query_id, CASE WHEN np >= 1 AND nc >= 1 THEN round(greatest(0.0, pp / pow(np, 2) + cc / pow(nc, 2) - 2 * pc / (np * nc)), 6) END AS coral FROM t"""
+def coral(src: str, keys: str) -> str:
+    return f"""SELECT {keys}, CASE WHEN np >= 1 AND nc >= 1 THEN greatest(0.0, pp / pow(np, 2) + cc / pow(nc, 2) - 2 * pc / (np * nc)) END AS coral FROM
+(SELECT {keys}, coalesce(sum(g * g) FILTER (WHERE pi AND pj), 0) AS pp, coalesce(sum(g * g) FILTER (WHERE NOT pi AND NOT pj), 0) AS cc, coalesce(sum(g * g) FILTER (WHERE pi AND NOT pj), 0) AS pc,
+count(*) FILTER (WHERE pi AND i = j) - 1 AS np, count(*) FILTER (WHERE NOT pi AND i = j) - 1 AS nc FROM
+(SELECT {keys}, i, j, pi, pj, sim - avg(sim) OVER (PARTITION BY {keys}, pi, pj, i) - avg(sim) OVER (PARTITION BY {keys}, pi, pj, j) + avg(sim) OVER (PARTITION BY {keys}, pi, pj) AS g FROM {src}) GROUP BY {keys})"""
+
+
+CORAL = PAIRS + f", z AS ({coral('pairs', 'query_id')}) SELECT query_id, round(coral, 6) AS coral FROM z"
 
 
 def mmd(src: str, keys: str) -> str:
@@ -156,13 +160,13 @@ def sweep(k: int = 10) -> str:
     return moved("[1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]", k) + "," + removal("swept", "query_id, alpha") + f""",
 counts AS (SELECT query_id, alpha, count(*) FILTER (WHERE is_poison) AS n_poison, count(*) FILTER (WHERE is_poison AND removed) AS removed_poison, count(*) FILTER (WHERE NOT is_poison AND removed) AS removed_clean,
   count(*) FILTER (WHERE NOT removed) AS left_all FROM flagged GROUP BY query_id, alpha),
-dist AS ({mmd('pairs', 'query_id, alpha')}),
+dist AS ({mmd('pairs', 'query_id, alpha')}), apart AS ({coral('pairs', 'query_id, alpha')}),
 pp AS (SELECT query_id, alpha, avg(sim) FILTER (WHERE pi AND pj) AS mean_pp FROM pairs WHERE i < j GROUP BY query_id, alpha),
 sw AS (SELECT query_id, alpha, n_poison, removed_poison, removed_clean, (n_poison - removed_poison) / nullif(left_all, 0) AS residual_poison_fraction, {label('removed_poison', 'removed_clean', 'n_poison')} AS label,
-  top_pair_pp, top_pair_pc, top_pair_cc, mmd, mean_pp FROM counts LEFT JOIN mix USING (query_id, alpha) LEFT JOIN dist USING (query_id, alpha) LEFT JOIN pp USING (query_id, alpha))"""
+  top_pair_pp, top_pair_pc, top_pair_cc, mmd, coral, mean_pp FROM counts LEFT JOIN mix USING (query_id, alpha) LEFT JOIN dist USING (query_id, alpha) LEFT JOIN apart USING (query_id, alpha) LEFT JOIN pp USING (query_id, alpha))"""
 
 
-SWEEP_ROWS = sweep() + f" SELECT query_id, alpha, n_poison, removed_poison, removed_clean, {six('residual_poison_fraction')}, label, top_pair_pp, top_pair_pc, top_pair_cc, {six('mmd', 'mean_pp')} FROM sw"
+SWEEP_ROWS = sweep() + f" SELECT query_id, alpha, n_poison, removed_poison, removed_clean, {six('residual_poison_fraction')}, label, top_pair_pp, top_pair_pc, top_pair_cc, {six('mmd', 'coral', 'mean_pp')} FROM sw"
 _TRIGGERED = sweep() + """, base AS (SELECT * FROM sw WHERE alpha = 1.0), t AS (SELECT sw.query_id, max(sw.alpha) FILTER (WHERE sw.top_pair_pp < base.top_pair_pp) AS pp_weakened,
 max(sw.alpha) FILTER (WHERE sw.top_pair_pc > base.top_pair_pc) AS pc_appeared, max(sw.alpha) FILTER (WHERE sw.removed_poison < base.removed_poison) AS fewer_poison,
 max(sw.alpha) FILTER (WHERE sw.removed_poison < sw.n_poison) AS first_residual, max(sw.alpha) FILTER (WHERE sw.label <> base.label) AS label_changed,
@@ -180,6 +184,32 @@ PEARSON = sweep() + """, p AS (SELECT query_id, count(*) AS n, covar_pop(alpha,
 SELECT query_id, n, CASE WHEN n >= 2 AND a > 1e-12 AND b > 1e-12 THEN round(c / (a * b), 6) END AS pearson FROM p"""
 
 
+FIRST_UP = sweep() + " SELECT query_id, round(min(round(1 - alpha, 9)) FILTER (WHERE removed_poison < n_poison), 6) AS first_residual FROM sw GROUP BY query_id"
+PRESERVED = sweep() + """, g AS (SELECT query_id, alpha, list_distance(e, original) AS gap, list_cosine_similarity(e, original) AS near FROM swept WHERE is_poison AND round(alpha, 6) IN (1.0, 0.7, 0.3)),
+h AS (SELECT query_id, round(alpha, 6) AS alpha, round(avg(gap), 6) AS mean_displacement, round(max(gap), 6) AS max_displacement, round(avg(near), 6) AS mean_cosine, round(min(near), 6) AS min_cosine FROM g GROUP BY ALL)
+SELECT h.*, label, removed_poison FROM h LEFT JOIN sw ON sw.query_id = h.query_id AND round(sw.alpha, 6) = h.alpha"""
+_EXTENDED = sweep() + """, r AS (SELECT query_id, alpha, n_poison, removed_poison, removed_clean, label, top_pair_pp, top_pair_pc, round(mmd, 9) AS mmd, round(coral, 9) AS coral, round(mean_pp, 9) AS mean_pp FROM sw), b AS (SELECT * FROM r WHERE alpha = 1.0),
+f AS (SELECT * FROM r WHERE alpha = 0.3),
+t AS (SELECT r.query_id, max(r.alpha) FILTER (WHERE r.top_pair_pp < b.top_pair_pp) AS pp_decreased, max(r.alpha) FILTER (WHERE r.top_pair_pc > b.top_pair_pc) AS pc_increased, max(r.alpha) FILTER (WHERE r.removed_poison < b.removed_poison) AS fewer_poison_removed,
+max(r.alpha) FILTER (WHERE r.removed_clean > b.removed_clean) AS clean_removed_increased, max(r.alpha) FILTER (WHERE r.removed_poison < r.n_poison) AS first_residual, max(r.alpha) FILTER (WHERE r.label <> b.label) AS first_label_change,
+max(r.alpha) FILTER (WHERE r.mean_pp < b.mean_pp) AS mean_pp_decreased, max(r.alpha) FILTER (WHERE r.coral < b.coral) AS coral_decreased, max(r.alpha) FILTER (WHERE r.mmd < b.mmd) AS mmd_decreased, min(r.alpha) AS least,
+count(r.coral) AS nc, covar_pop(r.alpha, r.coral) AS vc, stddev_pop(r.alpha) FILTER (WHERE r.coral IS NOT NULL) AS ac, stddev_pop(r.coral) AS sc, count(r.mmd) AS nm, covar_pop(r.alpha, r.mmd) AS vm, stddev_pop(r.alpha) FILTER (WHERE r.mmd IS NOT NULL) AS am, stddev_pop(r.mmd) AS sm
+FROM r JOIN b ON r.query_id = b.query_id GROUP BY r.query_id),
+x AS (SELECT t.* EXCLUDE (nc, vc, ac, sc, nm, vm, am, sm), b.label AS baseline_label, f.label AS final_label, b.coral AS baseline_coral, f.coral AS final_coral, b.mmd AS baseline_mmd, f.mmd AS final_mmd, b.coral - f.coral AS coral_reduction, b.mmd - f.mmd AS mmd_reduction,
+CASE WHEN nc >= 2 AND ac > 1e-12 AND sc > 1e-12 THEN vc / (ac * sc) END AS coral_pearson, CASE WHEN nm >= 2 AND am > 1e-12 AND sm > 1e-12 THEN vm / (am * sm) END AS mmd_pearson FROM t JOIN b USING (query_id) JOIN f USING (query_id))"""
+EXTENDED = _EXTENDED + f" SELECT * REPLACE ({six('baseline_coral', 'final_coral', 'baseline_mmd', 'final_mmd', 'coral_reduction', 'mmd_reduction', 'coral_pearson', 'mmd_pearson')}) FROM x"
+_DECREASE = _EXTENDED + ", a AS (" + " UNION ALL ".join(
+    f"SELECT '{d}' AS distance, count(*) AS n, count(*) FILTER (WHERE final_{d} < baseline_{d}) AS lower, avg({d}_pearson) AS mean_pearson, count(*) FILTER (WHERE {d}_pearson > 0) AS positive, count({d}_pearson) AS informative FROM x" for d in ("coral", "mmd")
+) + ")"
+DECREASE = _DECREASE + " SELECT * REPLACE (round(mean_pearson, 6) AS mean_pearson) FROM a"
+_INDICATORS = ", l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS indicator, {c} AS i, first_residual AS o FROM x" for n, c in (("top_pair_pp", "pp_decreased"), ("coral", "coral_decreased"), ("mmd", "mmd_decreased"), ("mean_pp", "mean_pp_decreased"))) + """),
+m AS (SELECT indicator, count(*) FILTER (WHERE i >= o) AS precedes, count(*) FILTER (WHERE i IS NOT NULL AND o IS NULL) AS alone, count(*) FILTER (WHERE o IS NOT NULL AND NOT coalesce(i >= o, false)) AS late, count(*) FILTER (WHERE i IS NULL AND o IS NULL) AS neither,
+avg(i - o) FILTER (WHERE i >= o) AS mean_lead FROM l GROUP BY indicator), p AS (SELECT *, precedes / nullif(precedes + late, 0) AS support FROM m)"""
+INDICATORS = _EXTENDED + _INDICATORS + " SELECT * REPLACE (round(mean_lead, 6) AS mean_lead, round(support, 6) AS support), row_number() OVER (ORDER BY round(support, 9) DESC NULLS LAST, round(mean_lead, 9) ASC NULLS LAST, indicator) AS place FROM p"
+VERDICT = _DECREASE + _INDICATORS + """, v AS (SELECT (SELECT avg(mean_pearson) FROM a) AS mean_pearson, (SELECT avg(support) FROM p WHERE indicator IN ('coral', 'mmd')) AS mean_support)
+SELECT round(mean_pearson, 6) AS mean_pearson, round(mean_support, 6) AS mean_support, coalesce(mean_pearson > 0.5 AND mean_support >= 0.7, false) AS meaningful FROM v"""
+
+
 def _method(k: int) -> str:
     return f"SELECT * FROM ({sweep(k)} SELECT 'top_{k}' AS method, query_id, 1 - alpha AS strength, removed_poison < n_poison AS failed, mmd AS value FROM sw)"
 
@@ -189,6 +219,29 @@ p AS (SELECT method, query_id, count(*) AS rows, bool_or(failed) AS failed, avg(
 SELECT method, CAST(sum(rows) AS BIGINT) AS "rows", count(*) AS queries, count(*) FILTER (WHERE failed) AS failing_queries, round(avg(v), 6) AS mean_at_strongest, round(min(first), 6) AS first_failure FROM p GROUP BY method"""
 
 
+# -- passages and stages
+
+_SEEN = PAIRS + """, seen AS (SELECT col.query_id, col.i, m, d, round(m, 9) > round(mean_of_means, 9) AS above_mean, round(d, 9) > round((mean_of_means + median_of_medians) / 2, 9) AS above_median, flipped FROM col JOIN est USING (query_id)),
+near AS (SELECT query_id, i, j, pj, sim, row_number() OVER (PARTITION BY query_id, i ORDER BY round(sim, 9) DESC, j) AS r FROM pairs WHERE i <> j),
+cls AS (SELECT query_id, i, avg(sim) FILTER (WHERE i <> j AND pj) AS p, avg(sim) FILTER (WHERE i <> j AND NOT pj) AS c FROM pairs GROUP BY query_id, i)"""
+PASSAGE_ROWS = _SEEN + """ SELECT flagged.query_id, rank AS passage_index, doc_id AS passage_id, rank + 1 AS rank, is_poison, removed, round(score, 6) AS retrieval_score, round(m, 6) AS mean_similarity, round(d, 6) AS median_similarity, above_mean, above_median,
+(above_mean OR above_median) <> flipped AS injected_side, round(coalesce(pair_score, 0), 6) AS pair_score, near.j AS neighbour_index, near.pj AS neighbour_poison, round(near.sim, 6) AS neighbour_similarity, round(p, 6) AS similarity_to_poison, round(c, 6) AS similarity_to_clean
+FROM flagged JOIN seen ON seen.query_id = flagged.query_id AND seen.i = rank LEFT JOIN near ON near.query_id = flagged.query_id AND near.i = rank AND r = 1 JOIN cls ON cls.query_id = flagged.query_id AND cls.i = rank"""
+STAGE1 = PAIRS + """, z AS (SELECT query_id, count(*) FILTER (WHERE is_poison) AS n_poison, count(*) FILTER (WHERE NOT is_poison) AS n_clean, count(*) FILTER (WHERE own) AS n_adv_recorded FROM top GROUP BY query_id)
+SELECT query_id, k, n_poison, n_clean, round(mean_of_means, 6) AS mean_of_means, round(median_of_medians, 6) AS median_of_medians, round((mean_of_means + median_of_medians) / 2, 6) AS threshold, CAST(flagged AS BIGINT) AS flagged, flipped, CAST(n_adv AS BIGINT) AS n_adv,
+n_adv_recorded, n_adv = n_adv_recorded AS agrees FROM est JOIN z USING (query_id)"""
+STAGE2 = PAIRS + """, o AS (SELECT p.*, n_adv, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, i, j) AS n FROM pairs p JOIN est USING (query_id) WHERE i < j), t AS (SELECT * FROM o WHERE n <= greatest(1, n_adv * (n_adv - 1) / 2)),
+u AS (SELECT query_id, count(*) AS n_pairs, '[' || string_agg(printf('[%d,%d,%.6f]', i, j, sim), ',' ORDER BY n) || ']' AS top_pairs, '[' || string_agg(printf('%.6f', sim), ',' ORDER BY n) || ']' AS top_similarities FROM t GROUP BY query_id),
+h AS (SELECT query_id, '[' || string_agg(printf('%.6f', coalesce(pair_score, 0)), ',' ORDER BY rank) || ']' AS pair_scores, '[' || coalesce(string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE removed), '') || ']' AS removed FROM flagged GROUP BY query_id),
+drawn AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY sha256('12:' || query_id || ':' || rank)) <= n_adv AS removed FROM top JOIN est USING (query_id)),
+q2 AS (SELECT query_id, '[' || coalesce(string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE removed), '') || ']' AS removed_recorded FROM drawn GROUP BY query_id)
+SELECT query_id, CAST(n_adv AS BIGINT) AS n_adv, coalesce(n_pairs, 0) AS n_pairs, coalesce(top_pairs, '[]') AS top_pairs, coalesce(top_similarities, '[]') AS top_similarities, pair_scores, removed, removed_recorded, removed = removed_recorded AS agrees
+FROM est LEFT JOIN u USING (query_id) JOIN h USING (query_id) JOIN q2 USING (query_id)"""
+MATRIX = PAIRS + """, a AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN is_poison THEN 0 ELSE 1 END, CASE WHEN removed THEN 0 ELSE 1 END, rank) - 1 AS place,
+rank || ':' || CASE WHEN is_poison THEN 'P' ELSE 'C' END || CASE WHEN removed THEN 'R' ELSE 'K' END || ':' || doc_id AS mark FROM flagged)
+SELECT p.query_id, i, j, round(sim, 6) AS sim, x.place AS place_i, x.mark AS mark_i, y.place AS place_j, y.mark AS mark_j FROM pairs p JOIN a x ON x.query_id = p.query_id AND x.rank = i JOIN a y ON y.query_id = p.query_id AND y.rank = j"""
+
+
 # -- text
 
 
@@ -236,6 +289,11 @@ SELECT record_id, em, f1 FROM records LEFT JOIN e USING (record_id)"""
 
 EM_F1 = _em_f1("[answer]")
 BEST_F1 = _em_f1("[answer, incorrect_answer]")
+ASR_ITERATION = f"""WITH h AS (SELECT run_id, iter_name, count(*) AS n, count(*) FILTER (WHERE coalesce({legacy('incorrect_answer', 'output_poison')}, false)) AS hits FROM records WHERE incorrect_answer IS NOT NULL GROUP BY ALL)
+SELECT run_id, iter_name, n, hits, round(hits / n, 6) AS asr, round_even(avg(hits / n) OVER (PARTITION BY run_id), 2) AS mean_asr FROM h"""
+ASR_BOTH = f"""WITH h AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE coalesce({legacy('incorrect_answer', 'output_poison')}, false)) AS w, count(*) FILTER (WHERE coalesce({legacy('incorrect_answer', 'output_poison_no_defense')}, false)) AS o,
+count(output_poison_no_defense) AS k FROM records WHERE incorrect_answer IS NOT NULL GROUP BY run_id) SELECT run_id, n, round(w / n, 6) AS asr_with_defense, CASE WHEN k > 0 THEN round(o / n, 6) END AS asr_no_defense FROM h"""
+TEMPLATED = "WITH t AS (SELECT id, question, unnest(adv_texts[1:3]) AS x, unnest(range(0, least(3, len(adv_texts)))) AS place FROM targets WHERE adv_texts IS NOT NULL) SELECT id, CAST(place AS BIGINT) AS place, md5(question || '.' || x) AS text_md5 FROM t"
 _ROWS = "p AS (SELECT DISTINCT record_id, dataset, k, query_id, rank, doc_id, is_poison, retrieval_score, filterrag_score, query_only_score, slm_answer, answer_token_overlap_score FROM score_rows)"
 _TEXTS = _ROWS + """, i AS (SELECT record_id, unnest(range(len(injected_adv))) AS n, unnest(injected_adv) AS t FROM records),
 pt AS (SELECT p.*, CASE WHEN p.doc_id LIKE 'adv::%' THEN i.t ELSE d.text END AS text FROM p LEFT JOIN documents d ON NOT p.doc_id LIKE 'adv::%' AND d.doc_id = try_cast(p.doc_id AS BIGINT)
@@ -323,6 +381,18 @@ h AS (SELECT record_id AS query_id, rank, row_number() OVER (PARTITION BY record
 g AS (SELECT query_id, sum(1 / log2(rank + 2)) AS dcg, sum(hit / (rank + 1)) AS ap, count(*) AS n, min(rank) AS f FROM h GROUP BY query_id),
 i AS (SELECT query_id, n_rel, list_sum([1 / log2(x + 1) FOR x IN range(1, CAST(least(n_rel, 10) AS BIGINT) + 1)]) AS ideal FROM r WHERE n_rel > 0)
 SELECT query_id, round(coalesce(dcg / ideal, 0), 6) AS ndcg, round(coalesce(ap / least(n_rel, 10), 0), 6) AS ap, round(coalesce(n / n_rel, 0), 6) AS recall, round(coalesce(n / 10, 0), 6) AS "precision", round(coalesce(1 / (f + 1), 0), 6) AS rr FROM i LEFT JOIN g USING (query_id)"""
+AGREEMENT = "WITH " + _ROWS + """, s AS (SELECT record_id, rank, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN isnan(filterrag_score) THEN NULL ELSE filterrag_score END DESC NULLS LAST, rank) AS at_ FROM p)
+SELECT record_id, round(count(*) FILTER (WHERE rank < 5 AND at_ <= 5) / least(count(*), 5), 6) AS agreement, coalesce(max(at_) FILTER (WHERE rank < 5), 0) AS needed FROM s GROUP BY record_id"""
+_CAPPED = "WITH " + _ROWS + """, c AS (SELECT record_id AS query_id, count(*) FILTER (WHERE is_poison) AS n_rel, count(*) FILTER (WHERE is_poison AND rank < 5) AS h, count(*) FILTER (WHERE rank < 5 AND filterrag_score IS NULL) / 5 AS hole FROM p GROUP BY record_id),
+x AS (SELECT query_id, h / least(n_rel, 5) AS recall_cap, hole FROM c WHERE n_rel > 0)"""
+CAPPED = _CAPPED + f" SELECT query_id, {six('recall_cap', 'hole')} FROM x"
+MACRO = _CAPPED + ", g AS (SELECT dataset, avg(recall_cap) AS r, avg(hole) AS h FROM x JOIN records ON record_id = query_id JOIN runs USING (run_id) GROUP BY dataset) SELECT count(*) AS groups, round(100 * avg(r), 6) AS recall_cap, round(100 * avg(h), 6) AS hole FROM g"
+EXAMPLES = "WITH " + _ROWS + """, r AS (SELECT *, filterrag_score >= 0.5 AS high, abs(filterrag_score - CASE WHEN isnan(query_only_score) THEN NULL ELSE query_only_score END) AS gap FROM p WHERE k = 10 AND filterrag_score IS NOT NULL AND NOT isnan(filterrag_score)),
+c AS (SELECT *, 'poison_removed' AS category, 0 AS first FROM r WHERE is_poison AND high UNION ALL SELECT *, 'clean_removed', 0 FROM r WHERE NOT is_poison AND high UNION ALL SELECT *, 'clean_kept', 0 FROM r WHERE NOT is_poison AND NOT high UNION ALL SELECT *, 'diverging', -round(gap, 9) FROM r WHERE gap > 1e-9),
+o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY first, record_id, rank) AS place, count(*) OVER (PARTITION BY category) AS found FROM c)
+SELECT category, place, record_id, CAST(rank AS BIGINT) AS rank, is_poison, round(filterrag_score, 6) AS filterrag_score, round(query_only_score, 6) AS query_only_score, found FROM o WHERE place <= 5"""
+SCORE_GRID = _KEYED + f""", g AS (SELECT *, CAST(unnest([5, 10]) AS BIGINT) AS gk FROM t) SELECT record_id, gk AS k, CAST(rank AS BIGINT) AS rank, doc_id, is_poison, round({_DENS.format('f')}, 6) AS filterrag_score, round({_DENS.format('q')}, 6) AS query_only_score,
+round({_DENS.format('s')}, 6) AS answer_token_overlap_score, md5(replace(substr(text, 1, 200), chr(10), ' ')) AS preview_md5 FROM g WHERE rank < gk AND gk <= k"""
 _SPLIT = """u AS (SELECT DISTINCT dataset, query_id FROM score_rows WHERE query_id IS NOT NULL),
 s AS (SELECT dataset, query_id, CASE WHEN row_number() OVER (PARTITION BY dataset ORDER BY sha256('12:' || query_id)) <= greatest(1, round_even(count(*) OVER (PARTITION BY dataset) * 0.2, 0)) THEN 'test' ELSE 'train' END AS split FROM u)"""
 SPLIT = f"WITH {_SPLIT} SELECT dataset, query_id, split FROM s"
@@ -357,3 +427,22 @@ COUNTS = f"""WITH {_DIAG}, m AS (SELECT defense, avg(removed_poison) AS mean, va
 SELECT defense, CAST(removed_poison AS BIGINT) AS removed_poison, count(*) AS n, round(any_value(mean), 6) AS mean, round(any_value(variance), 6) AS variance FROM g JOIN m USING (defense) WHERE removed_poison IS NOT NULL GROUP BY defense, removed_poison"""
 NAMES = "SELECT run_id, split_part(run_name, '-', 1) AS dataset, dataset || '-contriever-' || model || '-Top' || k || '--M10x1-adv-' || attack || '-dot-' || n_injected || '-' || k || '-defense-' || defense = run_name AS rebuilt FROM runs"
 STREAM = "SELECT dataset, defense, CAST(k AS BIGINT) AS k, count(*) AS n, round(avg(poison_recall), 6) AS mean_poison_recall, round(avg(CAST(asr_with_defense AS INT)), 6) AS asr_with_defense FROM diagnostics GROUP BY dataset, defense, k"
+CATEGORY = f"""WITH {_DIAG} SELECT diag_id, CASE WHEN n_retrieved_poison > 0 AND removed_poison = n_retrieved_poison AND removed_clean = 0 THEN 'poison_clique_success' WHEN n_retrieved_poison > 0 AND removed_poison = n_retrieved_poison AND removed_clean > 0 THEN 'success_with_clean_false_positives'
+WHEN removed_poison > 0 AND removed_poison < n_retrieved_poison THEN 'residual_poison_failure' WHEN removed_poison = 0 AND removed_clean > 0 THEN 'clean_density_failure' ELSE 'other_or_ambiguous' END AS category FROM g"""
+DETECTION = _GROUPED + f""" SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY k, defense, model, n_injected) AS place, k, defense, model, n_injected, n_queries,
+{six('mean_n_retrieved_poison', 'mean_n_adv_estimated_by_ragdefender', 'mean_removed_poison', 'mean_removed_clean', 'mean_residual_poison_fraction', 'asr_with_defense', 'asr_with_defense_strict')} FROM m"""
+COMPARISON = _GROUPED + f""", c AS (SELECT *, list_position(['none', 'ragdefender_original', 'ragdefender', 'filterrag', 'filterrag_query_only', 'oracle_remove_all_poison', 'random_remove_same_count'], defense) AS o FROM m)
+SELECT dataset, k, row_number() OVER (PARTITION BY dataset, k ORDER BY o, model, n_injected) AS place, defense, model, n_injected, {six('mean_residual_poison_fraction', 'mean_poison_recall', 'mean_clean_false_positive_rate', 'asr_with_defense', 'asr_with_defense_strict')} FROM c WHERE o IS NOT NULL AND o > 0"""
+WEIGHTED = f"""WITH {_DIAG} SELECT defense, CAST(coalesce(sum(n_retrieved_poison) FILTER (WHERE poison_recall IS NOT NULL), 0) AS BIGINT) AS weight,
+round(sum(poison_recall * n_retrieved_poison) / nullif(sum(n_retrieved_poison) FILTER (WHERE poison_recall IS NOT NULL), 0), 6) AS mean FROM g GROUP BY defense"""
+WINDOWS = "SELECT date_trunc('day', logged_at) AS window_start, defense, count(*) AS n, CAST(sum(removed_poison) AS BIGINT) AS removed_poison FROM diagnostics WHERE logged_at IS NOT NULL GROUP BY ALL"
+FULL_RECORD = "WITH " + _ROWS + f""", f AS (SELECT *, bool_or(coalesce(filterrag_score >= 0.2 AND NOT isnan(filterrag_score), false)) OVER (PARTITION BY record_id, doc_id) AS removed FROM p),
+e AS (SELECT record_id, string_agg(doc_id, ',' ORDER BY rank) AS retrieved_doc_ids, string_agg(CAST(is_poison AS VARCHAR), ',' ORDER BY rank) AS retrieved_is_poison, count(*) FILTER (WHERE is_poison) AS n_retrieved_poison, count(*) FILTER (WHERE NOT is_poison) AS n_retrieved_clean,
+count(*) FILTER (WHERE removed) AS n_adv_estimated_by_ragdefender, coalesce(string_agg(doc_id, ',' ORDER BY rank) FILTER (WHERE removed), '') AS removed_doc_ids, coalesce(string_agg(CAST(is_poison AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE removed), '') AS removed_is_poison,
+count(*) FILTER (WHERE removed AND is_poison) AS removed_poison, count(*) FILTER (WHERE removed AND NOT is_poison) AS removed_clean FROM f GROUP BY record_id)
+SELECT record_id, r.id AS query_id, u.dataset, model, attack, 'density' AS defense, CAST(k AS BIGINT) AS k, CAST(n_injected AS BIGINT) AS n_injected, e.* EXCLUDE (record_id), round(removed_poison / nullif(n_retrieved_poison, 0), 6) AS poison_recall,
+round(removed_clean / nullif(n_retrieved_clean, 0), 6) AS clean_false_positive_rate, n_retrieved_poison - removed_poison AS residual_poison_count, n_retrieved_clean - removed_clean AS residual_clean_count,
+round((n_retrieved_poison - removed_poison) / nullif(n_retrieved_poison + n_retrieved_clean - removed_poison - removed_clean, 0), 6) AS residual_poison_fraction, output_poison_no_defense AS answer_no_defense, output_poison AS answer_with_defense, incorrect_answer AS target_wrong_answer,
+answer AS gold_answer, {legacy('incorrect_answer', 'output_poison_no_defense')} AS asr_no_defense, {legacy('incorrect_answer', 'output_poison')} AS asr_with_defense, asr_no_defense AS asr_no_defense_legacy, asr_with_defense AS asr_with_defense_legacy,
+{strict('incorrect_answer', 'output_poison_no_defense')} AS asr_no_defense_strict, {strict('incorrect_answer', 'output_poison')} AS asr_with_defense_strict, CAST(NULL AS DOUBLE) AS latency_retrieval_sec, CAST(NULL AS DOUBLE) AS latency_defense_sec,
+CAST(NULL AS DOUBLE) AS latency_generation_sec, 'no latencies' AS notes FROM e JOIN records r USING (record_id) JOIN runs u USING (run_id)"""

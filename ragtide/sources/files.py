@@ -35,12 +35,23 @@ def missing_fields(df: DataFrame, ddl: str = DIAGNOSTIC) -> list[str]:
     return [f for f in fields(ddl) if f.lower() not in have]
 
 
-def corpus(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """corpus, queries and qrels of a retrieval collection in its usual layout of JSON lines and a tab-separated file."""
+#: The collections, and the one whose judgements are those of its training part.
+COLLECTIONS = ("nq", "msmarco", "hotpotqa")
+TRAIN_ONLY = ("msmarco",)
+
+
+def corpus(spark: SparkSession, folder: str, name: str | None = None, split: str | None = None) -> dict[str, DataFrame]:
+    """corpus, queries and qrels of a retrieval collection in its usual layout of JSON lines and tab-separated files.
+
+    With ``name`` (another than the known ones raises) the judgements of one ``split`` (default test; msmarco has those of train only); all there are without it.
+    """
+    if name is not None and name not in COLLECTIONS:
+        raise ValueError(f"no such collection: {name}")
+    part = "" if name is None else "/train.tsv" if name in TRAIN_ONLY else f"/{split or 'test'}.tsv"
     return {
         "corpus": spark.read.schema(CORPUS).json(f"{folder}/corpus.jsonl").withColumnRenamed("_id", "doc_id"),
         "queries": spark.read.schema(QUERIES).json(f"{folder}/queries.jsonl").withColumnRenamed("_id", "query_id"),
-        "qrels": spark.read.schema(QRELS).option("sep", "\t").option("header", True).csv(f"{folder}/qrels").toDF("query_id", "doc_id", "rel"),
+        "qrels": spark.read.schema(QRELS).option("sep", "\t").option("header", True).csv(f"{folder}/qrels{part}").toDF("query_id", "doc_id", "rel"),
     }
 
 
@@ -51,6 +62,11 @@ def passages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, text string, title string").option("sep", "\t").csv(path).where("id <> 'id'")
 
 
+def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON files by a given schema; a file holds one value that may span lines, an array gives a row for each element. JSON lines by their ending."""
+    return spark.read.schema(schema).option("multiLine", not path.endswith(".jsonl")).json(path)
+
+
 def run(spark: SparkSession, path: str) -> DataFrame:
     """query_id, doc_id, score, rank of a run file {query: {doc: score}}; a file is one value, ranked by score, then doc_id."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,double>>").alias("m"))
@@ -105,7 +121,30 @@ def read_flag(column: str) -> Column:
     return F.lower(F.trim(column)) == "true"
 
 
-def write_config(spark: SparkSession, config: dict, path: str) -> None:
-    """A run's configuration and its hash, as one JSON row."""
+def write_config(spark: SparkSession, config: dict, path: str, inputs: list[str] | None = None) -> None:
+    """A run's configuration and its hash, and the path, length and hash of each input file, as JSON rows."""
     text = json.dumps(config, sort_keys=True)
-    spark.createDataFrame([(text,)], "config string").select("config", F.md5("config").alias("md5")).coalesce(1).write.mode("overwrite").json(path)
+    rows = spark.createDataFrame([(text,)], "config string").select("config", F.md5("config").alias("md5"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("length"))
+    for given in inputs or []:
+        files = spark.read.format("binaryFile").load(given).select(F.lit(None).cast("string").alias("config"), F.md5("content").alias("md5"), "path", "length")
+        rows = rows.unionByName(files)
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_index(vectors: DataFrame, path: str, id_: str, vector: str, config: dict, parts: int | None = None) -> None:
+    """An index of packed vectors: rows by ranges of their id, and a file that says its fields and size."""
+    spark = vectors.sparkSession
+    kept = vectors.where(F.col(vector).isNotNull()).select(id_, F.col(vector).cast("array<double>").alias(vector))
+    (kept.repartitionByRange(parts, id_) if parts else kept.repartitionByRange(id_)).write.mode("overwrite").parquet(f"{path}/vectors")
+    size = spark.read.parquet(f"{path}/vectors").agg(F.count("*").alias("rows"), F.max(F.size(vector)).alias("width")).first()
+    told = {"id": id_, "vector": vector, "rows": size[0], "width": size[1], **config}
+    spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The vectors of an index and what its file says; other fields than it says raise."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    vectors = spark.read.parquet(f"{path}/vectors")
+    if vectors.columns != [about["id"], about["vector"]]:
+        raise ValueError(f"the index at {path} has other fields: {vectors.columns}")
+    return vectors, about

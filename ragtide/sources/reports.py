@@ -16,3 +16,39 @@ def markdown(df: DataFrame, title: str = "") -> str:
     lines = [f"## {title}", ""] if title else []
     lines += ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+#: Findings that a text is made of, in order: the flag, and what it means where it is true.
+TOLD = (
+    ("low_recall_at_5", "At k = 5 less than half of the injected passages are removed."), ("low_recall_higher", "At higher k less than half of the injected passages are removed."),
+    ("many_false_positives", "At higher k more than 30 % of the clean passages are removed too."), ("attack_at_5", "At k = 5 the attack still succeeds in more than 30 % of the answers."),
+    ("attack_higher", "At higher k the attack still succeeds in more than 30 % of the answers."), ("more_passages_help", "More passages help the removal."),
+)
+
+
+def decision_text(findings: DataFrame) -> str:
+    """The findings of each dataset, model and defense as Markdown, in order; a flag that is null is said to be unknown. At most MOST_ROWS rows."""
+    rows = findings.orderBy("dataset", "model", "defense").limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a report has at most {MOST_ROWS} rows")
+    lines = ["## Findings", ""]
+    for r in rows:
+        lines += [f"### {r.dataset}, {r.model}, {r.defense}", ""]
+        lines += [f"- {text}" for name, text in TOLD if r[name]] or ["- Nothing stands out."]
+        unknown = [name for name, _ in TOLD if r[name] is None]
+        lines += [f"- Unknown: {', '.join(unknown)}."] if unknown else []
+        lines.append("")
+    return "\n".join(lines)
+
+
+def example_text(examples: DataFrame) -> str:
+    """Sections of example passages by category, from ``reporting.examples``."""
+    rows = examples.orderBy("category", "place").limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a report has at most {MOST_ROWS} rows")
+    lines: list[str] = []
+    for category in dict.fromkeys(r.category for r in rows):
+        own = [r for r in rows if r.category == category]
+        lines += [f"## {category.replace('_', ' ')} ({len(own)} of {own[0].found})", ""]
+        lines += [f"- record {r.record_id}, rank {r['rank']}: {r.filterrag_score:.4f} with the answer, {'-' if r.query_only_score is None else format(r.query_only_score, '.4f')} without" for r in own] + [""]
+    return "\n".join(lines)

@@ -51,10 +51,28 @@ def durable(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ragtide-{uuid.uuid4().hex}"
     (df.repartition(*keys) if keys else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
+    discard_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that are still to be deleted, by session.
+_OWNED: dict[int, list[tuple[SparkSession, str]]] = {}
+
+
+def discard_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the driver ends, or with ``discard``."""
+    if not _OWNED:
+        atexit.register(discard)
+    _OWNED.setdefault(id(spark), []).append((spark, path))
+
+
+def discard(spark: SparkSession | None = None) -> None:
+    """Deletes the intermediates of a session (or of all) now; for long sessions, once the results that were built on them are written."""
+    for key in [id(spark)] if spark is not None else list(_OWNED):
+        for owner, path in _OWNED.pop(key, []):
+            _delete(owner, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ragtide.sources.tables import discard_at_end, shared_folder
+
 
 def read_stream(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Parquet files of a path (a folder or a pattern) as they arrive."""
@@ -25,6 +28,20 @@ def windowed_counts(records: DataFrame, ts: str = "logged_at", size: str = "1 da
     return timed.groupBy(F.window("_ts", size), "defense").agg(F.count("*").alias("n"), F.sum("removed_poison").alias("removed_poison")).select(F.col("window.start").alias("window_start"), "defense", "n", "removed_poison")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Runs a stream over what is there into an in-memory table."""
-    return df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is there into a Parquet table of the shared folder, and reads it.
+
+    complete replaces the table with each batch, append adds to it; state and table live in the shared folder, so the
+    query goes on after a loss, and nothing is held in the driver.
+    """
+    spark = df.sparkSession
+    home = f"{shared_folder(spark)}/ragtide-stream-{uuid.uuid4().hex}"
+    schema = df.schema
+
+    def keep(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{home}/table")
+
+    writer = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{home}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    discard_at_end(spark, home)
+    return spark.read.schema(schema).parquet(f"{home}/table")
