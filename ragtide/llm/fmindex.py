@@ -104,6 +104,27 @@ class FmIndex:
         self.change = np.minimum.accumulate(at[::-1])[::-1]  # the first later suffix of another owner
         self.n, self.codes, self.first, self.sizes, self.owners = len(order), codes, first, sizes, owners
 
+    def _narrow(self, code: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix intervals one character further to the left, and whether they hold a suffix of another owner."""
+        both = self.matrix.rank(np.concatenate([code, code]), np.concatenate([lo, hi]))
+        low, high = self.lower[code] + both[: len(code)], self.lower[code] + both[len(code) :]
+        first = np.minimum(low, self.n - 1)
+        return low, high, (high > low) & ((self.owner[first] != own) | (self.change[first] < high))
+
+    def ends_shared(self, which: np.ndarray, length: int) -> np.ndarray:
+        """Whether the last ``length`` characters of each text of ``which`` occur in a text of another owner."""
+        base, size, own = self.first[which], self.sizes[which], self.owners[which]
+        result = np.zeros(len(which), bool)
+        live = np.flatnonzero(size >= length)
+        lo, hi = np.zeros(len(which), np.int64), np.full(len(which), self.n, np.int64)
+        for step in range(1, length + 1):
+            if not len(live):
+                return result
+            lo[live], hi[live], foreign = self._narrow(self.codes[base[live] + size[live] - step], lo[live], hi[live], own[live])
+            live = live[foreign]
+        result[live] = True
+        return result
+
     def leftmost(self, which: np.ndarray, length: int) -> np.ndarray:
         """For each text of ``which`` the start of its leftmost window of ``length`` characters that occurs in a text of another owner, or -1.
 
@@ -119,10 +140,7 @@ class FmIndex:
         while len(live):
             at[live] -= 1
             code = self.codes[base[live] + at[live]]
-            both = self.matrix.rank(np.concatenate([code, code]), np.concatenate([lo[live], hi[live]]))
-            low, high = self.lower[code] + both[: len(live)], self.lower[code] + both[len(live) :]
-            foreign = (high > low) & ((self.owner[np.minimum(low, self.n - 1)] != own[live]) | (self.change[np.minimum(low, self.n - 1)] < high))
-            lo[live], hi[live] = low, high
+            lo[live], hi[live], foreign = self._narrow(code, lo[live], hi[live], own[live])
             done = live[foreign & (at[live] == begin[live])]
             result[done] = begin[done]
             fail = live[~foreign]
@@ -136,15 +154,25 @@ class FmIndex:
         return result
 
 
-def shared_ranges(texts: list[str], owners: np.ndarray, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def shared_ranges(texts: list[str], owners: np.ndarray, which: np.ndarray, length: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each text of ``which`` the start of its leftmost and the end of its rightmost window that another owner's text holds; -1 if none.
 
-    The rightmost one is the leftmost of the reversed texts.
+    Where the last window of a text is shared, one backward search from its end shows it. Else the rightmost window is the leftmost of the
+    reversed texts, in an index of their own; with ``groups`` (of the texts) of those groups that ask, so the end is that of windows shared within the group, or of the leftmost window where it is later.
     """
-    left = FmIndex(texts, owners).leftmost(which, length)
+    index = FmIndex(texts, owners)
+    left = index.leftmost(which, length)
     right = np.full(len(which), -1, np.int64)
     some = np.flatnonzero(left >= 0)
-    if len(some):
-        back = FmIndex([t[::-1] for t in texts], owners).leftmost(which[some], length)
-        right[some] = np.array([len(texts[w]) for w in which[some]]) - back
+    if not len(some):
+        return left, right
+    at_end = index.ends_shared(which[some], length)
+    right[some[at_end]] = index.sizes[which[some[at_end]]]
+    open_ = some[~at_end]
+    if len(open_):
+        held = np.arange(len(texts)) if groups is None else np.flatnonzero(np.isin(groups, groups[which[open_]]))
+        place = np.full(len(texts), -1, np.int64)
+        place[held] = np.arange(len(held))
+        back = FmIndex([texts[i][::-1] for i in held], owners[held]).leftmost(place[which[open_]], length)
+        right[open_] = np.maximum(np.where(back >= 0, index.sizes[which[open_]] - back, -1), left[open_] + length)
     return left, right

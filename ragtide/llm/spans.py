@@ -3,7 +3,7 @@
 Every window of ``length`` characters holds the seed that a minimum over its k-grams picks, wherever the window
 occurs. Seeds of one record alone are dropped by an aggregate; around the others the text is cut out to the
 reach of a window (at most 2 length - k characters), and equal cuts of a seed become one. Shards of seeds, each with all cuts of its
-seeds, get a compressed FM-index; every cut of one record is streamed against its shard, and backward search gives the
+seeds, get a compressed FM-index; every cut is streamed against its shard, and backward search gives the
 first and the last window that a cut of another record holds. As all windows of a cut share the seed, what lies
 between is shared too. Seeds with more distinct cuts than one index should hold are resolved by window hashes instead, which
 spread over the cluster whatever their number.
@@ -125,24 +125,29 @@ def shared_spans(texts: DataFrame, length: int = 150, k: int = 50, hot: int = HO
     wide = sizes.where(F.col("cuts") > hot).select("seed")
     indexed = distinct.join(wide, "seed", "left_anti")
 
-    def search(f: pd.DataFrame) -> pd.DataFrame:
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [f for f in frames if len(f)]
+        if not parts:
+            return
+        f = pd.concat(parts, ignore_index=True)  # one shard
         cuts, a, b = f["cut"].tolist(), f["a"].to_numpy(), f["b"].to_numpy()
-        _, owner = np.unique(a, return_inverse=True)
-        owner = np.where(a == b, owner, -1 - np.arange(len(f)))  # a cut of several records is foreign to each of them
-        which = np.flatnonzero(a == b)
-        lo, hi = shared_ranges(cuts, owner, which, length)
-        return pd.DataFrame({"seed": f["seed"].to_numpy()[which], "cut_id": f["cut_id"].to_numpy()[which], "lo": lo, "hi": hi})[lo >= 0]
+        twice = np.flatnonzero(a != b)  # a cut of several records is indexed for two of them, so each finds the other's
+        _, owner = np.unique(np.concatenate([a, b[twice]]), return_inverse=True)
+        seeds = f["seed"].to_numpy()
+        lo, hi = shared_ranges(cuts + [cuts[i] for i in twice], owner, np.arange(len(f)), length, np.concatenate([seeds, seeds[twice]]))
+        yield pd.DataFrame({"seed": f["seed"], "cut_id": f["cut_id"], "lo": lo, "hi": hi})[lo >= 0]
 
     result = "seed bigint, cut_id bigint, lo bigint, hi bigint"
-    searched = indexed.groupBy(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard")).applyInPandas(search, result)
-    several = distinct.where("a <> b").select("seed", "cut_id", F.lit(0).cast("bigint").alias("lo"), F.length("cut").cast("bigint").alias("hi"))
+    # a shard is a range of hashed seeds: as many cuts as another one, and all cuts of its seeds
+    dealt = indexed.select("seed", "cut_id", "a", "b", "cut").repartitionByRange(shards, F.xxhash64("seed"))
+    searched = dealt.mapInPandas(search, result)
     # hot seeds: every window of their cuts by hash; records counted by an aggregate that combines before the shuffle
     windows = distinct.join(wide, "seed", "left_semi").select("seed", "cut_id", "a", "b", "cut", F.explode(F.sequence(F.lit(0), F.length("cut") - length)).alias("o"))
     piece = F.substring("cut", F.col("o") + 1, F.lit(length))
     windows = windows.select("seed", "cut_id", "a", "b", "o", F.xxhash64(piece).alias("h1"), F.xxhash64(F.lit(7), F.reverse(piece)).alias("h2"))
     foreign = windows.groupBy("seed", "h1", "h2").agg(F.min("a").alias("x"), F.max("b").alias("y")).where("x <> y").select("seed", "h1", "h2")
     hashed = windows.join(foreign, ["seed", "h1", "h2"], "left_semi").groupBy("seed", "cut_id").agg(F.min("o").cast("bigint").alias("lo"), (F.max("o") + length).cast("bigint").alias("hi"))
-    ranges = searched.unionByName(several).unionByName(hashed).groupBy("seed", "cut_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ranges = searched.unionByName(hashed).groupBy("seed", "cut_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     spans = occurrences.join(ranges, ["seed", "cut_id"]).select("rec", "record_id", "field", "item", (F.col("at") + F.col("lo")).alias("s"), (F.col("at") + F.col("hi")).alias("e"))
     text = Window.partitionBy("rec", "field", "item").orderBy("s", "e")
     spans = spans.withColumn("_far", F.max("e").over(text.rowsBetween(Window.unboundedPreceding, -1)))

@@ -147,3 +147,20 @@ def test_longer_copies_among_flagged_values(spark, parts):
     copies = sorted(v for v, said in rows.items() if said)
     want = {v: next(c for c in copies if c > v and c.startswith(v))[len(v) :] for v in rows if any(c > v and c.startswith(v) for c in copies)}
     assert got == want
+
+
+def test_ranges_with_groups_cover_those_without(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abc") for _ in range(60)) for _ in range(6)]
+    texts = [(b := rng.choice(base))[rng.randrange(8) : len(b) - rng.randrange(8)] + "".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(60)]
+    owners = np.array([rng.randrange(20) for _ in texts])
+    which = np.array(rng.sample(range(60), 40))
+    lo, hi = shared_ranges(texts, owners, which, 30)
+    for w, a, b in zip(which, lo, hi, strict=True):
+        foreign = [t for t, o in zip(texts, owners, strict=True) if o != owners[w]]
+        shared = [i for i in range(len(texts[w]) - 29) if any(texts[w][i : i + 30] in t for t in foreign)]
+        assert (a, b) == ((shared[0], shared[-1] + 30) if shared else (-1, -1))
+    one = np.zeros(60, np.int64)
+    assert [x.tolist() for x in shared_ranges(texts, owners, which, 30, one)] == [lo.tolist(), hi.tolist()]
+    index = FmIndex(texts, owners)
+    assert index.ends_shared(which, 30).tolist() == [len(texts[w]) == b for w, b in zip(which, hi, strict=True)]
