@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.llm.textstats import ALL, CONTEXT, Part, Tables, measure
+from ragtide.llm.textstats import ALL, CONTEXT, Line, Part, Tables, measure
 from ragtide.sources.tables import spread
 
 #: Texts of more characters than this are cut into chunks of as many.
@@ -20,6 +19,23 @@ FAN_IN = 256
 MOST_COMMON_WORDS = 100_000
 
 
+#: A partial state: the sums of closed lines, the open line at either end (sums, first and last characters), and whether both are one.
+STATE = "_sums array<bigint>, _head_sums array<bigint>, _head string, _head_last string, _tail_sums array<bigint>, _tail string, _tail_last string, _single boolean"
+STATE_NAMES = [part.split(" ")[0] for part in STATE.split(", ")]
+
+
+def _to_row(p: Part) -> tuple:
+    ends = [(None, None, None) if line is None else (line.sums, line.head, line.last) for line in (p.head, p.tail)]
+    return (p.sums, *ends[0], *ends[1], p.single)
+
+
+def _from_row(row: tuple) -> Part:
+    sums, head_sums, head, head_last, tail_sums, tail, tail_last, single = row
+    if head_sums is None:
+        return Part()
+    return Part(np.asarray(sums, np.int64), Line(np.asarray(head_sums, np.int64), head, head_last), Line(np.asarray(tail_sums, np.int64), tail, tail_last), bool(single))
+
+
 def _tables(common_words: DataFrame) -> Tables:
     words = [r[0] for r in common_words.select("word").where("word is not null").distinct().limit(MOST_COMMON_WORDS + 1).collect()]
     if len(words) > MOST_COMMON_WORDS:
@@ -47,16 +63,20 @@ def text_sums(df: DataFrame, key: str, text: str, common_words: DataFrame, chunk
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             _, parts = measure(f["_piece"].tolist(), shared.value, f["_before"].tolist(), f["_after"].tolist())
-            yield f[["_row", "_key", "_chunk"]].assign(_part=[pickle.dumps(p or Part()) for p in parts])
+            yield _states(f[["_row", "_key", "_chunk"]], [p or Part() for p in parts])
+
+    def _states(f: pd.DataFrame, parts: list[Part]) -> pd.DataFrame:
+        made = zip(*map(_to_row, parts), strict=True) if parts else [[]] * len(STATE_NAMES)
+        return pd.concat([f, pd.DataFrame({name: pd.Series(list(column), index=f.index, dtype=object) for name, column in zip(STATE_NAMES, made, strict=True)})], axis=1)
 
     def merged(f: pd.DataFrame) -> Part:
         got = Part()
-        for p in f.sort_values("_chunk")["_part"]:
-            got = got.join(pickle.loads(p))
+        for row in f.sort_values("_chunk")[STATE_NAMES].itertuples(index=False, name=None):
+            got = got.join(_from_row(row))
         return got
 
     def some(f: pd.DataFrame) -> pd.DataFrame:
-        return f.iloc[:1][["_row", "_key", "_chunk"]].assign(_chunk=f["_chunk"].min(), _part=[pickle.dumps(merged(f))])
+        return _states(f.iloc[:1][["_row", "_key", "_chunk"]].assign(_chunk=f["_chunk"].min()), [merged(f)])
 
     def last(f: pd.DataFrame) -> pd.DataFrame:
         total = pd.DataFrame([merged(f).total()], columns=ALL)
@@ -74,7 +94,7 @@ def text_sums(df: DataFrame, key: str, text: str, common_words: DataFrame, chunk
             F.substring("_text", F.greatest(at - CONTEXT, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT)) + chunk + CONTEXT).alias("_piece"),
         )
     )
-    state = f"_row bigint, _key {kind}, _chunk int, _part binary"
+    state = f"_row bigint, _key {kind}, _chunk int, {STATE}"
     parts = cut.repartition(F.col("_row"), F.col("_chunk")).mapInPandas(part, state)
     tree = parts.groupBy("_row", F.floor(F.col("_chunk") / FAN_IN)).applyInPandas(some, state)
     return short.unionAll(tree.groupBy("_row").applyInPandas(last, f"_key {kind}, {sums}")).withColumnRenamed("_key", key)
@@ -122,11 +142,31 @@ def kind_of() -> Column:
     )
 
 
+#: Bounds of natural prose, a rule each: a statistic, and the least and the most that it may be (None: no bound).
+RULES: dict[str, tuple[str, float | None, float | None]] = {
+    "enough_words": ("words", 50, 100_000), "word_length": ("mean_word_length", 3, 10), "few_symbols": ("symbol_ratio", None, 0.1), "few_digits": ("digit_ratio", None, 0.2), "ended_lines": ("ended_lines", 0.5, None),
+    "sentence_ends": ("sentence_ends", 0.01, 0.25), "common_words": ("common_words", 0.1, None), "few_bullets": ("bullet_lines", None, 0.9), "few_repeats": ("repeated_words", None, 0.3), "few_capitals": ("capital_words", None, 0.5),
+}
+
+
+def rule_outcomes() -> dict[str, Column]:
+    """rule_<name> for each of RULES: whether the statistic lies within its bounds; null where there is no such statistic."""
+
+    def within(name: str, least: float | None, most: float | None) -> Column:
+        bounds = [F.col(name) >= least] * (least is not None) + [F.col(name) <= most] * (most is not None)
+        return bounds[0] & bounds[-1]
+
+    return {f"rule_{rule}": within(*bound) for rule, bound in RULES.items()}
+
+
 def text_quality(df: DataFrame, key: str, text: str, common_words: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Statistics and ``kind`` of every row's whole text.
 
-    Returns ``key``, counts (chars, words, lines), ratios and kind: prose, list, table, junk, or '' where
+    Returns ``key``, counts (chars, words, lines), ratios, the outcome of each of RULES, rules_failed (how many are false) and kind: prose, list, table, junk, or '' where
     nothing is visible (null, empty and blank texts). ``common_words`` has a column word; at most MOST_COMMON_WORDS words.
     """
     inner = ["letters", "commas", "semicolons", "visible", "commas2", "semicolons2", "tokens"]
-    return derive(text_sums(df, key, text, common_words, chunk), key).withColumn("kind", kind_of()).drop(*inner)
+    outcomes = rule_outcomes()
+    failed = sum((F.when(F.col(name), 0).otherwise(F.when(F.col(name).isNull(), 0).otherwise(1)) for name in outcomes), F.lit(0))
+    told = derive(text_sums(df, key, text, common_words, chunk), key).withColumn("kind", kind_of()).drop(*inner).withColumns(outcomes)
+    return told.withColumn("rules_failed", failed)

@@ -59,3 +59,14 @@ def test_labelled_documents(spark, data):
     docs, words, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "common_words", "doc_labels"))
     got = quality.text_quality(docs, "doc_id", "text", words).select("doc_id", quality.F.col("kind").alias("found")).join(labels, "doc_id")
     assert got.where("found = kind").count() >= 0.9 * got.count()  # a few labels are wrong
+
+
+def test_rule_outcomes(spark):
+    words = spark.createDataFrame([(w,) for w in TABLES.common_words], "word string")
+    rows = [(0, " ".join([PROSE] * 3)), (1, "dam " * 60), (2, "\n".join(f"* {w}" for w in "abcdefghij")), (3, None), (4, "WE 1234567 ## 999 !!")]
+    got = {r.doc_id: r for r in quality.text_quality(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", words).collect()}
+    assert got[0].rules_failed == 0 and got[0].kind == "prose"
+    assert (got[1].rule_enough_words, got[1].rule_few_repeats, got[1].rule_common_words, got[1].rule_ended_lines, got[1].rule_sentence_ends) == (True, False, False, False, False)
+    assert (got[2].rule_few_bullets, got[2].rule_enough_words) == (False, False)
+    assert got[3].rule_word_length is None and got[3].rules_failed == 1  # only its number of words is known
+    assert (got[4].rule_few_digits, got[4].rule_few_symbols) == (False, False)
