@@ -294,7 +294,8 @@ def _measure(values: list[str | None], t: Tables, out: np.ndarray, parts: list,
     put("leaders", per_line(dots[first_of]))
     line_text = np.searchsorted(begin, line_at, side="right") - 1
     seen = np.flatnonzero(visible & core) if inner_only else np.flatnonzero(visible)
-    line_first = np.searchsorted(line_of[seen], np.arange(m), side="left")
+    seen_line = line_of[seen]
+    line_first, line_end = (np.searchsorted(seen_line, np.arange(m), side=side) for side in ("left", "right"))
     has = sums[:, S["visible"]] > 0
     is_open = np.zeros(m, bool)
     if before is not None:
@@ -303,7 +304,6 @@ def _measure(values: list[str | None], t: Tables, out: np.ndarray, parts: list,
         tail_line = {k: int(inner_lines[np.searchsorted(line_text[inner_lines], k, side="right") - 1]) for k in head_line}
         is_open[[*head_line.values(), *tail_line.values()]] = True
     if len(seen):
-        line_end = np.searchsorted(line_of[seen], np.arange(m), side="right")
         last_seen = line_end - 1
         closers, stops = [ord(c) for c in CLOSERS], [ord(c) for c in STOPS]
         last_point = points[seen[np.maximum(last_seen, 0)]]
@@ -328,7 +328,7 @@ def _measure(values: list[str | None], t: Tables, out: np.ndarray, parts: list,
         return
 
     def line(k: int) -> Line:
-        shown = seen[line_first[k] : np.searchsorted(line_of[seen], k, side="right")]
+        shown = seen[line_first[k] : line_end[k]]
         return Line(sums[k].copy(), "".join(chr(points[c]) for c in shown[:HEAD]), "".join(chr(points[c]) for c in shown[-BACK:]))
 
     for k, a in head_line.items():
