@@ -102,11 +102,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def frequency_density(passage: Column, keywords: Column) -> Column:
-    """Occurrences of the keywords over distinct tokens of the passage; 0 where either is empty."""
-    words = tokens(passage)
-    hits = F.size(F.filter(words, lambda w: F.array_contains(keywords, w)))
-    return F.when((F.size(words) == 0) | (F.size(keywords) == 0), F.lit(0.0)).otherwise(hits / F.size(F.array_distinct(words)))
+def token_hits(text: Column, keywords: Column) -> Column:
+    """How many tokens of a text are among the keywords (themselves tokens). One pattern of the keywords, bounded by what is no token, so each text is read once."""
+    pattern = F.concat(F.lit("(?<![a-z0-9'])(?:"), F.array_join(keywords, "|"), F.lit(")(?![a-z0-9'])"))
+    return F.when(F.size(keywords) == 0, F.lit(0)).otherwise(F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), pattern))
+
+
+def distinct_tokens(text: Column) -> Column:
+    return F.size(F.array_distinct(tokens(text)))
+
+
+def frequency_density(passage: Column, keywords: Column, distinct: Column | None = None) -> Column:
+    """Occurrences of the keywords over distinct tokens of the passage (``distinct``, if they are counted already); 0 where either is empty."""
+    return F.coalesce(F.try_divide(token_hits(passage, keywords), distinct if distinct is not None else distinct_tokens(passage)), F.lit(0.0))
 
 
 def entropy(p: Column) -> Column:

@@ -89,8 +89,7 @@ def tfidf_terms(passages: DataFrame, keys: list[str], text: str = "text", top: i
     Terms are words of two characters at least, without English stop words; idf = ln((1 + n) / (1 + df)) + 1.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    stop = F.array(*map(F.lit, STOP_WORDS.split()))
-    each = passages.select(*keys, "rank", F.explode(F.filter(words, lambda w: ~F.array_contains(stop, w))).alias("term"))
+    each = passages.select(*keys, "rank", F.explode(words).alias("term")).where(~F.col("term").isin(*STOP_WORDS.split()))
     size = passages.groupBy(*keys).agg(F.count("*").alias("_n"))
     tf = each.groupBy(*keys, "rank", "term").agg(F.count("*").alias("_tf")).join(size, keys)
     df = F.count("*").over(Window.partitionBy(*keys, "term"))

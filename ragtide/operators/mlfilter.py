@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.functions.text import jaccard, tokens
+from ragtide.functions.text import jaccard, token_hits, tokens
 from ragtide.operators import providers
 from ragtide.sources.tables import durable
 
@@ -36,7 +36,7 @@ def features(rows: DataFrame, question: str = "question", answer: str = "slm_ans
     q, a, p = tokens(F.col(question)), tokens(F.col(answer)), tokens(F.col(passage))
     keys = F.array_distinct(F.concat(q, a))
     made = {
-        "matched_words": F.size(F.filter(p, lambda w: F.array_contains(keys, w))), "distinct_words": F.size(F.array_distinct(p)), "answer_length": F.size(a), "passage_length": F.size(p), "query_overlap": jaccard(F.array_distinct(q), F.array_distinct(p)),
+        "matched_words": token_hits(F.col(passage), keys), "distinct_words": F.size(F.array_distinct(p)), "answer_length": F.size(a), "passage_length": F.size(p), "query_overlap": jaccard(F.array_distinct(q), F.array_distinct(p)),
     }
     return rows.withColumns(made).withColumns({c: safe(F.col(c)) for c in FEATURES})
 

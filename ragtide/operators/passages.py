@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.functions.text import frequency_density, tokens
+from ragtide.functions.text import frequency_density, token_hits, tokens
 
 #: How a passage word is held to match a keyword, the least similarity of the second way, and how many matched keywords are shown.
 MATCHING_MODES = ("exact", "semantic")
@@ -53,8 +53,8 @@ def score_passages(rows: DataFrame, keys: list[str], question: str = "question",
     named = rows.withColumn("_keys", keywords(F.col(question), F.col(answer) if answer else None)).withColumn("_words", tokens(F.col(text)))
     distinct = F.size(F.array_distinct("_words"))
     if matching_mode == "exact":
-        hits = F.filter("_words", lambda w: F.array_contains("_keys", w))
-        got = named.withColumn("_matched", F.array_intersect("_keys", "_words")).withColumn("matched_freq_sum", F.size(hits)).withColumn("unique_word_count", distinct)
+        hits = token_hits(F.col(text), F.col("_keys"))
+        got = named.withColumn("_matched", F.array_intersect("_keys", "_words")).withColumn("matched_freq_sum", hits).withColumn("unique_word_count", distinct)
     else:
         if similar is None:
             raise ValueError("semantic matching needs a table of similar words")

@@ -441,8 +441,12 @@ def _passages(spark: SparkSession, d: str, *fields: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct score rows with the whole text of their passage."""
-    return S.passage_text(_passages(spark, d), table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "records").select("record_id", "injected_adv"))
+    """Distinct score rows with the whole text of their passage.
+
+    The rows go to as many tasks as the session shuffles to: texts are dear to read for their bytes, so small shuffles are not to be put together.
+    """
+    rows = table(spark, d, "score_rows").select(*SCORE_FIELDS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "record_id", "rank").distinct()
+    return S.passage_text(rows, table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "records").select("record_id", "injected_adv"))
 
 
 def _answered(spark: SparkSession, d: str) -> DataFrame:
@@ -523,8 +527,8 @@ def jaccard_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(O.DENSITY)
 def freq_density_exact(spark: SparkSession, d: str) -> DataFrame:
-    a = _answered(spark, d)
-    full, only = X.frequency_density(F.col("text"), S.keywords(F.col("question"), F.col("slm_answer"))), X.frequency_density(F.col("text"), S.keywords(F.col("question")))
+    a = _answered(spark, d).withColumn("_n", X.distinct_tokens(F.col("text")))
+    full, only = (X.frequency_density(F.col("text"), keys, F.col("_n")) for keys in (S.keywords(F.col("question"), F.col("slm_answer")), S.keywords(F.col("question"))))
     return a.select("record_id", "rank", full.alias("density"), only.alias("query_only"))
 
 
