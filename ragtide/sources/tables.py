@@ -52,7 +52,18 @@ def durable(df: DataFrame, *keys: str) -> DataFrame:
     path = f"{shared_folder(spark)}/ragtide-{uuid.uuid4().hex}"
     (df.repartition(*keys) if keys else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
     discard_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._durable_path = path
+    return got
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table of ``durable`` now; nothing that is still to be computed may read it. For loops that write a table a round."""
+    path = getattr(df, "_durable_path", None)
+    if path is not None:
+        spark = df.sparkSession
+        _delete(spark, path)
+        _OWNED[id(spark)] = [(s, p) for s, p in _OWNED.get(id(spark), []) if p != path]
 
 
 #: Folders that are still to be deleted, by session.

@@ -37,6 +37,7 @@ def run_to_table(df: DataFrame, mode: str) -> DataFrame:
     spark = df.sparkSession
     home = f"{shared_folder(spark)}/ragtide-stream-{uuid.uuid4().hex}"
     schema = df.schema
+    spark.createDataFrame([], schema).write.parquet(f"{home}/table")  # a stream without a batch is an empty table
 
     def keep(rows: DataFrame, _: int) -> None:
         rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{home}/table")

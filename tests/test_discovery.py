@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ragtide.operators import mlfilter, providers
 from ragtide.sources import discovery, files, reports
-from ragtide.sources.tables import discard, durable
+from ragtide.sources.tables import discard, durable, release
 
 
 def put(path, text):
@@ -126,10 +126,15 @@ def test_texts_of_findings(spark):
 
 
 def test_intermediates_are_discarded(spark, tmp_path):
-    df = durable(spark.range(3).toDF("id"))
+    first = durable(spark.range(3).toDF("id"))
+    gone = first.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    df = durable(first)
+    release(first)
+    release(df.select("id"))  # no durable table itself
+    assert df.count() == 3
     path = df.inputFiles()[0].removeprefix("file://").removeprefix("file:")
     import os
 
-    assert os.path.exists(path)
+    assert os.path.exists(path) and not os.path.exists(gone)
     discard(spark)
     assert not os.path.exists(path)

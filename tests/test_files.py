@@ -69,10 +69,17 @@ def test_filter_learns(spark):
     assert got.where("(probability >= 0.5) = is_poison").count() > 190
 
 
-def test_stream_equals_batch(spark, data, tmp_path):
+def test_stream_equals_batch(spark, data):
     table = spark.read.parquet(f"{data}/diagnostics.parquet")
     stream = summaries.read_stream(spark, f"{data}/diagnostics*.parquet", table.schema)
-    summaries.run_to_table(summaries.running_summary(stream), "running", "complete", str(tmp_path / "c")).awaitTermination()
-    assert {tuple(r) for r in spark.table("running").collect()} == {tuple(r) for r in summaries.running_summary(table).collect()}
-    summaries.run_to_table(summaries.windowed_counts(stream), "windows", "append", str(tmp_path / "w")).awaitTermination()
-    assert spark.table("windows").columns == ["window_start", "defense", "n", "removed_poison"]
+    got = summaries.run_to_table(summaries.running_summary(stream), "complete")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in summaries.running_summary(table).collect()}
+    closed = summaries.run_to_table(summaries.windowed_counts(stream, late="1 hour"), "append")
+    assert closed.columns == ["window_start", "defense", "n", "removed_poison"]
+    every = {tuple(r) for r in summaries.run_to_table(summaries.windowed_counts(stream, late="36500 days"), "complete").collect()}
+    assert {tuple(r) for r in closed.collect()} <= every and every
+
+
+def test_stream_of_nothing(spark, data, tmp_path):
+    schema = spark.read.parquet(f"{data}/diagnostics.parquet").schema
+    assert summaries.run_to_table(summaries.running_summary(summaries.read_stream(spark, str(tmp_path), schema)), "complete").count() == 0
