@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.sources.tables import durable, spread
+from ragtide.sources.tables import durable, release, spread
 
 CELLS = 1 << 16
 #: Sets that hold a token of a cell: up to RARE it is indexed alone, up to COMMON in pairs, beyond in triples.
@@ -169,7 +169,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = durable(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        current = durable(small)
+        done, current = current, durable(small)
+        release(done)
+        release(large)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
