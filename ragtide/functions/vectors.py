@@ -33,6 +33,16 @@ def mix(a: Column, b: Column, wa: Column, wb: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x * wa + y * wb)
 
 
+def finite(a: Column) -> Column:
+    """The vector with 0 for nulls, NaN and infinities."""
+    return F.transform(a, lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x))
+
+
+def robust_cosine(a: Column, b: Column) -> Column:
+    """The cosine of the finite parts, within -1 and 1; 0 where either has no length."""
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(finite(doubles(a)), finite(doubles(b)))))
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once; within a lambda an expression would be computed for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -113,17 +113,17 @@ def topk_dot(spark: SparkSession, d: str) -> DataFrame:
 
 @query(O.MERGED)
 def merge_injected_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _top(spark, d).select("query_id", "doc_id", "source", "is_poison", "own", "score", "rank")
+    return retrieval.merged_top_k(_vectors(spark, d), 10).select("query_id", "doc_id", "source", "is_poison", "own", "score", "rank")
 
 
 @query(O.PREFIX_GRID)
 def prefix_k_grid(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.prefix_grid(_top(spark, d, 20), [5, 10, 20])
+    return retrieval.prefix_grid(retrieval.merged_top_k(_vectors(spark, d), 20), [5, 10, 20])
 
 
 @query(O.RETRIEVAL_PRF)
 def retrieval_prf1(spark: SparkSession, d: str) -> DataFrame:
-    return M.retrieval_prf(retrieval.prefix_grid(_top(spark, d), [10]), 10, 5)
+    return M.retrieval_prf(retrieval.prefix_grid(retrieval.merged_top_k(_vectors(spark, d), 10), [10]), 10, 5)
 
 
 # -- pairs and removals

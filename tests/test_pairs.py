@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ragtide.functions import vectors as V
 from ragtide.operators import defenses as D
 from ragtide.operators import pairs as P
 
@@ -83,3 +84,11 @@ def test_thresholds_keep_nulls(spark):
     assert {r.doc_id: (r.r, r.s) for r in got.collect()} == {"a": (True, True), "b": (False, False), "c": (False, False), "d": (True, True)}
     with pytest.raises(ValueError, match="no such defense"):
         D.apply("other", df, ["query_id"])
+
+
+def test_robust_cosine(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [([1.0, nan], [1.0, 0.0]), ([inf, 1.0], [0.0, 2.0]), ([nan, None], [1.0, 1.0]), ([1.0, 1.0], [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    assert [round(r[0], 9) for r in df.select(V.robust_cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 1.0, 0.0, -1.0]
+    assert [round(sum(x * x for x in r[0]), 9) for r in df.select(V.unit(V.finite(F.col("a")))).collect()] == [1.0, 1.0, 0.0, 1.0]
