@@ -259,12 +259,13 @@ def judge(value: str, question: str | None, names: list[str]) -> tuple[list[str]
 
 #: Marks that open and close.
 DELIMITERS = ("()", "«»", "[]", "{}", "“”")
-#: Distinct forms up to which those that go on are broadcast; beyond, both sides are sorted.
-BROADCAST_FORMS = 200_000
+#: Distinct forms, and characters of them, up to which those that go on are broadcast; beyond, both sides are sorted.
+BROADCAST_FORMS, BROADCAST_CHARS = 200_000, 64 << 20
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS else df.hint("merge")
+    rows, chars = df.agg(F.count("*"), F.coalesce(F.sum(F.length("_f")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_FORMS and chars <= BROADCAST_CHARS else df.hint("merge")
 
 
 def classify(values: DataFrame) -> DataFrame:
