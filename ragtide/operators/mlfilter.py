@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ragtide.functions.text import jaccard, token_hits, tokens
 from ragtide.operators import providers
-from ragtide.sources.tables import durable
+from ragtide.sources.tables import drop_shuffles, durable
 
 FEATURES = ("filterrag_score", "query_only_score", "answer_token_overlap_score", "matched_words", "distinct_words", "answer_length", "passage_length", "query_overlap", "retrieval_score", "perplexity", "slm_answer_logprob")
 #: Rows with a label that a model is fitted on at most; a documented bound, as trees need no more.
@@ -29,16 +29,26 @@ def safe(x: Column) -> Column:
     return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), F.lit(0.0)).otherwise(d)
 
 
-def features(rows: DataFrame, question: str = "question", answer: str = "slm_answer", passage: str = "text") -> DataFrame:
-    """``rows`` with FEATURES as doubles; none reads the label. Perplexity and log-probability are by the stand-in over all distinct passages."""
-    corpus = rows.select(passage).distinct()
-    rows = providers.unigram_logprob(providers.unigram_perplexity(rows, passage, corpus, passage), answer, corpus, passage)
-    q, a, p = tokens(F.col(question)), tokens(F.col(answer)), tokens(F.col(passage))
-    keys = F.array_distinct(F.concat(q, a))
+def features(rows: DataFrame, question: str = "question", answer: str = "slm_answer", passage: str = "text", passages: DataFrame | None = None) -> DataFrame:
+    """``rows`` without their passage, with FEATURES as doubles; none reads the label. Perplexity and log-probability are by the stand-in over all distinct passages.
+
+    What needs a passage's text is counted in place, once, and the rows are kept without it; perplexity is worked out for each distinct passage and
+    joined by the text's SHA-256. ``passages``: the same passages as those of the rows, if they can be had with fewer copies.
+    """
+    spark, digest = rows.sparkSession, F.unhex(F.sha2(passage, 256))
+    corpus = durable((rows if passages is None else passages).select(passage).distinct())
+    drop_shuffles(spark)
+    model = providers.unigram(corpus, passage)
+    scored = providers.unigram_perplexity(corpus.where(F.col(passage).isNotNull()), passage, corpus, passage, model).select(digest.alias("_passage"), "perplexity")
+    words = {"_q": tokens(F.col(question)), "_a": tokens(F.col(answer)), "_p": tokens(F.col(passage)), "_passage": digest}
     made = {
-        "matched_words": token_hits(F.col(passage), keys), "distinct_words": F.size(F.array_distinct(p)), "answer_length": F.size(a), "passage_length": F.size(p), "query_overlap": jaccard(F.array_distinct(q), F.array_distinct(p)),
+        "matched_words": token_hits(F.col(passage), F.array_distinct(F.concat("_q", "_a"))), "distinct_words": F.size(F.array_distinct("_p")), "answer_length": F.size("_a"), "passage_length": F.size("_p"), "query_overlap": jaccard(F.array_distinct("_q"), F.array_distinct("_p")),
     }
-    return rows.withColumns(made).withColumns({c: safe(F.col(c)) for c in FEATURES})
+    light = durable(rows.withColumns(words).withColumns(made).drop("_q", "_a", "_p", passage))
+    drop_shuffles(spark)
+    answered = providers.unigram_logprob(providers.noted(light, "perplexity: unigram proxy"), answer, corpus, passage, model)
+    got = answered.join(scored, "_passage", "left").drop("_passage").withColumn("perplexity", F.coalesce("perplexity", F.lit(1.0)))
+    return got.withColumns({c: safe(F.col(c)) for c in FEATURES})
 
 
 def model_kind(dataset: str) -> str:
@@ -105,6 +115,7 @@ def fit_and_score(rows: DataFrame, kind: str | None = None, label: str = "is_poi
     The ensemble is ``kind``, or by ``model_kind``. Where all training rows are of one class the probability is that class; null where a dataset has none.
     """
     rows = durable(rows)
+    drop_shuffles(rows.sparkSession)
     classes: dict[str, list[bool]] = {r[0]: r[1] for r in rows.groupBy("dataset").agg(F.collect_set(F.when(F.col("split") == "train", F.col(label)))).collect()}  # one row a dataset
 
     def one(dataset: str) -> DataFrame:

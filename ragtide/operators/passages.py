@@ -18,16 +18,16 @@ def passage_text(rows: DataFrame, documents: DataFrame, records: DataFrame, into
 
     A doc_id adv::<query>::<n> is the text n of injected_adv of the row's record in ``records``; another one is the number of a row
     of ``documents`` (doc_id, text). Null where the passage is not found or has no text; no row is lost or repeated as long as
-    doc_id and record_id are unique there. Both joins are on plain keys, so AQE splits a document or record that is asked for by many rows.
+    doc_id and record_id are unique there. Both joins are on plain keys, so AQE splits a document or record that is asked for by many rows;
+    each row goes through one of them only, so no text is shuffled after it is found.
     """
-    injected = F.col("doc_id").startswith("adv::")
-    place = F.when(injected, F.element_at(F.split("doc_id", "::"), -1).try_cast("int"))
-    number = F.when(~injected, F.col("doc_id").try_cast("bigint"))
-    keyed = rows.withColumn("_number", number).withColumn("_place", place).withColumn("_of", F.when(injected, F.col("record_id")))
+    injected = F.coalesce(F.col("doc_id").startswith("adv::"), F.lit(False))
+    place = F.element_at(F.split("doc_id", "::"), -1).try_cast("int")
     docs = documents.select(F.col("doc_id").alias("_number"), F.col("text").alias("_plain"))
     given = records.select(F.col("record_id").alias("_of"), F.col("injected_adv").alias("_injected")).where("_injected is not null")
-    found = keyed.join(docs, "_number", "left").join(given, "_of", "left")
-    return found.withColumn(into, F.when(injected, F.get("_injected", F.col("_place"))).otherwise(F.col("_plain"))).drop("_number", "_place", "_of", "_plain", "_injected")
+    plain = rows.where(~injected).withColumn("_number", F.col("doc_id").try_cast("bigint")).join(docs, "_number", "left").select(*rows.columns, F.col("_plain").alias(into))
+    own = rows.where(injected).withColumn("_of", F.col("record_id")).join(given, "_of", "left").select(*rows.columns, F.get("_injected", place).alias(into))
+    return plain.unionByName(own)
 
 
 def _mode(matching_mode: str) -> None:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ragtide.functions.text import tokens
+from ragtide.sources.tables import durable
+
+#: Words of a unigram model, and characters of them, up to which they are broadcast.
+WORDS, WORD_CHARS = 500_000, 8_000_000
 
 
 def answers_from(df: DataFrame, answers: DataFrame, on: list[str]) -> DataFrame:
@@ -24,31 +28,42 @@ def no_answers(df: DataFrame) -> DataFrame:
     return df.withColumn("slm_answer", F.lit(None).cast("string"))
 
 
-def _unigram(df: DataFrame, text: str, corpus: DataFrame, corpus_text: str) -> DataFrame:
-    """``df`` with _len and _nll: tokens of ``text`` and minus the sum of their log-probabilities by an add-one unigram model of ``corpus``. Each distinct text is scored once."""
-    counts = corpus.select(F.explode(tokens(F.col(corpus_text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count("*").alias("kinds"))
-    each = df.select(text).distinct().select(text, F.explode(tokens(F.col(text))).alias("w")).groupBy(text, "w").agg(F.count("*").alias("m")).join(counts, "w", "left").crossJoin(total)  # one row of totals
-    nll = each.groupBy(text).agg(F.sum("m").alias("_len"), F.sum(-F.col("m") * F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("all") + F.col("kinds") + 1))).alias("_nll"))
-    return df.join(nll, text, "left")
+def unigram(corpus: DataFrame, text: str) -> tuple[DataFrame, int, int]:
+    """The add-one unigram model of ``corpus``: how often each word occurs (w, n), all occurrences, and how many kinds. The words are broadcast where they are few (counted), else joined by shuffles."""
+    counts = durable(corpus.select(F.explode(tokens(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    all_, kinds, chars = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.length("w")), F.lit(0))).first()  # one row
+    return (F.broadcast(counts) if kinds <= WORDS and chars <= WORD_CHARS else counts), all_, kinds
+
+
+def _unigram(df: DataFrame, text: str, model: tuple[DataFrame, int, int]) -> DataFrame:
+    """``df`` with _len and _nll: tokens of ``text`` and minus the sum of their log-probabilities by ``model``.
+
+    Texts are told apart by their SHA-256, so no text is shuffled; what rows of one text sum up to is divided by their number.
+    """
+    counts, all_, kinds = model
+    digest = F.unhex(F.sha2(text, 256))
+    each = df.select(digest.alias("_digest"), F.posexplode(tokens(F.col(text))).alias("_at", "w")).join(counts, "w", "left")
+    summed = each.groupBy("_digest").agg(F.count_if(F.col("_at") == 0).alias("_rows"), F.count("*").alias("_all"), F.sum(-F.log((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(all_ + kinds + 1)))).alias("_sum"))
+    nll = summed.select("_digest", (F.col("_all") / F.col("_rows")).cast("bigint").alias("_len"), (F.col("_sum") / F.col("_rows")).alias("_nll"))
+    return df.withColumn("_digest", digest).join(nll, "_digest", "left").drop("_digest")
 
 
-def _noted(df: DataFrame, note: str) -> DataFrame:
+def noted(df: DataFrame, note: str) -> DataFrame:
     """``note`` in notes, behind what is there."""
     return df.withColumn("notes", F.concat_ws("; ", *(["notes"] if "notes" in df.columns else []), F.lit(note)))
 
 
-def unigram_perplexity(df: DataFrame, text: str, corpus: DataFrame, corpus_text: str) -> DataFrame:
-    """perplexity by an add-one unigram model of ``corpus``, a stand-in for a language model's; 1 for texts of fewer than two tokens."""
-    got = _unigram(df, text, corpus, corpus_text)
+def unigram_perplexity(df: DataFrame, text: str, corpus: DataFrame, corpus_text: str, model: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+    """perplexity by an add-one unigram model of ``corpus`` (``model``, if it is made already), a stand-in for a language model's; 1 for texts of fewer than two tokens."""
+    got = _unigram(df, text, model or unigram(corpus, corpus_text))
     got = got.withColumn("perplexity", F.when(F.coalesce("_len", F.lit(0)) < 2, F.lit(1.0)).otherwise(F.exp(F.col("_nll") / F.col("_len")))).drop("_len", "_nll")
-    return _noted(got, "perplexity: unigram proxy")
+    return noted(got, "perplexity: unigram proxy")
 
 
-def unigram_logprob(df: DataFrame, answer: str, corpus: DataFrame, corpus_text: str) -> DataFrame:
+def unigram_logprob(df: DataFrame, answer: str, corpus: DataFrame, corpus_text: str, model: tuple[DataFrame, int, int] | None = None) -> DataFrame:
     """slm_answer_logprob, the joint log-probability of an answer's tokens by the same model, a stand-in for the answering model's own; 0 without an answer."""
-    got = _unigram(df, answer, corpus, corpus_text).withColumn("slm_answer_logprob", F.coalesce(-F.col("_nll"), F.lit(0.0))).drop("_len", "_nll")
-    return _noted(got, "slm_answer_logprob: unigram proxy")
+    got = _unigram(df, answer, model or unigram(corpus, corpus_text)).withColumn("slm_answer_logprob", F.coalesce(-F.col("_nll"), F.lit(0.0))).drop("_len", "_nll")
+    return noted(got, "slm_answer_logprob: unigram proxy")
 
 
 def plural_similarity(words: DataFrame) -> DataFrame:
@@ -70,7 +85,7 @@ def _unit_counts(hashed: pd.Series, size: pd.Series) -> pd.Series:
 def embedding_hashed(df: DataFrame, text: str, size: int = 64) -> DataFrame:
     """embedding: hashed token counts at unit length (all 0 without tokens), a stand-in for an encoder."""
     hashed = F.transform(tokens(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    return _noted(df.withColumn("embedding", _unit_counts(hashed, F.lit(size))), "embedding: hashed proxy")
+    return noted(df.withColumn("embedding", _unit_counts(hashed, F.lit(size))), "embedding: hashed proxy")
 
 
 #: Providers by the name of a configuration's setting; another one is added with ``register``.

@@ -791,8 +791,13 @@ def singlehop_defense(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    rows = mlfilter.features(_answered(spark, d))
-    return rows.join(M.group_split(table(spark, d, "score_rows"), "query_id", by=["dataset"]), ["dataset", "query_id"])
+    """Feature rows without their texts. Questions and splits are joined first, as rows are light before they have a text; the distinct passages are looked up by themselves."""
+    score_rows = table(spark, d, "score_rows").select(*SCORE_FIELDS)
+    targets = table(spark, d, "targets").select(F.col("id").alias("query_id"), "question")
+    rows = durable(score_rows.distinct().join(targets.join(M.group_split(score_rows, "query_id", by=["dataset"]), "query_id"), ["dataset", "query_id"]))
+    found = lambda r: S.passage_text(r, table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "records").select("record_id", "injected_adv"))
+    passages = found(rows.select(F.when(F.col("doc_id").startswith("adv::"), F.col("record_id")).alias("record_id"), "doc_id").distinct())
+    return mlfilter.features(found(rows), passages=passages).select("record_id", "dataset", "k", "query_id", "rank", "is_poison", "split", *mlfilter.FEATURES)
 
 
 @query()

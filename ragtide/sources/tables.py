@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +67,12 @@ def release(df: DataFrame) -> None:
         _OWNED[id(spark)] = [(s, p) for s, p in _OWNED.get(id(spark), []) if p != path]
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage now: Spark deletes the shuffle files of a job once nothing refers to its plan, but a driver with room to spare seldom looks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Folders that are still to be deleted, by session.
 _OWNED: dict[int, list[tuple[SparkSession, str]]] = {}
 

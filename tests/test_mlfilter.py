@@ -45,3 +45,27 @@ def test_one_model_a_dataset(spark, monkeypatch):
     assert {r[0] for r in got.where("dataset = 'msmarco'").select("probability").distinct().collect()} == {1.0}
     with pytest.raises(ValueError, match="no model kind"):
         mlfilter.fit_and_score(labelled(spark, "other", 8))
+
+
+def test_features_shuffle_no_text(spark):
+    """Scoring told words apart by (text, word) once, so a text went through a shuffle for each of its words."""
+    rows = [(1, "what is red", "red red sea", "red"), (2, "what is blue", "red red sea", None), (3, "what is blue", "blue", "green sea"), (4, "none", None, "blue")]
+    df = spark.createDataFrame([(*r, 0.5, 0.5, 0.5, 0.5) for r in rows], "id int, question string, text string, slm_answer string, filterrag_score double, query_only_score double, answer_token_overlap_score double, retrieval_score double")
+    plan = providers.unigram_perplexity(df, "text", df.select("text").distinct(), "text")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(text#" not in plan
+    made = mlfilter.features(df, passages=df.select("text").unionByName(df.select("text")))
+    assert "text" not in made.columns
+    got = {r.id: r for r in made.collect()}
+    assert len(got) == 4
+    assert got[1].perplexity == got[2].perplexity == pytest.approx(math.exp(-(2 * math.log(3 / 8) + math.log(2 / 8)) / 3))
+    assert got[3].perplexity == got[4].perplexity == 1.0
+    assert [got[i].slm_answer_logprob for i in (1, 2, 3, 4)] == [pytest.approx(math.log(3 / 8)), 0.0, pytest.approx(math.log(1 / 8) + math.log(2 / 8)), pytest.approx(math.log(2 / 8))]
+    assert [(got[i].matched_words, got[i].distinct_words, got[i].passage_length) for i in (1, 2, 3, 4)] == [(2, 2, 3), (0, 2, 3), (1, 1, 1), (0, 0, 0)]
+    assert got[1].notes == "perplexity: unigram proxy; slm_answer_logprob: unigram proxy"
+
+
+def test_large_vocabulary_is_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "red red sea"), (2, "blue sea")], "id int, text string")
+    few = {r.id: r.perplexity for r in providers.unigram_perplexity(df, "text", df, "text").collect()}
+    monkeypatch.setattr(providers, "WORDS", 0)
+    assert {r.id: r.perplexity for r in providers.unigram_perplexity(df, "text", df, "text").collect()} == pytest.approx(few)
