@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
+from threading import Event
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,6 +24,8 @@ from ragtide.sources.tables import drop_shuffles, durable
 FEATURES = ("filterrag_score", "query_only_score", "answer_token_overlap_score", "matched_words", "distinct_words", "answer_length", "passage_length", "query_overlap", "retrieval_score", "perplexity", "slm_answer_logprob")
 #: Rows with a label that a model is fitted on at most; a documented bound, as trees need no more.
 TRAIN_ROWS = 200_000
+#: Rows of a fit that a task reads, and the seconds between two clearings of the shuffle files of fits.
+TASK_ROWS, CLEAR_S = 50_000, 15
 
 
 def safe(x: Column) -> Column:
@@ -71,6 +76,7 @@ def fit(labelled: DataFrame, label: str = "is_poison", kind: str = "forest", see
     total = rows.count()
     if total > TRAIN_ROWS:
         rows = rows.where(F.pmod(F.xxhash64(*FEATURES), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / total))
+    rows = rows.coalesce(max(1, -(-min(total, TRAIN_ROWS) // TASK_ROWS)))  # each task of a fit writes the statistics of every open node, so few tasks write little
     made = RandomForestClassifier(numTrees=trees, maxDepth=30, seed=seed, labelCol="label") if kind == "forest" else GBTClassifier(maxIter=trees, maxDepth=6, stepSize=0.3, seed=seed, labelCol="label")
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), made]).fit(rows)
 
@@ -109,6 +115,24 @@ def load(path: str, spark: SparkSession) -> tuple[PipelineModel, dict[str, objec
     return PipelineModel.load(f"{path}/model"), about
 
 
+@contextmanager
+def _cleared(spark: SparkSession) -> Iterator[None]:
+    """Drops the files of ended shuffles again and again: a fit is thousands of small jobs, and their files would stay until its end."""
+    over = Event()
+
+    def clear() -> None:
+        while not over.wait(CLEAR_S):
+            drop_shuffles(spark)
+
+    with ThreadPoolExecutor(1) as pool:
+        clearing = pool.submit(clear)
+        try:
+            yield
+        finally:
+            over.set()
+    clearing.result()
+
+
 def fit_and_score(rows: DataFrame, kind: str | None = None, label: str = "is_poison") -> DataFrame:
     """The test rows of ``rows`` (FEATURES, dataset, split) with the probability by a model of their own dataset, fitted on its training rows.
 
@@ -126,5 +150,5 @@ def fit_and_score(rows: DataFrame, kind: str | None = None, label: str = "is_poi
         return durable(score(fit(own.where("split = 'train'"), label, kinds[dataset]), test))
 
     kinds = {dataset: kind or model_kind(dataset) for dataset in classes}
-    with ThreadPoolExecutor(3) as pool:  # a fit is many small jobs; those of a few datasets run side by side
+    with _cleared(rows.sparkSession), ThreadPoolExecutor(3) as pool:  # a fit is many small jobs; those of a few datasets run side by side
         return reduce(DataFrame.unionByName, pool.map(one, sorted(classes)), rows.where("false").withColumn("probability", F.lit(None).cast("double")))
