@@ -69,3 +69,17 @@ def test_large_vocabulary_is_joined(spark, monkeypatch):
     few = {r.id: r.perplexity for r in providers.unigram_perplexity(df, "text", df, "text").collect()}
     monkeypatch.setattr(providers, "WORDS", 0)
     assert {r.id: r.perplexity for r in providers.unigram_perplexity(df, "text", df, "text").collect()} == pytest.approx(few)
+
+
+def test_a_fit_has_few_tasks(spark, monkeypatch):
+    """Each task of a fit writes statistics of all open nodes, and the files of a table gave the tasks."""
+    seen = []
+
+    class Seen(mlfilter.Pipeline):
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+            return super().fit(rows)
+
+    monkeypatch.setattr(mlfilter, "Pipeline", Seen)
+    mlfilter.fit(labelled(spark, "nq").repartition(16), kind="boosted", trees=1)
+    assert seen == [(1, 400)]
