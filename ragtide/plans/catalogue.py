@@ -797,7 +797,7 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     rows = durable(score_rows.distinct().join(targets.join(M.group_split(score_rows, "query_id", by=["dataset"]), "query_id"), ["dataset", "query_id"]))
     found = lambda r: S.passage_text(r, table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "records").select("record_id", "injected_adv"))
     passages = found(rows.select(F.when(F.col("doc_id").startswith("adv::"), F.col("record_id")).alias("record_id"), "doc_id").distinct())
-    return mlfilter.features(found(rows), passages=passages).select("record_id", "dataset", "k", "query_id", "rank", "is_poison", "split", *mlfilter.FEATURES)
+    return mlfilter.features(found(rows), passages=passages).select("record_id", "dataset", "k", "query_id", "doc_id", "rank", "is_poison", "split", *mlfilter.FEATURES)
 
 
 @query()

@@ -1,8 +1,10 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from ragtide.operators import mlfilter, providers
+from ragtide.plans import catalogue
 
 
 def test_stand_ins(spark):
@@ -83,3 +85,12 @@ def test_a_fit_has_few_tasks(spark, monkeypatch):
     monkeypatch.setattr(mlfilter, "Pipeline", Seen)
     mlfilter.fit(labelled(spark, "nq").repartition(16), kind="boosted", trees=1)
     assert seen == [(1, 400)]
+
+
+def test_features_keep_what_removal_needs(spark, data, monkeypatch):
+    """ml_filter ended with an error, as its rows had lost doc_id, by which rows of one document fall together."""
+    monkeypatch.setattr(mlfilter, "fit_and_score", lambda rows: rows.where("split = 'test'").withColumn("probability", F.col("is_poison").cast("double")))
+    got = catalogue.ml_filter(spark, data).collect()
+    assert got
+    assert all(r.fp == r.fn == 0 for r in got)
+    assert sum(r.tp for r in got) > 0
