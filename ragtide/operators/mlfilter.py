@@ -3,29 +3,27 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 from functools import reduce
-from threading import Event
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ragtide.functions.text import jaccard, token_hits, tokens
 from ragtide.operators import providers
+from ragtide.operators.trees import Trees
 from ragtide.sources.tables import drop_shuffles, durable
 
 FEATURES = ("filterrag_score", "query_only_score", "answer_token_overlap_score", "matched_words", "distinct_words", "answer_length", "passage_length", "query_overlap", "retrieval_score", "perplexity", "slm_answer_logprob")
-#: Rows with a label that a model is fitted on at most; a documented bound, as trees need no more.
-TRAIN_ROWS = 200_000
-#: Rows of a fit that a task reads, and the seconds between two clearings of the shuffle files of fits.
-TASK_ROWS, CLEAR_S = 50_000, 15
+#: Features that are counted from a row's texts.
+COUNTED = {"matched_words": IntegerType(), "distinct_words": IntegerType(), "answer_length": IntegerType(), "passage_length": IntegerType(), "query_overlap": DoubleType()}
+#: Rows of a fit that a task reads.
+TASK_ROWS = 50_000
 
 
 def safe(x: Column) -> Column:
@@ -34,22 +32,38 @@ def safe(x: Column) -> Column:
     return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), F.lit(0.0)).otherwise(d)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """COUNTED from question, answer and passage in lower case (_q, _a, _p), which are dropped: a passage's tokens are made once, as Spark's patterns take several times as long."""
+    words = re.compile("[a-z0-9']+").findall
+    for batch in batches:
+        made = []
+        for q, a, p in zip(*(batch[c].to_pylist() for c in ("_q", "_a", "_p")), strict=True):
+            asked, answered, read = words(q), words(a), words(p)
+            keys, wanted, distinct = {*asked, *answered}, {*asked}, {*read}
+            shared = len(wanted & distinct)
+            overlap = shared / (len(wanted) + len(distinct) - shared) if wanted and distinct else 0.0
+            made.append((sum(map(keys.__contains__, read)), len(distinct), len(answered), len(read), overlap))
+        columns = zip(*made, strict=True) if made else [[]] * len(COUNTED)
+        kept = batch.drop_columns(["_q", "_a", "_p"])
+        types = [pa.float64() if c == "query_overlap" else pa.int32() for c in COUNTED]
+        yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(v, t) for v, t in zip(columns, types, strict=True)]], [*kept.schema.names, *COUNTED])
+
+
 def features(rows: DataFrame, question: str = "question", answer: str = "slm_answer", passage: str = "text", passages: DataFrame | None = None) -> DataFrame:
     """``rows`` without their passage, with FEATURES as doubles; none reads the label. Perplexity and log-probability are by the stand-in over all distinct passages.
 
     What needs a passage's text is counted in place, once, and the rows are kept without it; perplexity is worked out for each distinct passage and
     joined by the text's SHA-256. ``passages``: the same passages as those of the rows, if they can be had with fewer copies.
     """
-    spark, digest = rows.sparkSession, F.unhex(F.sha2(passage, 256))
+    spark = rows.sparkSession
     corpus = durable((rows if passages is None else passages).select(passage).distinct())
     drop_shuffles(spark)
     model = providers.unigram(corpus, passage)
-    scored = providers.unigram_perplexity(corpus.where(F.col(passage).isNotNull()), passage, corpus, passage, model).select(digest.alias("_passage"), "perplexity")
-    words = {"_q": tokens(F.col(question)), "_a": tokens(F.col(answer)), "_p": tokens(F.col(passage)), "_passage": digest}
-    made = {
-        "matched_words": token_hits(F.col(passage), F.array_distinct(F.concat("_q", "_a"))), "distinct_words": F.size(F.array_distinct("_p")), "answer_length": F.size("_a"), "passage_length": F.size("_p"), "query_overlap": jaccard(F.array_distinct("_q"), F.array_distinct("_p")),
-    }
-    light = durable(rows.withColumns(words).withColumns(made).drop("_q", "_a", "_p", passage))
+    scored = providers.corpus_perplexity(corpus, passage, model).withColumnRenamed("_digest", "_passage")
+    low = [F.lower(F.coalesce(c, F.lit(""))).alias(n) for c, n in ((question, "_q"), (answer, "_a"), (passage, "_p"))]
+    read = rows.select(*[c for c in rows.columns if c != passage], F.unhex(F.sha2(passage, 256)).alias("_passage"), *low)
+    kept = StructType([f for f in read.schema if f.name not in ("_q", "_a", "_p")])
+    light = durable(read.mapInArrow(_counted, StructType([*kept, *[StructField(c, t) for c, t in COUNTED.items()]])))
     drop_shuffles(spark)
     answered = providers.unigram_logprob(providers.noted(light, "perplexity: unigram proxy"), answer, corpus, passage, model)
     got = answered.join(scored, "_passage", "left").drop("_passage").withColumn("perplexity", F.coalesce("perplexity", F.lit(1.0)))
@@ -65,26 +79,24 @@ def model_kind(dataset: str) -> str:
 
 
 def fit(labelled: DataFrame, label: str = "is_poison", kind: str = "forest", seed: int = 12, trees: int = 100) -> PipelineModel:
-    """A fitted pipeline from FEATURES to probability, over at most TRAIN_ROWS rows chosen by the hash of their content.
+    """A fitted pipeline from FEATURES to probability, over all rows with a label.
 
-    A forest's trees grow until their leaves are pure or Spark's bound of 30 levels; boosted trees have the defaults of XGBoost (depth 6, rate 0.3).
+    A forest's trees grow until their leaves are pure or at 30 levels; boosted trees have the defaults of XGBoost (depth 6, rate 0.3).
     """
     missing = [c for c in FEATURES if c not in labelled.columns]
     if missing:
         raise ValueError(f"missing features: {missing}")
     rows = labelled.where(F.col(label).isNotNull()).select(*FEATURES, F.col(label).cast("double").alias("label"))
     total = rows.count()
-    if total > TRAIN_ROWS:
-        rows = rows.where(F.pmod(F.xxhash64(*FEATURES), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / total))
-    rows = rows.coalesce(max(1, -(-min(total, TRAIN_ROWS) // TASK_ROWS)))  # each task of a fit writes the statistics of every open node, so few tasks write little
-    made = RandomForestClassifier(numTrees=trees, maxDepth=30, seed=seed, labelCol="label") if kind == "forest" else GBTClassifier(maxIter=trees, maxDepth=6, stepSize=0.3, seed=seed, labelCol="label")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), made]).fit(rows)
+    if not total:
+        raise ValueError("no rows with a label")
+    rows = rows.coalesce(-(-total // TASK_ROWS))
+    return Pipeline(stages=[Trees(kind=kind, numTrees=trees, maxDepth=30 if kind == "forest" else 6, seed=seed, inputCols=list(FEATURES))]).fit(rows)
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """``rows`` with the probability of class 1."""
-    got = model.transform(rows)
-    return got.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "prediction")
+    return model.transform(rows)
 
 
 #: What the file beside a saved model must hold.
@@ -115,24 +127,6 @@ def load(path: str, spark: SparkSession) -> tuple[PipelineModel, dict[str, objec
     return PipelineModel.load(f"{path}/model"), about
 
 
-@contextmanager
-def _cleared(spark: SparkSession) -> Iterator[None]:
-    """Drops the files of ended shuffles again and again: a fit is thousands of small jobs, and their files would stay until its end."""
-    over = Event()
-
-    def clear() -> None:
-        while not over.wait(CLEAR_S):
-            drop_shuffles(spark)
-
-    with ThreadPoolExecutor(1) as pool:
-        clearing = pool.submit(clear)
-        try:
-            yield
-        finally:
-            over.set()
-    clearing.result()
-
-
 def fit_and_score(rows: DataFrame, kind: str | None = None, label: str = "is_poison") -> DataFrame:
     """The test rows of ``rows`` (FEATURES, dataset, split) with the probability by a model of their own dataset, fitted on its training rows.
 
@@ -150,5 +144,5 @@ def fit_and_score(rows: DataFrame, kind: str | None = None, label: str = "is_poi
         return durable(score(fit(own.where("split = 'train'"), label, kinds[dataset]), test))
 
     kinds = {dataset: kind or model_kind(dataset) for dataset in classes}
-    with _cleared(rows.sparkSession), ThreadPoolExecutor(3) as pool:  # a fit is many small jobs; those of a few datasets run side by side
+    with ThreadPoolExecutor(3) as pool:  # the fits of a few datasets run side by side
         return reduce(DataFrame.unionByName, pool.map(one, sorted(classes)), rows.where("false").withColumn("probability", F.lit(None).cast("double")))

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ragtide.functions.text import tokens
 from ragtide.sources.tables import durable
 
-#: Words of a unigram model, and characters of them, up to which they are broadcast.
+#: Words of a unigram model, and characters of them, up to which they are sent to all tasks.
 WORDS, WORD_CHARS = 500_000, 8_000_000
+Unigram = tuple[DataFrame, Broadcast, int, int]
 
 
 def answers_from(df: DataFrame, answers: DataFrame, on: list[str]) -> DataFrame:
@@ -28,24 +34,78 @@ def no_answers(df: DataFrame) -> DataFrame:
     return df.withColumn("slm_answer", F.lit(None).cast("string"))
 
 
-def unigram(corpus: DataFrame, text: str) -> tuple[DataFrame, int, int]:
-    """The add-one unigram model of ``corpus``: how often each word occurs (w, n), all occurrences, and how many kinds. The words are broadcast where they are few (counted), else joined by shuffles."""
-    counts = durable(corpus.select(F.explode(tokens(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
-    all_, kinds, chars = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.length("w")), F.lit(0))).first()  # one row
-    return (F.broadcast(counts) if kinds <= WORDS and chars <= WORD_CHARS else counts), all_, kinds
-
+def unigram(corpus: DataFrame, text: str) -> Unigram:
+    """The add-one unigram model of ``corpus``: how often each word occurs (w, n), minus the log-probabilities of the most frequent words as sent to all tasks, all occurrences and kinds and 1, and the least n of the words sent.
 
-def _unigram(df: DataFrame, text: str, model: tuple[DataFrame, int, int]) -> DataFrame:
-    """``df`` with _len and _nll: tokens of ``text`` and minus the sum of their log-probabilities by ``model``.
+    Those are as many of the most frequent words as WORDS and WORD_CHARS allow; the words of one n are sent together or not at all.
+    """
+    counts = durable(corpus.select(F.explode(tokens(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    by = counts.groupBy("n").agg(F.count("*").alias("kinds"), F.sum(F.length("w")).alias("chars")).collect()  # a row a frequency
+    least, kinds, chars = 1 + max((r.n for r in by), default=0), 0, 0
+    for r in sorted(by, reverse=True):
+        kinds, chars = kinds + r.kinds, chars + r.chars
+        if kinds > WORDS or chars > WORD_CHARS:
+            break
+        least = r.n
+    else:
+        least = 1
+    total = sum((r.n + 1) * r.kinds for r in by) + 1
+    few = counts.where(F.col("n") >= least).toArrow()  # WORDS rows at most
+    sent = corpus.sparkSession.sparkContext.broadcast(dict(zip(few["w"].to_pylist(), (-np.log((few["n"].to_numpy() + 1) / total)).tolist(), strict=True)))
+    return counts, sent, total, least
+
+
+def _costs(batches: Iterator[pa.RecordBatch], sent: Broadcast, total: int, unseen: int | None) -> Iterator[pa.RecordBatch]:
+    """For each text _digest, _rows 1, _all (its tokens) and _sum (minus the sum of their log-probabilities). Words that were not sent occur ``unseen`` times; if that is None they have a row each, with _word, and are not in the text's own."""
+    words = re.compile("[a-z0-9']+").findall
+    cost = sent.value
+    other = None if unseen is None else -math.log((unseen + 1) / total)
+    for batch in batches:
+        rows = []
+        for digest, text in zip(batch["_digest"].to_pylist(), batch["_text"].to_pylist(), strict=True):
+            read = words(text)
+            if not read:
+                continue
+            got = [cost.get(w, other) for w in read]
+            if None in got:
+                rows += [(digest, w, 0, n, 0.0) for w, n in Counter(w for w, c in zip(read, got, strict=True) if c is None).items()]
+                got = [c for c in got if c is not None]
+            rows.append((digest, None, 1, len(got), math.fsum(got)))
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["_digest", "_word", "_rows", "_all", "_sum"])
+
+
+def _nll(df: DataFrame, text: str, model: Unigram, within: bool = False) -> DataFrame:
+    """_digest, _len, _nll of the distinct texts with tokens: their number and minus the sum of their log-probabilities by ``model``.
 
     Texts are told apart by their SHA-256, so no text is shuffled; what rows of one text sum up to is divided by their number.
+    Frequent words are sent to all tasks, so a text's words are summed where it is read. Only other words are shuffled; where the texts are
+    ``within`` the corpus and only words that occur once are left, they need no join either.
     """
-    counts, all_, kinds = model
-    digest = F.unhex(F.sha2(text, 256))
-    each = df.select(digest.alias("_digest"), F.posexplode(tokens(F.col(text))).alias("_at", "w")).join(counts, "w", "left")
-    summed = each.groupBy("_digest").agg(F.count_if(F.col("_at") == 0).alias("_rows"), F.count("*").alias("_all"), F.sum(-F.log((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(all_ + kinds + 1)))).alias("_sum"))
-    nll = summed.select("_digest", (F.col("_all") / F.col("_rows")).cast("bigint").alias("_len"), (F.col("_sum") / F.col("_rows")).alias("_nll"))
-    return df.withColumn("_digest", digest).join(nll, "_digest", "left").drop("_digest")
+    counts, sent, total, least = model
+    unseen = least - 1 if least == 1 or (within and least == 2) else None
+    read = df.where(F.col(text).isNotNull()).select(F.unhex(F.sha2(text, 256)).alias("_digest"), F.lower(text).alias("_text"))
+    parts = read.mapInArrow(lambda b: _costs(b, sent, total, unseen), "_digest binary, _word string, _rows bigint, _all bigint, _sum double")
+    if unseen is None:
+        cost = F.when(F.col("_word").isNull(), F.col("_sum")).otherwise(F.col("_all") * -F.log((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total))))
+        keyed = parts.withColumn("w", F.coalesce("_word", F.concat(F.lit(" "), F.hex("_digest"))))  # no token has a blank: what is summed already meets no word, and no task gets all of it
+        parts = keyed.join(counts.where(F.col("n") < least), "w", "left").withColumn("_sum", cost)
+    summed = parts.groupBy("_digest").agg(*[F.sum(c).alias(c) for c in ("_rows", "_all", "_sum")])
+    return summed.select("_digest", (F.col("_all") / F.col("_rows")).cast("bigint").alias("_len"), (F.col("_sum") / F.col("_rows")).alias("_nll"))
+
+
+def _unigram(df: DataFrame, text: str, model: Unigram) -> DataFrame:
+    """``df`` with _len and _nll of ``text``."""
+    return df.withColumn("_digest", F.unhex(F.sha2(text, 256))).join(_nll(df, text, model), "_digest", "left").drop("_digest")
+
+
+def _perplexity() -> Column:
+    return F.when(F.coalesce("_len", F.lit(0)) < 2, F.lit(1.0)).otherwise(F.exp(F.col("_nll") / F.col("_len"))).alias("perplexity")
+
+
+def corpus_perplexity(corpus: DataFrame, text: str, model: Unigram) -> DataFrame:
+    """_digest (the SHA-256) and perplexity of the corpus's own texts that have tokens."""
+    return _nll(corpus, text, model, within=True).select("_digest", _perplexity())
 
 
 def noted(df: DataFrame, note: str) -> DataFrame:
@@ -53,14 +113,14 @@ def noted(df: DataFrame, note: str) -> DataFrame:
     return df.withColumn("notes", F.concat_ws("; ", *(["notes"] if "notes" in df.columns else []), F.lit(note)))
 
 
-def unigram_perplexity(df: DataFrame, text: str, corpus: DataFrame, corpus_text: str, model: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+def unigram_perplexity(df: DataFrame, text: str, corpus: DataFrame, corpus_text: str, model: Unigram | None = None) -> DataFrame:
     """perplexity by an add-one unigram model of ``corpus`` (``model``, if it is made already), a stand-in for a language model's; 1 for texts of fewer than two tokens."""
     got = _unigram(df, text, model or unigram(corpus, corpus_text))
-    got = got.withColumn("perplexity", F.when(F.coalesce("_len", F.lit(0)) < 2, F.lit(1.0)).otherwise(F.exp(F.col("_nll") / F.col("_len")))).drop("_len", "_nll")
+    got = got.withColumn("perplexity", _perplexity()).drop("_len", "_nll")
     return noted(got, "perplexity: unigram proxy")
 
 
-def unigram_logprob(df: DataFrame, answer: str, corpus: DataFrame, corpus_text: str, model: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+def unigram_logprob(df: DataFrame, answer: str, corpus: DataFrame, corpus_text: str, model: Unigram | None = None) -> DataFrame:
     """slm_answer_logprob, the joint log-probability of an answer's tokens by the same model, a stand-in for the answering model's own; 0 without an answer."""
     got = _unigram(df, answer, model or unigram(corpus, corpus_text)).withColumn("slm_answer_logprob", F.coalesce(-F.col("_nll"), F.lit(0.0))).drop("_len", "_nll")
     return noted(got, "slm_answer_logprob: unigram proxy")

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,56 @@ def test_features_keep_what_removal_needs(spark, data, monkeypatch):
     assert got
     assert all(r.fp == r.fn == 0 for r in got)
     assert sum(r.tp for r in got) > 0
+
+
+def fitted_rows(monkeypatch):
+    """The numbers of rows that pipelines are fitted on; the bound that there was is set low."""
+    seen = []
+
+    class Seen(mlfilter.Pipeline):
+        def fit(self, rows):
+            seen.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(mlfilter, "TRAIN_ROWS", 50, raising=False)
+    monkeypatch.setattr(mlfilter, "Pipeline", Seen)
+    return seen
+
+
+def alternating(spark, common, values, each):
+    """``common`` rows of value 0 that are not poison, and ``each`` of every other value, poison where it is odd."""
+    value = F.when(F.col("id") < common, F.lit(0.0)).otherwise((F.floor((F.col("id") - common) / each) + 1).cast("double"))
+    rows = spark.range(common + values * each).withColumn("perplexity", value).withColumn("is_poison", F.col("perplexity") % 2 == 1)
+    return rows.withColumns({c: F.lit(0.0) for c in mlfilter.FEATURES if c != "perplexity"})
+
+
+def test_forest_sees_every_row(spark, monkeypatch):
+    """Models were fitted on a sample of the rows, and thresholds came from Spark's sample of 10,000 rows, cut to 32 bins."""
+    seen = fitted_rows(monkeypatch)
+    rows = alternating(spark, 60_000, 40, 1)
+    got = mlfilter.score(mlfilter.fit(rows), rows.where("perplexity > 0")).select("is_poison", "probability").collect()
+    assert seen == [60_040]
+    assert len(got) == 40
+    assert all((r.probability >= 0.5) == r.is_poison for r in got)
+
+
+def test_splits_are_the_best(spark):
+    from ragtide.operators import trees as T
+
+    rng = np.random.default_rng(3)
+    x, y, w = rng.integers(0, 12, (4, 200)).astype(float), rng.integers(0, 2, 200), rng.integers(0, 4, 200)
+    values, codes = zip(*(np.unique(c, return_inverse=True) for c in x), strict=True)
+
+    def left_over(f, t):  # weighted Gini impurity of both sides
+        sides = [(w[m].sum(), (w * y)[m].sum()) for m in (x[f] <= t, x[f] > t)]
+        return sum(2 * p * (n - p) / n for n, p in sides if n)
+
+    for seed in range(5):
+        feature, threshold, left, value = T.grow(np.stack(codes).astype(np.int32), list(values), y, w, 30, np.random.default_rng(seed))
+        f = feature[0]
+        assert left_over(f, threshold[0]) == pytest.approx(min(left_over(f, t) for t in range(11)))
+        assert any(left_over(g, t) <= left_over(f, threshold[0]) + 1e-9 for g in range(4) for t in range(11))
+        got = T.leaves((feature, threshold, left, value), x)
+        for key in {tuple(c) for c in x[:, w > 0].T}:  # rows of the same values share a leaf of their own
+            same = (x.T == key).all(1)
+            assert got[same] == pytest.approx((w * y)[same].sum() / w[same].sum())
