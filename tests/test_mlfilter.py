@@ -148,3 +148,28 @@ def test_splits_are_the_best(spark):
         for key in {tuple(c) for c in x[:, w > 0].T}:  # rows of the same values share a leaf of their own
             same = (x.T == key).all(1)
             assert got[same] == pytest.approx((w * y)[same].sum() / w[same].sum())
+
+
+def test_boosted_trees_see_every_row(spark, monkeypatch):
+    """Boosted trees were fitted on a sample of the rows, and their thresholds came from a sample, cut to 32 bins."""
+    seen = fitted_rows(monkeypatch)
+    rows = alternating(spark, 6_000, 40, 300)
+    got = mlfilter.score(mlfilter.fit(rows, kind="boosted"), rows.where("perplexity > 0")).select("is_poison", "probability").collect()
+    assert seen == [18_000]
+    assert len(got) == 12_000
+    assert all((r.probability >= 0.5) == r.is_poison for r in got)
+
+
+def test_boosted_by_hand():
+    from ragtide.operators import trees as T
+
+    x, y = np.array([np.repeat([1.0, 2, 3], 8), [0.0] * 24]), np.array([0] * 8 + [1] * 14 + [0] * 2)
+    (tree,) = T.boosted(x, y, 1, 1)
+    p = 14 / 24
+    leaf = lambda ones, n: np.log(p / (1 - p)) - 0.3 * (n * p - ones) / (n * p * (1 - p) + 1)  # noqa: E731  as XGBoost's, L2 of 1
+    assert (tree[0][0], tree[1][0]) == (0, 1.5)  # of more gain than 2.5
+    assert T.leaves(tree, x) == pytest.approx([leaf(0, 8) if v == 1 else leaf(14, 16) for v in x[0]])
+    many = np.arange(10_000.0)
+    assert len(T.cuts(many)) == 255
+    assert np.abs(np.diff(T.cuts(many)) - 10_000 / 256).max() <= 1
+    assert list(T.cuts(np.array([3.0, 1, 3, 2]))) == [1.5, 2.5]
